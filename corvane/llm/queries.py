@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import embeddings, mixing, near_duplicates, sharding, tokens
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,9 +56,25 @@ bl AS (SELECT ln.*, s5.s, s5.target, s5.rounds,
 SELECT doc_id, size::BIGINT AS size, s::BIGINT AS source_size, target, (rounds * size + more)::BIGINT AS taken FROM bl
 """
 
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(_read(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
+    "op5_embeddings": op5_embeddings,
     "op6_mixing": op6_mixing,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_tokens": op10_tokens,
 }
 
 SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
