@@ -35,18 +35,17 @@ class Scratch:
         fs, path = _path(spark, self.where)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
-        self.made: dict[int, str] = {}
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         where = f"{self.where}/{self.n}"
         df.write.option("compression", "zstd").parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
-        self.made[id(out)] = where
+        out._corvane_table = where
         return out
 
     def drop(self, table: DataFrame) -> None:
         """Call it only when no later plan reads the table."""
-        if where := self.made.pop(id(table), None):
+        if where := getattr(table, "_corvane_table", None):
             fs, path = _path(self.spark, where)
             fs.delete(path, True)

@@ -125,8 +125,24 @@ def _picked(block: Column) -> Column:
     return spot < F.col("extra")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies (and `keep`) of every row of docs.
+def row_key(seed: int = SEED) -> Column:
+    """The place of a row of documents in its source's line: seeded, by doc_id and text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.col("text"))))
+
+
+def mixed(docs: DataFrame, **how: int) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes the block in which they start.
+
+    Rows of equal doc_id and text each get the mean of their numbers, rounded.
+    """
+    times = mix(docs, **how).groupBy("row_key").agg(F.round(F.avg("copies")).cast("int").alias("_times")).where("_times > 0")
+    keyed = docs.withColumn("_row_key", row_key(how.get("seed", SEED)))
+    out = keyed.join(times, F.col("_row_key") == F.col("row_key"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, row_key of every row of docs.
 
     A source's words stand in one line: its documents by the md5 of seed, doc_id and text, in 4,096
     runs whose first places come from their sums, so that no task holds a source.  The line is cut
@@ -140,8 +156,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = S
         F.col("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.col("text")))).alias("_order"),
-        *(F.col(c).alias(f"_keep_{c}") for c in keep),
+        row_key(seed).alias("_order"),
     )
     # the words are counted once: the later steps read this table
     rows = Scratch(spark, "mix").table(rows.withColumn("_run", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")))
@@ -170,5 +185,5 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = S
         "target",
         F.when(some, F.col("rounds") * F.col("size") + more).otherwise(0).cast("long").alias("taken"),
         F.when(some, F.col("rounds") + F.when(_picked(low), 1).otherwise(0)).otherwise(0).cast("int").alias("copies"),
-        *(F.col(f"_keep_{c}").alias(c) for c in keep),
+        F.col("_order").alias("row_key"),
     )

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing, near_duplicates, sharding, tokens
+from . import decontamination, embeddings, languages, licenses, mixing, near_duplicates, quotations, sharding, tokens, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,12 +20,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix(_read(spark, sf_dir, "documents")).drop("copies", "row_key")
 
 
 OP6_SQL = f"""
@@ -57,10 +65,23 @@ SELECT doc_id, size::BIGINT AS size, s::BIGINT AS source_size, target, (rounds *
 """
 
 
+def op7_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(_read(spark, sf_dir, "conversations"))
+
+
+def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(_read(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_found", "n_passages")
+
+
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -69,12 +90,61 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(_read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP4_SQL = f"""
+WITH b AS (SELECT row_number() OVER () AS b, item_id, w, least(len(w), 5) AS k FROM (
+       SELECT item_id, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)) WHERE len(w) > 0),
+size AS (SELECT greatest({decontamination.PASSAGE}, 2 * max(len(w)))::BIGINT AS l FROM b),
+bs AS (SELECT DISTINCT b, item_id, k, array_to_string(w[p + 1:p + k], ' ') AS s FROM b, LATERAL (SELECT unnest(range(0, len(w) - k + 1)) AS p) r),
+bn AS (SELECT b, count(*) AS n_item FROM bs GROUP BY b),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+ds AS (SELECT r, doc_id, kk.k, p, array_to_string(w[p + 1:p + kk.k], ' ') AS s
+       FROM d, (SELECT DISTINCT k FROM b) kk, LATERAL (SELECT unnest(range(0, len(w) - kk.k + 1)) AS p) q),
+hit AS (SELECT r, doc_id, b, item_id, p, ds.k, s FROM ds JOIN bs USING (k, s)),
+win AS (SELECT r, doc_id, b, item_id, p, k, s, l, unnest([p // (l // 2), p // (l // 2) - 1]) AS wn FROM hit, size),
+got AS (SELECT r, doc_id, b, item_id, wn, count(DISTINCT s) AS n FROM win WHERE wn >= 0 AND p + k <= wn * (l // 2) + l GROUP BY ALL)
+SELECT doc_id, item_id, any_value(n_item)::BIGINT AS n_item, max(n)::BIGINT AS n_found, count(*)::BIGINT AS n_passages
+FROM got JOIN bn USING (b) WHERE n >= ceil({decontamination.COVER} * n_item - 1e-9) GROUP BY r, doc_id, b, item_id
+"""
+
+_NORMAL = "translate(trim(regexp_replace({}, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP7_SQL = f"""
+WITH RECURSIVE msg AS (
+  SELECT *, row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS m FROM conversations),
+ln AS (SELECT m, conv_id, k, ls[k] AS line, regexp_extract(ls[k], '^[ \t]*(?:>[ \t]*)*') AS marks
+       FROM (SELECT m, conv_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM msg), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS k) r),
+lv AS (SELECT m, conv_id, k, line, len(marks) - len(replace(marks, '>', '')) AS level, {_NORMAL.format("substr(line, len(marks) + 1)")} AS x FROM ln),
+ch AS (SELECT *, CASE WHEN level > 0 AND level <> coalesce(lag(level) OVER (PARTITION BY m ORDER BY k), 0) THEN 1 ELSE 0 END AS new FROM lv),
+ps AS (SELECT *, sum(new) OVER (PARTITION BY m ORDER BY k) - 1 AS passage FROM ch),
+nq AS (SELECT m, max(passage) + 1 AS n_quoted FROM ps GROUP BY m),
+qt AS (SELECT m, conv_id, passage, level, x FROM ps WHERE level > 0 AND x <> '' AND conv_id IS NOT NULL),
+ow AS (SELECT DISTINCT m, conv_id, x FROM ps WHERE level = 0 AND x <> '' AND conv_id IS NOT NULL),
+og AS (SELECT qt.*, (SELECT max(ow.m) FROM ow WHERE ow.conv_id = qt.conv_id AND ow.x = qt.x AND ow.m < qt.m) AS o FROM qt),
+vt AS (SELECT m, passage, level, o, count(*) AS n FROM og WHERE o IS NOT NULL GROUP BY ALL),
+bp AS (SELECT m, passage, level, max(row(n, o)) AS b FROM vt GROUP BY ALL),
+lk AS (SELECT m, count(*) AS n_linked, max(b) FILTER (level = 1) AS b FROM bp GROUP BY m),
+pa AS (SELECT m, b[2] AS o FROM lk WHERE b IS NOT NULL),
+up(m, r) AS (SELECT m, o FROM pa UNION ALL SELECT up.m, pa.o FROM up JOIN pa ON pa.m = up.r),
+rt AS (SELECT m, min(r) AS root FROM up GROUP BY m),
+al AS (SELECT msg.*, n_quoted, coalesce(n_linked, 0) AS n_linked, pa.o, coalesce(root, msg.m) AS root
+       FROM msg LEFT JOIN nq USING (m) LEFT JOIN lk USING (m) LEFT JOIN pa USING (m) LEFT JOIN rt USING (m))
+SELECT al.conv_id, al.turn, al.role, n_quoted::INT AS n_quoted, n_linked::INT AS n_linked, p.turn AS reply_to, q.turn AS thread_turn,
+       row_number() OVER (PARTITION BY al.conv_id ORDER BY al.root, al.m) - 1 AS position,
+       CASE WHEN n_quoted > 0 THEN coalesce(trim((SELECT string_agg(line, chr(10) ORDER BY k) FROM ps WHERE ps.m = al.m AND level = 0), chr(10)), '') ELSE coalesce(al.text, '') END AS own_text
+FROM al LEFT JOIN msg p ON p.m = al.o JOIN msg q ON q.m = al.root
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
     "op5_embeddings": op5_embeddings,
     "op6_mixing": op6_mixing,
+    "op7_quotations": op7_quotations,
+    "op8_languages": op8_languages,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_tokens": op10_tokens,
 }
 
-SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
+SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_mixing": OP6_SQL, "op7_quotations": OP7_SQL}
