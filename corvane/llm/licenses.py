@@ -142,8 +142,9 @@ def statistics(auto: Automaton, words: list[int]) -> Iterator[tuple[int, int, in
 def chains(auto: Automaton, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
     """Covered spans (template, first word, word after the last, covered part) of maximal matches.
 
-    matches: (position of the last word, state, length).  Matches of one template that follow each
-    other in text and template, at most GAP words apart, are one chain; an overlap counts once.
+    matches: (position of the last word, state, length).  A chain's matches follow each other in text
+    and template, at most GAP words apart; an overlap counts once.  Each match takes the predecessor
+    that covers most, and of chains that overlap in the text the one that covers most is reported.
     """
     placed: dict[int, list[tuple[int, int, int]]] = {}
     for i, s, n in matches:
@@ -152,26 +153,21 @@ def chains(auto: Automaton, matches: list[tuple[int, int, int]]) -> list[tuple[i
                 placed.setdefault(k, []).append((i + 1 - n, at - n, n))
     out = []
     for k, some in placed.items():
-        open_: list[list[int]] = []  # first word, end in text, end in template, covered words
+        ends: list[tuple[int, int, int, int]] = []  # best chain up to each match: first word, end in text, in template, covered words
         for start, inner, n in sorted(some):
-            best = None
-            for c in open_:
-                near = start - c[1] <= GAP and inner - c[2] <= GAP
-                further = max(0, c[1] - start, c[2] - inner) < n  # what overlaps, in the text or the template, counts once
-                if not near or not further:
-                    continue
-                if best is None or c[3] > best[3]:
-                    best = c
-            if best is None:
-                open_.append([start, start + n, inner + n, n])
-            else:
-                cut = max(0, best[1] - start, best[2] - inner)
-                best[3] += n - cut
-                best[1], best[2] = start + n, inner + n
-            for c in [c for c in open_ if start - c[1] > GAP]:
-                open_.remove(c)
-                out.append((k, c[0], c[1], min(1.0, c[3] / auto.size[k])))
-        out += [(k, c[0], c[1], min(1.0, c[3] / auto.size[k])) for c in open_]
+            best = (start, start + n, inner + n, n)
+            for first, end, at, covered in reversed(ends):
+                if start - end > 2 * GAP + auto.size[k]:
+                    break
+                cut = max(0, end - start, at - inner)  # what overlaps, in the text or the template, counts once
+                if start - end <= GAP and inner - at <= GAP and cut < n and first <= start and covered + n - cut > best[3]:
+                    best = (first, start + n, inner + n, covered + n - cut)
+            ends.append(best)
+        taken: list[tuple[int, int]] = []
+        for first, end, _, covered in sorted(ends, key=lambda c: (-c[3], c)):
+            if all(end <= lo or first >= hi for lo, hi in taken):
+                taken.append((first, end))
+                out.append((k, first, end, min(1.0, covered / auto.size[k])))
     return sorted(out)
 
 

@@ -34,7 +34,7 @@ from ._scratch import Scratch
 
 SEGMENT = 1 << 20  # ids after which a segment is closed; a longer document is a segment of its own
 SAMPLE = 256  # documents for each sampled select position
-MEMO = 300_000  # pieces of text whose ids a worker remembers
+MEMO = 600_000  # pieces of text whose ids a worker remembers
 END = 0
 SCHEMA = "part int, segment int, before long, n_docs long, n_ids long, n_null long, first long, doc_low_bits int, doc_low binary, doc_high binary, end_low_bits int, end_low binary, end_high binary, width int, ids binary"
 
@@ -112,18 +112,25 @@ class _Memo(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], self.type).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # the sign of a space in byte-level vocabularies
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
     def learn(self, pieces: set[str]) -> None:
+        """Encodes new pieces as one text, which is cut again at the ids that start with the space."""
         if len(self) > MEMO:
             self.clear()
-        new = [p for p in pieces if p not in self]
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for piece, made in zip(some, self.tokenizer.encode_batch([" " + p for p in some], add_special_tokens=False), strict=True):
-                self[piece] = np.array(made.ids, self.type).tobytes()
+        new = [p for p in pieces if p and p not in self and not p[-1].isspace()]
+        for lo in range(0, len(new), 8192):
+            some = new[lo : lo + 8192]
+            made = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, self.type)
+            cuts = np.flatnonzero(self.spaced[made])
+            if len(cuts) == len(some) and cuts[0] == 0:
+                made, cuts = made.tobytes(), [*(cuts * self.type.itemsize).tolist(), made.nbytes]
+                self.update(zip(some, map(made.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
 
     def __missing__(self, piece: str) -> bytes:
         return self.ids(" " + piece)

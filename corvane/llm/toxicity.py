@@ -16,7 +16,7 @@ from ._words import ALNUM, hashed_words, mix
 BITS = 20  # 2^20 weights
 STEM = 4  # bytes of a word that are a feature of their own
 SAMPLE = 6000  # labelled rows that the model learns from, at most; the smallest hashes of all that may be used
-EPOCHS = 4
+UPDATES = 24_000  # examples that the model sees, whole passes over the sample
 CUT = 0.3  # scores from here on are predicted toxic
 
 
@@ -47,7 +47,7 @@ def distinct_features(column: pa.Array) -> Iterator[np.ndarray]:
 class Ftrl:
     """Follow-the-regularised-leader with per-coordinate rates; a weight is 0 until its gradients exceed l1."""
 
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
     l1: float = 5.0
     l2: float = 0.1
@@ -80,7 +80,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["doc_id", "y", "f"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[int, int] | None = (4, 2), epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[int, int] | None = (4, 2), updates: int = UPDATES) -> tuple[np.ndarray, np.ndarray, float]:
     """Sparse weights and the intercept, from at most `sample` labelled rows outside the held-out fold.
 
     The rows are those whose doc_id has the smallest checksums; several labels of a doc_id count as
@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[
         found[zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"])] = r["y"]
     order = sorted(found)
     rng = np.random.Generator(np.random.PCG64(11))
-    for _ in range(epochs):
+    for _ in range(-(-updates // len(order)) if order else 0):
         for k in rng.permutation(len(order)):
             model.learn(np.frombuffer(order[k][2], np.int32).astype(np.int64), found[order[k]])
     return model.compact()
