@@ -22,7 +22,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -123,10 +122,11 @@ class _Memo(dict):
         """Encodes new pieces as one text, which is cut again at the ids that start with the space."""
         if len(self) > MEMO:
             self.clear()
-        new = [p for p in pieces if p and p not in self and not p[-1].isspace()]
+        new = [p for p in pieces.difference(self) if p and not p[-1].isspace()]
         for lo in range(0, len(new), 8192):
             some = new[lo : lo + 8192]
-            made = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, self.type)
+            made = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0]
+            made = np.array(made.ids, self.type)
             cuts = np.flatnonzero(self.spaced[made])
             if len(cuts) == len(some) and cuts[0] == 0:
                 made, cuts = made.tobytes(), [*(cuts * self.type.itemsize).tolist(), made.nbytes]
@@ -138,7 +138,7 @@ class _Memo(dict):
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text with the end id."""
         split = [None if _RUN.search(t) else t.split(" ") for t in texts]
-        self.learn(set(chain.from_iterable(p[1:] for p in split if p)))
+        self.learn(set().union(*filter(None, split)))
         for t, pieces in zip(texts, split, strict=True):
             if pieces is None:
                 yield self.ids(t) + self.end
