@@ -9,9 +9,10 @@
    class is put into the inverted lists of its rarest shared values only: if a pair overlaps in o
    values, it meets in the (size - o + 1) rarest of either.  Frequent passages are last in this
    order, so their lists stay short.
-4. In each list every class is compared with the list's most typical member; what is not linked to it
-   is compared with all members of other components.  A pair of one list is left out only if sizes,
-   the union-sketch estimate or an existing link rule it out.
+4. In each list every class is compared with the list's most typical member, its hub; what is not
+   linked to it is compared with all members of other components.  A pair of one list is left out
+   only if its sizes, its shared values, its overlaps with the hub, the union-sketch estimate or an
+   existing link rule it out.
 5. Exact Jaccard on whole sets confirms links; large-star/small-star finds the components.
 """
 
@@ -30,7 +31,7 @@ from ._scratch import Scratch
 from ._words import SPACED, hashed_words, shingles
 
 WIDTH = 5  # words in a shingle
-SMALL, LARGE = 32, 256  # retained values in the first and second sketch
+SMALL, LARGE = 32, 1024  # retained values in the first and second sketch
 MISS = 1e-6  # chance that a pair at the threshold is not met
 
 
@@ -99,12 +100,13 @@ def _rare(threshold: float, large_need: float, n: Column, kept: Column) -> Colum
     return F.when(n <= int(threshold * LARGE), sure).otherwise(likely)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold: 100 * intersection >= percent * union."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, both, linked: sizes of the intersections of whole sets, and 100 * both >= percent * union."""
     x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("_x"))
     y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("_y"))
-    both = F.size(F.array_intersect("_x", "_y"))
-    return pairs.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b")
+    rows = pairs.join(x, "a").join(y, "b")
+    rows = rows.select("a", "b", F.size(F.array_intersect("_x", "_y")).alias("both"), (F.size("_x") + F.size("_y")).alias("all"))
+    return rows.select("a", "b", "both", (100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -143,35 +145,42 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .withColumn("of", F.count("*").over(by_id))
         .withColumn("common", F.sum("count").over(by_id))
         .where(F.col("place") <= F.col("of") - _rare(threshold, need(LARGE, threshold) / LARGE, F.col("n"), held) + 1)
-        .select("id", "v", "n", "of", "common")
+        .select("id", "v", "n", "of", "place", "common")
     )
     listed = scratch.table(listed)
 
     # every member against the most typical one of its list
-    hub = listed.groupBy("v").agg(F.max(F.struct("common", -F.col("id"))).alias("h"), F.count("*").alias("members")).where("members > 1")
-    hub = hub.select("v", (-F.col("h").getField("col2")).alias("hub"))
-    pairs = listed.join(hub, "v").where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-    links = scratch.table(_confirmed(pairs, sets, percent))
-    found = scratch.table(components(links, scratch))
+    hub = listed.groupBy("v").agg(F.max(F.struct("common", (-F.col("id")).alias("minus"), "n")).alias("h"), F.count("*").alias("members")).where("members > 1")
+    hub = hub.select("v", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
+    pairs = listed.join(hub.drop("hub_n"), "v").where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    compared = scratch.table(_compared(pairs, sets, percent))
+    found = scratch.table(components(compared.where("linked"), scratch))
 
     # what its list's hub did not link, against all members of other components
     label = listed.join(found, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
-    label = scratch.table(label)
-    hubs = hub.join(found.withColumnRenamed("id", "hub"), "hub", "left").select("v", F.coalesce("component_id", "hub").alias("hub_component"), "hub")
-    loose = label.join(hubs, "v").where("component <> hub_component").select("v", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "of", "component")))
-    limit = (100 + percent) / percent  # the union's share: overlap >= (n + n_) / limit
-    possible = (F.col("n") <= F.col("of_") * limit - F.col("n_") + 1e-6) & (F.col("n_") <= F.col("of") * limit - F.col("n") + 1e-6)
+    hubs = hub.join(found.withColumnRenamed("id", "hub"), "hub", "left").select("v", F.coalesce("component_id", "hub").alias("hub_component"), "hub", "hub_n")
+    label = label.join(hubs, "v").withColumn("a", F.greatest("id", "hub")).withColumn("b", F.least("id", "hub"))
+    label = label.join(compared.select("a", "b", "both"), ["a", "b"], "left").withColumn("both", F.when(F.col("hub_n") <= LARGE, F.coalesce("both", "n")))
+    label = scratch.table(label.select("v", "id", "n", "of", "place", "component", "both", (F.col("component") != F.col("hub_component")).alias("loose")))
+    loose = label.where("loose").select("v", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "of", "place", "component", "both")))
+    least_overlap = (F.col("n") + F.col("n_")) * percent / (100 + percent) - 1e-6
     whole = (F.col("n") <= LARGE) & (F.col("n_") <= LARGE)
     near = (F.col("n") >= F.col("n_") * threshold - 1e-6) & (F.col("n_") >= F.col("n") * threshold - 1e-6)
+    # of whole sets: if v is the rarest common value, the rest of either side's shared values must suffice; and what
+    # both have of the hub, with what other classes share of the remainder, bounds the overlap
+    after = F.least(F.col("of") - F.col("place"), F.col("of_") - F.col("place_")) + 1
+    by_hub = F.least("both", "both_") + F.least(F.col("of") - F.col("both"), F.col("of_") - F.col("both_"))
+    unknown = F.col("both").isNull() | F.col("both_").isNull()
+    possible = ~whole | ((after >= least_overlap) & (unknown | (by_hub >= least_overlap)))
     rest = (
         label.join(loose, "v")
-        .where((F.col("component") != F.col("component_")) & near & (~whole | possible))
+        .where((F.col("component") != F.col("component_")) & near & possible)
         .select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b"))
         .distinct()
     )
-    rest = _estimated(rest, sized, threshold)
+    rest = _compared(_estimated(rest, sized, threshold), sets, percent).where("linked")
     star = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-    found = components(star.unionByName(_confirmed(rest, sets, percent)), scratch)
+    found = components(star.unionByName(rest.select("a", "b")), scratch)
 
     root = classes.join(found, "id", "left").select("sig1", "sig2", "n", F.coalesce("component_id", "id").alias("component_id"))
     return (
