@@ -33,7 +33,7 @@ from ._scratch import Scratch
 
 SEGMENT = 1 << 20  # ids after which a segment is closed; a longer document is a segment of its own
 SAMPLE = 256  # documents for each sampled select position
-MEMO = 600_000  # pieces of text whose ids a worker remembers
+MEMO = 500_000  # pieces of text whose ids a worker remembers, and as many that it used before
 END = 0
 SCHEMA = "part int, segment int, before long, n_docs long, n_ids long, n_null long, first long, doc_low_bits int, doc_low binary, doc_high binary, end_low_bits int, end_low binary, end_high binary, width int, ids binary"
 
@@ -111,6 +111,7 @@ class _Memo(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], self.type).tobytes()
+        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # the sign of a space in byte-level vocabularies
@@ -120,9 +121,13 @@ class _Memo(dict):
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes new pieces as one text, which is cut again at the ids that start with the space."""
-        if len(self) > MEMO:
+        if len(self) > MEMO:  # what was used since the last time stays within reach
+            self.old = dict(self)
             self.clear()
-        new = [p for p in pieces.difference(self) if p and not p[-1].isspace()]
+        new = pieces.difference(self)
+        known = new.intersection(self.old)
+        self.update(zip(known, map(self.old.__getitem__, known)))
+        new = [p for p in new.difference(known) if p and not p[-1].isspace()]
         for lo in range(0, len(new), 8192):
             some = new[lo : lo + 8192]
             made = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0]
@@ -178,8 +183,8 @@ def _writer(path: str, end: int, segment: int):  # noqa: ANN202
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                some = batch.slice(at, 256)
-                at += 256
+                some = batch.slice(at, 1024)
+                at += 1024
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 for i, made in zip(some.column(0).to_pylist(), memo.encode(texts), strict=True):
                     size += len(made) // width
