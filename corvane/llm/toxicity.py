@@ -125,7 +125,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], cut: f
             columns = [batch.column(0), pa.array(p), pa.array((p >= cut).astype(np.int32)), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", *keep])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)))
     kinds = "".join(f", `{n}` {t}" for n, t in docs.select(*keep).dtypes) if keep else ""
     return chosen.mapInArrow(run, "doc_id long, score double, predicted int" + kinds)
 
