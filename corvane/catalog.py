@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import knowledge, structure
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+FLAGSHIP = "scope_query"
+QUERIES = structure.QUERIES | knowledge.QUERIES
+SQL = structure.SQL | knowledge.SQL
