@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._ship import arrow
 from ._words import ALNUM, hashed_words, shingles
 
 WIDTH = 5
@@ -253,7 +254,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, sh
                 kinds = [pa.int64()] * 7 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
-        made = chosen.mapInArrow(run, SCHEMA)
+        made = chosen.transform(arrow, run, SCHEMA)
         out = made if out is None else out.unionByName(made)
     return out
 
@@ -273,5 +274,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, shard_wor
                         keep[i] = not search(index, words[cuts[i - lo] : cuts[i - lo + 1]], cover)
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(arrow, run, docs.schema)
     return docs

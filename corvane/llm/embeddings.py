@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._scratch import Scratch
+from ._ship import arrow
 
 TABLES = 40  # at cosine 0.93 a pair shares a table's key with a chance of 0.13, and some key with 0.996
 BITS = 16
@@ -74,7 +75,7 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.93, tables: int =
 
     # a repeated vec_id with another label or vector is a class of its own: classes have their own number
     classes = scratch.table(classes.withColumn("c", F.monotonically_increasing_id()))
-    keys = classes.select("c", "unit").mapInArrow(_signs(tables, bits, seed), "id long, keys array<int>").withColumnRenamed("id", "c")
+    keys = classes.select("c", "unit").transform(arrow, _signs(tables, bits, seed), "id long, keys array<int>").withColumnRenamed("id", "c")
     keyed = scratch.table(keys.join(classes.select("c", "label", "dims"), "c"))
     spread = keyed.select("c", "label", "dims", "keys", F.posexplode("keys").alias("t", "key"))
     a, b = spread.alias("a"), spread.alias("b")

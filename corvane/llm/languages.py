@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._ship import arrow
 from ._words import LOWER, PIECE, text_bytes
 
 DIMS = 1 << 13  # hashed n-grams
@@ -135,7 +136,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, fold: tuple[int, int] = (5, 0),
     spot = F.conv(F.substring(F.md5(F.coalesce(ids, F.lit(b""))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     rows = rows.where(spot < share[F.col("lang")])
     made = []
-    for r in rows.select("doc_id", "lang", "text").mapInArrow(_count_rows, "doc_id long, lang string, c binary").collect():
+    for r in rows.select("doc_id", "lang", "text").transform(arrow, _count_rows, "doc_id long, lang string, c binary").collect():
         on, n = np.frombuffer(r["c"], np.int32).reshape(2, -1)
         c = np.zeros(DIMS, dtype=np.int32)
         c[on] = n
@@ -168,7 +169,7 @@ def identify(docs: DataFrame, model: Model, fold: tuple[int, int] = (5, 0), reje
             low = pa.array((score < reject) & np.array([x != "und" for x in lang], dtype=bool))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), low], ["doc_id", "lang_pred", "score", "rejected"])
 
-    out = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = docs.selectExpr("cast(doc_id as long) as doc_id", "text").transform(arrow, run, "doc_id long, lang_pred string, score double, rejected boolean")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold[0] == fold[1], F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 

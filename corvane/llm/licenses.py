@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._ship import arrow
 from ._words import ALNUM, hashed_words
 
 # Phrases whose places are counted, and their labels.
@@ -230,7 +231,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
                     rows.append({"doc_id": ids[i], **row})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").transform(arrow, run, SCHEMA)
 
 
 __all__ = ["Automaton", "build", "chains", "scan", "scan_licenses", "statistics"]

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._scratch import Scratch
+from ._ship import arrow
 from ._words import SPACED, hashed_words, shingles
 
 WIDTH = 5  # words in a shingle
@@ -121,7 +122,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     threshold = percent / 100
     scratch = Scratch(docs.sparkSession, "near")
     base = scratch.table(
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id long, n long, sig1 long, sig2 long, low array<long>")
+        docs.select(F.col("doc_id").cast("long"), "text").transform(arrow, _sketch, "doc_id long, n long, sig1 long, sig2 long, low array<long>")
     )
     least = F.min(F.struct("doc_id", "low"))
     classes = base.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2", "n").agg(least.alias("x"))
@@ -135,7 +136,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     # whole sets of these, and the lists of their rarest shared values
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(alive, "id", "left_semi").distinct()
-    sets = scratch.table(texts.mapInArrow(_whole, "id long, hashes array<long>").where(F.size("hashes") > 0))
+    sets = scratch.table(texts.transform(arrow, _whole, "id long, hashes array<long>").where(F.size("hashes") > 0))
     sized = sets.select("id", F.size("hashes").alias("n"), F.slice("hashes", 1, LARGE).alias("low"))
     by_id = Window.partitionBy("id")
     held = F.least(F.col("n"), F.lit(LARGE))

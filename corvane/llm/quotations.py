@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._scratch import Scratch
+from ._ship import arrow
 
 _MARKS = re.compile(r"[ \t]*(?:>[ \t]*)*")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -119,7 +120,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     scratch = Scratch(messages.sparkSession, "quotes")
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = _sorted(rows, scratch, "conv_id", "turn", "role", "text").withColumnRenamed("_spot", "m").drop("_part")
-    parsed = scratch.table(rows.select("m", "text").mapInArrow(_parsed, f"m long, n_quoted int, quotes {_LINES}, own array<long>, own_text string"))
+    parsed = scratch.table(rows.select("m", "text").transform(arrow, _parsed, f"m long, n_quoted int, quotes {_LINES}, own array<long>, own_text string"))
     known = rows.where("conv_id is not null").select("m", "conv_id")
     quotes = parsed.where("n_quoted > 0").join(known, "m").select("m", "conv_id", F.explode("quotes").alias("q")).select("m", "conv_id", "q.*")
     quoted = quotes.select("conv_id", "hash").distinct()

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
+from ._ship import arrow
 
 SEGMENT = 1 << 20  # ids after which a segment is closed; a longer document is a segment of its own
 SAMPLE = 256  # documents for each sampled select position
@@ -212,7 +213,7 @@ def write_tokens(docs: DataFrame, where: str, tokenizer: str, end: int = END, se
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.coalesce("text", F.lit("")))
-    rows.mapInArrow(_writer(tokenizer, end, segment), SCHEMA).write.option("compression", "uncompressed").parquet(where)
+    rows.transform(arrow, _writer(tokenizer, end, segment), SCHEMA).write.option("compression", "uncompressed").parquet(where)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +243,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
     base = parts.select("part", F.coalesce(F.sum("n").over(order), F.lit(0).cast("long")).alias("base"))
     # a row of 12 bytes for each task that wrote, however many ids it wrote
     placed = segments.join(F.broadcast(base), "part").withColumn("before", F.col("base") + F.col("before"))
-    return placed.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.transform(arrow, _reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, tokenizer: str, end: int = END, segment: int = SEGMENT) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._ship import arrow
 from ._words import ALNUM, hashed_words, mix
 
 BITS = 20  # 2^20 weights
@@ -95,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[
     rows = rows.orderBy(F.md5(ids.cast("binary")), "doc_id").limit(sample)  # 12 bytes a row: a proven bound for the broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text")
     model, found = Ftrl(), {}
-    for r in texts.mapInArrow(_extract, "doc_id long, y int, f binary").distinct().collect():
+    for r in texts.transform(arrow, _extract, "doc_id long, y int, f binary").distinct().collect():
         found[zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"])] = r["y"]
     order = sorted(found)
     rng = np.random.Generator(np.random.PCG64(11))
@@ -127,7 +128,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], cut: f
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)))
     kinds = "".join(f", `{n}` {t}" for n, t in docs.select(*keep).dtypes) if keep else ""
-    return chosen.mapInArrow(run, "doc_id long, score double, predicted int" + kinds)
+    return chosen.transform(arrow, run, "doc_id long, score double, predicted int" + kinds)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[int, int] = (4, 2), cut: float = CUT) -> DataFrame:
