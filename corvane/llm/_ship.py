@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,4 +29,9 @@ def ship(spark: SparkSession) -> None:
 def arrow(df: DataFrame, run: Any, schema: Any) -> DataFrame:
     """df.mapInArrow(run, schema) with this package on the executors; for df.transform(arrow, run, schema)."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # workers live on for other stages
+
+    return df.mapInArrow(task, schema)

@@ -34,7 +34,7 @@ from ._ship import arrow
 
 SEGMENT = 1 << 20  # ids after which a segment is closed; a longer document is a segment of its own
 SAMPLE = 256  # documents for each sampled select position
-MEMO = 500_000  # pieces of text whose ids a worker remembers, and as many that it used before
+MEMO = 200_000  # pieces of text whose ids a worker remembers, and as many that it used before
 END = 0
 SCHEMA = "part int, segment int, before long, n_docs long, n_ids long, n_null long, first long, doc_low_bits int, doc_low binary, doc_high binary, end_low_bits int, end_low binary, end_high binary, width int, ids binary"
 
@@ -184,8 +184,8 @@ def _writer(path: str, end: int, segment: int):  # noqa: ANN202
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                some = batch.slice(at, 1024)
-                at += 1024
+                some = batch.slice(at, 512)
+                at += 512
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 for i, made in zip(some.column(0).to_pylist(), memo.encode(texts), strict=True):
                     size += len(made) // width
