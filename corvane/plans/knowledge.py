@@ -276,13 +276,23 @@ s{k} AS (SELECT node, (CASE WHEN node::BIGINT % 10 = 0 THEN (15 * ({mining.SCALE
     return out + f" SELECT node, score FROM s{rounds}"
 
 
-@query(_ppr_sql(4))
-def pagerank_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four of the 64 rounds: each is exact, so a few show them all."""
+def _pagerank(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
     t = Tables(spark)
     e = t.table(deps.derive_edges(b.occurrences(spark, sf_dir)).where("dst is not null"))
     nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return mining.pagerank(nodes, e, nodes.where("cast(node as long) % 10 = 0"), 4, t)
+    return mining.pagerank(nodes, e, nodes.where("cast(node as long) % 10 = 0"), rounds, t)
+
+
+@query(_ppr_sql(mining.ROUNDS))
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64 rounds over the whole graph."""
+    return _pagerank(spark, sf_dir, mining.ROUNDS)
+
+
+@query(_ppr_sql(4))
+def pagerank_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores after four rounds; those of the operator are in `pagerank`."""
+    return _pagerank(spark, sf_dir, 4)
 
 
 VISIT = "v AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, o_orderpriority IN ('1-URGENT', '2-HIGH') AS admitted, o_orderstatus FROM orders)"
