@@ -31,9 +31,17 @@ def signals(baskets: DataFrame) -> DataFrame:
     return n.join(mode(rows, "path", "author").withColumnRenamed("author", "owner"), "path", "left")
 
 
-def co_changed(baskets: DataFrame, paths: DataFrame, support: int = 2) -> DataFrame:
-    """path, other, support: files that change together with the given ones, from `support` commits on."""
+def co_changed(baskets: DataFrame, paths: DataFrame | None = None, support: int = 2) -> DataFrame:
+    """path, other, support: files that change together with the given ones (all if None), from `support` commits on.
+
+    For all files a pair is counted once, path before other, and turned round after the count.
+    """
     files = baskets.select("commit", "path").distinct()
+    if paths is None:
+        pairs = files.join(files.withColumnRenamed("path", "other"), "commit").where("path < other")
+        pairs = pairs.groupBy("path", "other").agg(F.count("*").alias("support")).where(F.col("support") >= support)
+        both = F.explode(F.array(F.struct("path", "other"), F.struct(F.col("other").alias("path"), F.col("path").alias("other"))))
+        return pairs.select(both.alias("p"), "support").select("p.path", "p.other", "support")
     asked = files.join(paths.select("path").distinct(), "path", "left_semi")
     pairs = asked.join(files.withColumnRenamed("path", "other"), "commit").where("path <> other")
     return pairs.groupBy("path", "other").agg(F.count("*").alias("support")).where(F.col("support") >= support)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
+
 import pandas as pd
 
 from corvane import catalog
@@ -27,3 +30,12 @@ def test_pagerank_follows_paths_of_any_length(spark, tmp_path):
         loose = sum(s for n, s in score.items() if n not in out) // len(seeds)
         score = {n: (15 * (mining.SCALE // len(seeds)) // 100 if n in seeds else 0) + 85 * (inflow[n] + (loose if n in seeds else 0)) // 100 for n in nodes}
     assert got == score
+
+
+def test_co_changed_has_every_pair_in_both_directions(spark, tmp_path):
+    orders = {1: (1, 2, 10), 2: (1, 2, 10), 3: (1, 3), 4: (3, 1, 10)}
+    pd.DataFrame([(o, 1, "1-URGENT") for o in orders], columns=["o_orderkey", "o_custkey", "o_orderpriority"]).to_parquet(tmp_path / "orders.parquet")
+    pd.DataFrame([(o, p) for o, parts in orders.items() for p in parts], columns=["l_orderkey", "l_partkey"]).to_parquet(tmp_path / "lineitem.parquet")
+    want = Counter(x for parts in orders.values() for x in itertools.permutations(parts, 2))
+    got = [(r.path, r.other, r.support) for r in catalog.QUERIES["co_changed_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((*x, n) for x, n in want.items() if n >= 2)
