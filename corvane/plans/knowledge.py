@@ -30,13 +30,18 @@ def query(sql: str | None = None):  # noqa: ANN201
 # --- freshness: a fact for each nation, grounded on three of its customers
 
 ENTRY = """entry AS (SELECT parent_path AS fact, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS pos, path, h AS subtree_hash FROM ha WHERE depth = 3 QUALIFY pos <= 3)"""
+ENTRY_ALL = ENTRY.replace(" QUALIFY pos <= 3", "")
 
 
 def _entries(rolled: DataFrame) -> DataFrame:
+    return _all_entries(rolled).where("pos <= 3")
+
+
+def _all_entries(rolled: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     leaves = rolled.where("depth = 3").select(F.col("parent_path").alias("fact"), "path", "subtree_hash")
-    return leaves.withColumn("pos", F.row_number().over(Window.partitionBy("fact").orderBy("path"))).where("pos <= 3")
+    return leaves.withColumn("pos", F.row_number().over(Window.partitionBy("fact").orderBy("path")))
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -82,6 +87,34 @@ def reground(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.reground(_entries(before), after).select("fact", "pos", "path", "freshness")
 
 
+# --- freshness of facts that are grounded on all customers of their nation
+
+
+@query(SQL["drift_detect"].replace(ENTRY, ENTRY_ALL))
+def drift_detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = b.geo_tree(spark, sf_dir)
+    entries = _all_entries(tree.rollup(t))
+    return fresh.drift(entries, entries, tree.rollup(_edited(t)))
+
+
+@query(SQL["reconcile_drift"].replace(ENTRY, ENTRY_ALL))
+def reconcile_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = _two(spark, sf_dir)
+    return fresh.reconcile(_all_entries(before), after)
+
+
+@query(SQL["reconcile_exit"].replace(ENTRY, ENTRY_ALL))
+def reconcile_exit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = _two(spark, sf_dir)
+    return fresh.exit_code(fresh.reconcile(_all_entries(before), after))
+
+
+@query(SQL["reground"].replace(ENTRY, ENTRY_ALL))
+def reground_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = _two(spark, sf_dir)
+    return fresh.reground(_all_entries(before), after).select("fact", "pos", "path", "freshness")
+
+
 # --- facts
 
 
@@ -475,11 +508,20 @@ x AS (SELECT fact, pos, CASE WHEN pos = 2 AND fact LIKE '%A' THEN path || '?' EL
 SELECT fact, pos::INT AS pos, x.path, h AS subtree_hash FROM x JOIN ha USING (path) WHERE fact NOT IN (SELECT fact FROM x WHERE path LIKE '%?')""")
 def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = Tables(spark).table(tree.rollup(b.geo_tree(spark, sf_dir)))
-    cited = _entries(rolled).where("pos <= 2").drop("subtree_hash")
-    lost = (F.col("pos") == 2) & F.col("fact").endswith("A")
+    return _grounded(_entries(rolled).where("pos <= 2"), rolled)
+
+
+def _grounded(entries: DataFrame, rolled: DataFrame) -> DataFrame:
+    cited, lost = entries.drop("subtree_hash"), (F.col("pos") == 2) & F.col("fact").endswith("A")
     return fresh.ground(cited.withColumn("path", F.when(lost, F.concat("path", F.lit("?"))).otherwise(F.col("path"))), rolled).select("fact", "pos", "path", "subtree_hash")
 
 
+@query(SQL["ground"].replace(" WHERE pos <= 2", ""))
+def ground_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rolled = Tables(spark).table(tree.rollup(b.geo_tree(spark, sf_dir)))
+    return _grounded(_all_entries(rolled), rolled)
+
+
 @query(f"""WITH {b.BASKET_SQL}, a AS (SELECT author AS fact, path AS node, count(*) AS n FROM basket GROUP BY ALL), c AS (SELECT author AS fact, path AS node, count(*) AS n FROM basket WHERE "commit" % 97 <> 0 GROUP BY ALL)
 SELECT coalesce(a.fact, c.fact) AS fact, bool_and(coalesce(a.n = c.n, false)) AS fresh FROM a FULL JOIN c ON a.fact = c.fact AND a.node = c.node GROUP BY 1""")
 def closure_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:

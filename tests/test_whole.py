@@ -39,3 +39,20 @@ def test_co_changed_has_every_pair_in_both_directions(spark, tmp_path):
     want = Counter(x for parts in orders.values() for x in itertools.permutations(parts, 2))
     got = [(r.path, r.other, r.support) for r in catalog.QUERIES["co_changed_all"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((*x, n) for x, n in want.items() if n >= 2)
+
+
+def test_freshness_sees_every_leaf(spark, tmp_path):
+    """Past its third leaf, nation 0 has an edit (ends in 7), nation 1 a move (ends in 1) and nation 2 nothing."""
+    leaves = {0: "00 02 03 04 07 08".split(), 1: "10 12 14 15 21".split(), 2: "30 32 34 35 36".split()}
+    pd.DataFrame([(0, "R")], columns=["r_regionkey", "r_name"]).to_parquet(tmp_path / "region.parquet")
+    pd.DataFrame([(n, f"N{n}", 0) for n in leaves], columns=["n_nationkey", "n_name", "n_regionkey"]).to_parquet(tmp_path / "nation.parquet")
+    pd.DataFrame([(x, n, "M", 1.0) for n, names in leaves.items() for x in names], columns=["c_name", "c_nationkey", "c_mktsegment", "c_acctbal"]).to_parquet(tmp_path / "customer.parquet")
+    run = lambda name: [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+    n0, n1, n2 = (f"repo/R/N{n}" for n in leaves)
+    assert sorted(run("drift_detect_all")) == [(n0, "DRIFTED"), (n1, "FRESH"), (n2, "FRESH")]
+    assert sorted(run("reconcile_drift_all")) == [(n0, "semantic"), (n1, "mechanical")]
+    assert run("reconcile_exit_all") == [(1, 1, 2)]
+    fact = {n0: "DRIFTED", n1: "FRESH", n2: "FRESH"}
+    every = [(f"repo/R/N{n}", i, f"repo/R/N{n}/{x}") for n, names in leaves.items() for i, x in enumerate(names, 1)]
+    assert sorted(run("reground_all")) == sorted((f, i, p + "m" * p.endswith("/21"), fact[f]) for f, i, p in every)
+    assert sorted(r[:3] for r in run("ground_all")) == sorted(every)
