@@ -66,7 +66,7 @@ SELECT doc_id, size::BIGINT AS size, s::BIGINT AS source_size, target, (rounds *
 
 
 def op7_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotations.link_quotations(_read(spark, sf_dir, "conversations"))
+    return quotations.link_quotations(_read(spark, sf_dir, "conversations"), every_owner=True)
 
 
 def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,7 +103,21 @@ def _latest_owner(quotes: DataFrame, own: DataFrame, scratch: Scratch) -> DataFr
     return lines.select("m", "passage", "level", F.coalesce("origin", "_last").alias("origin"))
 
 
-def link_quotations(messages: DataFrame) -> DataFrame:
+def _every_owner(best: DataFrame, quotes: DataFrame, own: DataFrame) -> DataFrame:
+    """best with votes among all earlier owners of a passage's lines.
+
+    Where the latest owner is the same for all lines that have one, no message has more of them and
+    none later has as many; only the other passages meet every owner.
+    """
+    unsettled = best.where("b.n < total")
+    rest = quotes.join(unsettled.select("m", "passage"), ["m", "passage"], "left_semi")
+    votes = rest.join(own.withColumnRenamed("m", "origin"), ["conv_id", "hash"]).where("origin < m")
+    votes = votes.groupBy("m", "passage", "level", "origin").agg(F.count("*").alias("n"))
+    counted = votes.groupBy("m", "passage", "level").agg(F.max(F.struct("n", "origin")).alias("b"))
+    return best.where("b.n = total").drop("total").unionByName(counted)
+
+
+def link_quotations(messages: DataFrame, every_owner: bool = False) -> DataFrame:
     """A row for each row of messages (conv_id, turn, role, text), in place of assembled conversations.
 
     conv_id, turn, role; n_quoted: quoted passages; n_linked: those whose lines an earlier message of
@@ -112,6 +126,8 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     thread_turn: turn of the first message of its thread (messages that replies connect); position:
     place in the reply-ordered conversation, threads by their first message, a reply after what it
     answers; own_text: the text without quotes.  A conversation is never gathered in one task.
+    With every_owner each line counts for all earlier messages that have it; without, as in OP7_SQL,
+    for the latest of them only.
 
     Messages follow turn (null first), role, text.  A null text is empty; messages without conv_id have
     no links and are threads of their own, numbered together.  Repeated rows are separate messages;
@@ -127,7 +143,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     own = parsed.join(known, "m").select("m", "conv_id", F.explode("own").alias("hash")).join(quoted, ["conv_id", "hash"], "left_semi")
     lines = _latest_owner(quotes, own, scratch).where("origin is not null")
     best = lines.groupBy("m", "passage", "level", "origin").agg(F.count("*").alias("n"))
-    best = scratch.table(best.groupBy("m", "passage", "level").agg(F.max(F.struct("n", "origin")).alias("b")))
+    best = scratch.table(best.groupBy("m", "passage", "level").agg(F.max(F.struct("n", "origin")).alias("b"), F.sum("n").alias("total")))
+    if every_owner:
+        best = scratch.table(_every_owner(best, quotes, own))
     linked = best.groupBy("m").agg(
         F.count("*").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("b"))).getField("origin").alias("origin")
     )
