@@ -467,6 +467,20 @@ def awareness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.awareness(rows.unionByName(every), "conv_id")
 
 
+@query(SQL["awareness"].replace(
+    f"SELECT conv_id, ({list(lifecycle.FACETS)})[turn + 1] AS facet, text AS top, role = 'user' AS moved FROM conversations WHERE turn < 5",
+    f"SELECT conv_id, facet, l.x AS top, l.r = 'user' AS moved FROM (SELECT conv_id, ({list(lifecycle.FACETS)})[turn % 5 + 1] AS facet, max(struct_pack(t := turn, x := text, r := role)) AS l FROM conversations GROUP BY ALL)",
+))
+def awareness_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn is a tier of one of the facets, the latest first."""
+    c = b.read(spark, sf_dir, "conversations")
+    facet = F.element_at(F.array(*map(F.lit, lifecycle.FACETS)), (F.col("turn") % 5 + 1).cast("int"))
+    every = c.select("conv_id").distinct().select("conv_id", F.lit("none").alias("facet"), F.array().cast("array<string>").alias("tiers"), F.lit(False).alias("moved"))
+    rows = c.groupBy("conv_id", facet.alias("facet")).agg(F.max(F.struct("turn", "text", "role")).alias("l"))
+    rows = rows.select("conv_id", "facet", F.array("l.text").alias("tiers"), (F.col("l.role") == "user").alias("moved"))
+    return lifecycle.awareness(rows.unionByName(every), "conv_id")
+
+
 @query("SELECT DISTINCT sha256(text) AS hash, text AS body FROM conversations")
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.transcripts(b.read(spark, sf_dir, "conversations").select(F.col("text").alias("body")))

@@ -8,7 +8,7 @@ from collections import Counter
 import pandas as pd
 
 from corvane import catalog
-from corvane.operators import mining
+from corvane.operators import lifecycle, mining
 
 CHAIN = 12
 
@@ -56,3 +56,12 @@ def test_freshness_sees_every_leaf(spark, tmp_path):
     every = [(f"repo/R/N{n}", i, f"repo/R/N{n}/{x}") for n, names in leaves.items() for i, x in enumerate(names, 1)]
     assert sorted(run("reground_all")) == sorted((f, i, p + "m" * p.endswith("/21"), fact[f]) for f, i, p in every)
     assert sorted(r[:3] for r in run("ground_all")) == sorted(every)
+
+
+def test_awareness_has_the_latest_turn_of_each_facet(spark, tmp_path):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"said {t}") for t in range(7)] + [(2, 8, "user", "word " * 401)]
+    pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).to_parquet(tmp_path / "conversations.parquet")
+    got = {(r.conv_id, r.facet): (r.content[:7], r.state, r.within_cap) for r in catalog.QUERIES["awareness_all"](spark, str(tmp_path)).collect()}
+    want = {(1, f): (f"said {t}", "drifted" if t % 2 else "seeded", True) for f, t in zip(lifecycle.FACETS, (5, 6, 2, 3, 4), strict=True)}
+    want |= {(2, f): ("UN-SEED", "UN-SEEDED", False) for f in lifecycle.FACETS} | {(2, lifecycle.FACETS[3]): ("word wo", "drifted", False)}
+    assert got == want
