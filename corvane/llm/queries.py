@@ -82,6 +82,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_found", "n_passages")
 
 
+def decontamination_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_decontamination with the shingles of question and answer, which OP4_SQL does not count."""
+    found = decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_found", "n_question", "n_answer", "n_passages")
+
+
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -145,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_languages": op8_languages,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_tokens": op10_tokens,
+    "decontamination_overlaps": decontamination_overlaps,
 }
 
 SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_mixing": OP6_SQL, "op7_quotations": OP7_SQL}

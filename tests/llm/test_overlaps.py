@@ -1,0 +1,15 @@
+"""The overlap of question and answer beside each hit."""
+
+from __future__ import annotations
+
+from corvane.llm import queries
+
+ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty. red green blue pink brown."
+
+
+def test_overlaps_say_which_part_was_found(spark, tmp_path):
+    docs = [(1, ITEM), (2, ITEM[: ITEM.index(" pink")])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(9, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: (r.n_item, r.n_found, r.n_question, r.n_answer) for r in queries.decontamination_overlaps(spark, str(tmp_path)).collect()}
+    assert got == {1: (21, 21, 16, 1), 2: (21, 19, 16, 0)}
