@@ -1,0 +1,18 @@
+"""Where token ids are those of the library's plain call, and where not."""
+
+from __future__ import annotations
+
+import numpy as np
+from tokenizers import Tokenizer
+
+from corvane.llm import tokens
+from corvane.llm.queries import TOKENIZER
+
+
+def test_only_the_literal_of_a_special_token_differs_from_the_plain_call():
+    plain = Tokenizer.from_file(TOKENIZER)
+    texts = ["one two  three", "<|endoftext", "a <| endoftext |> b", "é\n\n ß", "", "a <|endoftext|> b"]
+    got = [np.frombuffer(x, "<u2").tolist() for x in tokens._Memo(TOKENIZER, tokens.END).encode(texts)]
+    want = [[*plain.encode(t, add_special_tokens=False).ids, tokens.END] for t in texts]
+    assert got[:-1] == want[:-1]
+    assert 50256 in want[-1] and 50256 not in got[-1] and plain.decode(got[-1][:-1]) == texts[-1]
