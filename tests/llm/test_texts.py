@@ -89,32 +89,47 @@ def test_matching_statistics_are_the_longest_substrings():
 # --- decontamination
 
 
+def parts(text):
+    """Question and answer, by a scan from the end."""
+    blank, t = " \t\n\v\f\r", text.rstrip(" \t\n\v\f\r")
+    for e in range(len(t) - 2, -1, -1):
+        if t[e] in ".!?" and t[e + 1] in blank:
+            return text[: e + 1], text[e + 1 :]
+    return text, ""
+
+
+def runs(w, n):
+    return {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if n else set()
+
+
 def leaks(rows, items):
-    length = max(decontamination.PASSAGE, 2 * max(len(words(t)) for _, t in items))
-    half, out = length // 2, Counter()
-    for i, t in rows:
-        w = words(t)
-        for k, x in items:
-            v = words(x)
-            n = min(5, len(v))
-            if not n:
-                continue
-            own = {tuple(v[j : j + n]) for j in range(len(v) - n + 1)}
-            found = []
-            for lo in range(0, len(w), half):
-                part = w[lo : lo + length]
-                found.append(len(own & {tuple(part[j : j + n]) for j in range(len(part) - n + 1)}))
-            ok = [f for f in found if f >= 0.8 * len(own) - 1e-9]
+    out = Counter()
+    for k, x in items:
+        length = decontamination.PASSAGE
+        while length < 2 * len(words(x)):
+            length *= 2
+        sides = [words(t) for t in (x, *parts(x))]
+        own = [(min(5, len(v)), runs(v, min(5, len(v)))) for v in sides]
+        for i, t in rows if sides[0] else ():
+            w, ok = words(t), []
+            for lo in range(0, len(w), length // 2):
+                got = tuple(len(o & runs(w[lo : lo + length], n)) for n, o in own)
+                if all(g >= c * len(o) - 1e-9 for g, (_, o), c in zip(got, own, (0.8, 0.5, 0.5))):
+                    ok.append(got)
             if ok:
-                out[i, k, len(own), max(ok), len(ok)] += 1
+                out[i, k, len(own[0][1]), *max(ok), len(ok)] += 1
     return out
 
 
+NAMES = ["doc_id", "item_id", "n_item", "n_found", "n_question", "n_answer", "n_passages"]
+
+
 def test_decontamination(spark):
+    """Full rows against brute force, and the same rows however items are dealt and whatever other items there are."""
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(300)]
-    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 5, 14, 50, 90]))) + ". Yes it is.") for k in range(25)]
-    items += [(90, "Two words"), (91, ""), (92, "!!")]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 5, 14, 50, 90]))) + rng.choice([". Yes it is.", "! A b c d e f g h i j k.", "?"])) for k in range(25)]
+    items += [(90, "Two words"), (91, ""), (92, "!!"), (93, "Spread out. " + " ".join(f"s{i}" for i in range(12)))]
     rows = []
     for i in range(160):
         w = [rng.choice(vocabulary) for _ in range(rng.choice([0, 4, 90, 400]))]
@@ -126,27 +141,55 @@ def test_decontamination(spark):
             at = rng.randint(0, len(w))
             w[at:at] = v[: rng.choice([len(v), len(v), max(1, len(v) * 9 // 10)])]
         rows.append((i, " ".join(w)))
-    rows += [(900, None), (901, ""), (902, "x, TWO-words y")]
+    v = words(items[-1][1])
+    rows.append((800, " ".join(" ".join(v[j : j + 5]) + " gap" * 150 for j in range(len(v) - 4))))  # every shingle, no passage
+    rows += [(900, None), (901, ""), (902, "x, TWO-words y"), (None, "x, TWO-words y"), (903, "v1 " * 9000 + items[4][1])]
+    rows += [rows[0]] * 2
     docs = spark.createDataFrame([(i, t, "a", 2) for i, t in rows], "doc_id long, text string, item_id string, score int")
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    long = (99, " ".join(f"long{i}" for i in range(3000)))
     want = leaks(rows, items)
-    for shard_words in (4_000_000, 60):  # one index, and several
-        got = decontamination.contaminated(docs, bench, shard_words=shard_words).collect()
-        found = Counter((r.doc_id, r.item_id, r.n_item, r.n_found, r.n_passages) for r in got)
-        if shard_words > 60:
-            assert found == want and len(want) > 10
-        else:  # passages follow the longest item of an index
-            assert {k[:2] for k in want} == {k[:2] for k in found}
-        assert all(r.score >= 1 - 1e-9 and r.n_question + r.n_answer <= r.n_found for r in got)
-    kept = {r.doc_id for r in decontamination.clean(docs, bench).collect()}
-    assert kept == {i for i, _ in rows} - {k[0] for k in want}
+    assert len(want) > 10 and not any(k[0] == 800 for k in want)
+    for some, shard_words in ((items, 1_000_000), (items, 60), ([*items, long], 1_000_000), ([*items, long], 300)):
+        got = decontamination.contaminated(docs, spark.createDataFrame(some, "item_id long, text string"), shard_words=shard_words)
+        assert got.columns == NAMES and Counter(tuple(r) for r in got.collect()) == want
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept = Counter(r.doc_id for r in decontamination.clean(docs, bench).collect())
+    assert kept == Counter(i for i, _ in rows if i not in {k[0] for k in want})
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), bench).count() == 0
+    assert decontamination.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_question_and_answer_both_decide(spark):
+    """An item whose question is there but not its answer, or the other way round, is not found."""
+    question, answer = " ".join(f"q{i}" for i in range(40)) + ".", " the answer is blue"
+    item = question + answer
+    docs = [(1, item), (2, question), (3, answer), (4, f"{question} noise {answer}"), (5, f"{answer} {question}"), (6, question + " the answer is red")]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert {r.doc_id: (r.n_item, r.n_found, r.n_question, r.n_answer) for r in got.collect()} == {1: (40, 40, 36, 1), 4: (40, 36, 36, 1), 5: (40, 36, 36, 1)}
+
+
+def test_sql_of_decontamination(spark, tmp_path):
+    import duckdb
+
+    from corvane.llm import queries
+
+    rng = random.Random(3)
+    items = [(k, " ".join(f"w{rng.randrange(90)}" for _ in range(rng.choice([2, 6, 30, 70]))) + ".\nThe end it is" + " so" * (k % 7)) for k in range(12)]
+    docs = [(i, " ".join(f"w{rng.randrange(90)}" for _ in range(60)) + " " + (items[i % 12][1] if i % 2 else "")) for i in range(60)] + [(None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(f"select {', '.join(NAMES)} from ({queries.OP4_SQL})").fetchall()
+    got = [tuple(r) for r in queries.op4_decontamination(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) >= 30
 
 
 def test_wand_gives_all_scores_at_the_limit():
     rng = random.Random(9)
     items = [(k, " ".join(f"t{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.randint(3, 40)))) for k in range(150)]
-    index = decontamination.build(items)
+    [index] = decontamination.build(items)
     for _ in range(60):
         terms = sorted(rng.sample(range(len(index.terms)), min(len(index.terms), rng.randint(1, 40))))
         score = Counter()
