@@ -28,7 +28,7 @@ def _signs(tables: int, bits: int, seed: int):  # noqa: ANN202
         for batch in batches:
             column = batch.column(1)
             length = column.value_lengths().to_numpy()
-            flat, keys = column.flatten().to_numpy().astype(np.float64), np.zeros((len(length), tables), np.int32)
+            flat, keys = column.flatten().to_numpy().astype(np.float64), np.zeros((len(length), tables), np.int64)
             starts = np.concatenate([[0], np.cumsum(length)])
             for dims in np.unique(length).tolist():
                 if dims not in known:
@@ -36,9 +36,10 @@ def _signs(tables: int, bits: int, seed: int):  # noqa: ANN202
                 rows = np.flatnonzero(length == dims)
                 x = flat[starts[rows][:, None] + np.arange(dims)]
                 on = (x @ known[dims] >= 0).reshape(len(rows), tables, bits)
-                keys[rows] = on @ (1 << np.arange(bits, dtype=np.int32))
+                keys[rows] = on @ (1 << np.arange(bits, dtype=np.int64))
             ends = pa.array(np.arange(len(length) + 1, dtype=np.int32) * tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], ["id", "keys"])
+            short = pa.array((keys - (1 << bits - 1)).ravel().astype(np.int16))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, short)], ["c", "keys"])
 
     return run
 
@@ -51,13 +52,17 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.93, tables: int =
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label).
 
     Vectors are compared only under the same non-null label and with as many dimensions.  A vector
-    that is null, empty, zero, or holds a null or non-finite component has no link.  Equal vectors of
-    one label are a class with one representative and the number of its rows: copies are never
-    expanded to pairs, yet each copy counts as a link.  Every pair that shares a key in some table is
-    verified in double precision; a pair is looked at in the first table that it shares, so that it
-    counts once.  Rows that repeat a vec_id are separate vectors; a null vec_id is no representative
-    of others, has component null and is kept.  An empty table gives no rows.
+    that is null, empty, zero, or holds a null or non-finite component has no link; any other finite
+    one has, however large or small its components are: they are scaled by the largest first.  Equal
+    vectors of one label are a class with one representative and the number of its rows: copies are
+    never expanded to pairs, yet each copy counts as a link.  Every pair that shares a key in some
+    table is verified in double precision; a pair is looked at in the first table that it shares, so
+    that it counts once.  Rows that repeat a vec_id, or have none, are separate vectors and link like
+    others; component_id is the smallest vec_id that links reach and null if none of them has one,
+    where the row is kept.  bits is 16 at most.  An empty table gives no rows.
     """
+    if not 1 <= bits <= 16:
+        raise ValueError("bits must be 1 to 16")
     scratch = Scratch(vectors.sparkSession, "vectors")
     x = F.col("embedding").cast("array<double>")
     sound = F.col("label").isNotNull() & x.isNotNull() & F.coalesce(
@@ -67,39 +72,39 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.93, tables: int =
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), "label", F.when(sound, F.transform(x, lambda v: v + F.lit(0.0))).alias("x"), sound.alias("sound")
     )
-    classes = rows.where("sound and vec_id is not null").groupBy("label", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    norm = F.sqrt(_dot(F.col("x"), F.col("x")))
-    classes = classes.withColumn("norm", norm).where("norm > 0 and norm < double('Infinity')")
-    classes = classes.withColumn("unit", F.transform("x", lambda v: v / F.col("norm")))
+    classes = rows.where("sound").groupBy("label", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    classes = classes.withColumn("most", F.array_max(F.transform("x", F.abs))).withColumn("y", F.transform("x", lambda v: v / F.col("most")))
+    classes = classes.withColumn("norm", F.sqrt(_dot(F.col("y"), F.col("y")))).withColumn("unit", F.transform("y", lambda v: v / F.col("norm")))
     classes = scratch.table(classes.select("label", "x", "id", "copies", "unit", F.size("x").alias("dims")))
 
-    # a repeated vec_id with another label or vector is a class of its own: classes have their own number
+    # a class has a number of its own: vec_id may be null, and may stand for several classes
     classes = scratch.table(classes.withColumn("c", F.monotonically_increasing_id()))
-    keys = classes.select("c", "unit").transform(arrow, _signs(tables, bits, seed), "id long, keys array<int>").withColumnRenamed("id", "c")
+    keys = classes.select("c", "unit").transform(arrow, _signs(tables, bits, seed), "c long, keys array<short>")
     keyed = scratch.table(keys.join(classes.select("c", "label", "dims"), "c"))
-    spread = keyed.select("c", "label", "dims", "keys", F.posexplode("keys").alias("t", "key"))
+    # a row carries the keys of the tables before its own, 2 bytes each: what tells whether a pair was met before
+    spread = keyed.select("c", "label", "dims", "keys", F.posexplode("keys").alias("t", "key")).withColumn("keys", F.slice("keys", F.lit(1), F.col("t")))
     a, b = spread.alias("a"), spread.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("label", "dims", "t", "key")]
-    first = F.array_position(F.zip_with(F.col("a.keys"), F.col("b.keys"), lambda p, q: p == q), True) == F.col("a.t") + 1
+    first = ~F.exists(F.zip_with(F.col("a.keys"), F.col("b.keys"), lambda p, q: p == q), lambda v: v)
     met = a.join(b, [*same, F.col("a.c") < F.col("b.c"), first]).select(F.col("a.c").alias("a"), F.col("b.c").alias("b"))
-    left, right = (classes.select(F.col("c").alias(n), F.col("unit").alias(f"_{n}"), F.col("copies").alias(f"n{n}"), F.col("id").alias(f"id{n}")) for n in "ab")
-    links = met.join(left, "a").join(right, "b").where(_dot(F.col("_a"), F.col("_b")) >= cosine).select("a", "b", "na", "nb", "ida", "idb")
+    left, right = (classes.select(F.col("c").alias(n), F.col("unit").alias(f"_{n}"), F.col("copies").alias(f"n{n}")) for n in "ab")
+    links = met.join(left, "a").join(right, "b").where(_dot(F.col("_a"), F.col("_b")) >= cosine).select("a", "b", "na", "nb")
     links = scratch.table(links)
 
     several = links.select(F.col("a").alias("c"), F.col("nb").alias("n")).unionByName(links.select(F.col("b").alias("c"), F.col("na").alias("n")))
     several = several.groupBy("c").agg(F.sum("n").alias("others"))
-    found = components(links.select(F.col("ida").alias("a"), F.col("idb").alias("b")), scratch)
+    found = components(links.select("a", "b"), scratch).select(F.col("id").alias("c"), F.col("component_id").alias("root"))
+    member = classes.select("c", "id").join(found, "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
+    least = member.groupBy("root").agg(F.min("id").alias("component_id"))
     done = (
-        classes.join(several, "c", "left")
-        .join(found, "id", "left")
-        .select("label", "x", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+        classes.select("c", "label", "x", "copies")
+        .join(several, "c", "left")
+        .join(member.select("c", "root"), "c")
+        .join(least, "root")
+        .select("label", "x", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.lit(True).alias("found"))
     )
-    return (
-        rows.join(done, ["label", "x"], "left")
-        .select(
-            "vec_id",
-            F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-            F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = rows.join(done, ["label", "x"], "left")
+    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
     )

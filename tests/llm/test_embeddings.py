@@ -51,9 +51,35 @@ def test_like_brute_force(spark):
     assert len(got ^ want) <= 0.04 * len(rows)
 
 
+def test_recall_on_a_table(spark):
+    """Recall of links against brute force on the smallest tables that have vectors."""
+    import os
+
+    import pytest
+
+    where = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(where):
+        pytest.skip("no tables")
+    rows = [(r.vec_id, r.embedding, r.label, 0) for r in spark.read.parquet(where).collect()]
+    got = {r.vec_id: r.n_links for r in embedding_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {r[0]: r[1] for r in brute(rows)}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.9 * sum(want.values())
+
+
+def run(spark, rows):
+    return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+
+
 def test_empty_and_null_ids(spark):
-    assert embedding_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
-    rows = [(None, [1.0, 0.0], 1, 0), (4, [1.0, 0.0], 1, 0), (4, [1.0, 0.0], 1, 0)]
-    got = sorted(map(str, embedding_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()))
-    assert "component_id=None, kept=True" in got[2] and len(got) == 3
-    assert got[0] == got[1] == "Row(vec_id=4, n_links=1, component_id=4, kept=True)"
+    assert run(spark, []) == []
+    one = [1.0, 0.0]
+    got = run(spark, [(None, one, 1, 0), (4, one, 1, 0), (4, one, 1, 0), (None, [1.0, 0.01], 1, 0), (None, [0.0, 1.0], 1, 0), (None, [0.0, 1.0], 1, 0), (None, None, 1, 0)])
+    assert got == sorted([(None, 3, 4, False), (4, 3, 4, True), (4, 3, 4, True), (None, 3, 4, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)], key=str)
+
+
+def test_huge_and_tiny_vectors(spark):
+    big, small = 3e38, 1e-44  # near the ends of a float; doubles below
+    rows = [(1, [big, big], 0, 0), (2, [big, big * 0.9], 0, 0), (3, [1.0, 1.0], 0, 0), (4, [small, small], 0, 0), (5, [small, 0.0], 0, 0)]
+    assert run(spark, rows) == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True)]
+    frame = spark.createDataFrame([(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 1.01e-200], 0)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_duplicates(frame).collect()) == [(1, 2, 1), (2, 2, 1), (3, 2, 1)]
