@@ -2,48 +2,51 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._ship import arrow
-from ._words import LOWER, PIECE, text_bytes
+from ._words import LOWER, PIECE
 
 DIMS = 1 << 13  # hashed n-grams
-WIDTHS = (1, 2, 3)  # bytes of an n-gram
+WIDTHS = (1, 2, 3)  # characters of an n-gram
 SAMPLE = 500  # rows that the model learns from for each language, about
 TOTAL = 3000  # and for all languages together, about: the driver holds 32 kB for each
 CENTROIDS = 4
 REJECT = 0.2  # a best cosine under this is marked as rejected
-MAX_LANGUAGES = 200
+LEARNED = 2_000  # languages that a model knows at most, those with most rows: CENTROIDS x 64 kB each, 512 MB in all
 
-_SPACE = LOWER.copy()
+_SPACE = LOWER[:128].astype(np.uint32)
 _SPACE[:65] = 32  # white space, digits and punctuation are one sign
 _SPACE[[*range(91, 97), *range(123, 128)]] = 32
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
-def counts(data: np.ndarray) -> np.ndarray:
-    """Counts of the hashed n-grams of one text's bytes; long texts go through in pieces."""
+def counts(text: str) -> np.ndarray:
+    """Counts of the hashed n-grams of one text's characters; long texts go through in pieces.
+
+    A-Z count as a-z; all ASCII that is no letter is one sign.
+    """
     out = np.zeros(DIMS, dtype=np.int64)
     reach = max(WIDTHS) - 1
-    for lo in range(0, len(data), PIECE):
-        part = _SPACE[data[max(0, lo - reach) : lo + PIECE]].astype(np.uint32)
-        fresh = min(lo, reach)  # the first bytes only complete n-grams of the piece before
+    for lo in range(0, len(text), PIECE):
+        part = np.frombuffer(text[max(0, lo - reach) : lo + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
+        part = np.where(part < 128, _SPACE[np.minimum(part, 127)], part)
+        fresh = min(lo, reach)  # the first characters only complete n-grams of the piece before
         for n in WIDTHS:
             if len(part) < n:
                 continue
             h = np.zeros(len(part) - n + 1, dtype=np.uint32)
             for j in range(n):
                 h = h * np.uint32(0x01000193) + part[j : j + len(h)]
-            ends = np.arange(n - 1, len(part)) >= fresh
-            h = (h ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-            out += np.bincount(h[ends] >> np.uint32(32 - DIMS.bit_length() + 1), minlength=DIMS)
+            h = (h[max(0, fresh - n + 1) :] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+            out += np.bincount(h >> np.uint32(32 - DIMS.bit_length() + 1), minlength=DIMS)
     return out
 
 
@@ -107,10 +110,9 @@ def _pure(model: Model, x: np.ndarray, lang: np.ndarray) -> Model:
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, at = text_bytes(batch.column(2))
         made = []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            c = counts(data[a:b])
+        for text in batch.column(2).to_pylist():
+            c = counts(text or "")
             on = np.flatnonzero(c)
             made.append(np.stack([on, c[on]]).astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["doc_id", "lang", "c"])
@@ -119,22 +121,21 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, sample: int = SAMPLE, fold: tuple[int, int] = (5, 0), centroids: int = CENTROIDS) -> Model:
     """Learns from text and non-null lang of rows outside the held-out fold.
 
-    All such rows are counted by language (at most MAX_LANGUAGES rows come back); each language then
-    gives the rows with the smallest checksums, about `sample` of them (a binomial number with that
-    mean).  The driver holds n-gram counts, no texts.
+    All such rows are counted by language; each language then gives the rows with the smallest
+    checksums, about `sample` of them (a binomial number with that mean), fewer if there are many
+    languages, but about one at least.  The driver holds n-gram counts of about TOTAL rows, or of a
+    row for each language, and no texts.  A row that repeats counts as often as it comes.
     """
     ids = F.col("doc_id").cast("string").cast("binary")
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where("lang is not null")
     rows = rows.where(F.coalesce(F.crc32(ids) % fold[0] != fold[1], F.lit(True)))
-    found = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LEARNED).collect()
     if not found:
         return fit([])
     sample = min(sample, -(-TOTAL // len(found)))
-    share = F.create_map(*(F.lit(x) for r in sorted(found, key=lambda r: r["lang"]) for x in (r["lang"], min(1.0, sample / r["count"]))))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in found], "lang string, share double")
     spot = F.conv(F.substring(F.md5(F.coalesce(ids, F.lit(b""))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    rows = rows.where(spot < share[F.col("lang")])
+    rows = rows.join(F.broadcast(share), "lang").where(spot < F.col("share"))  # LEARNED rows at most
     made = []
     for r in rows.select("doc_id", "lang", "text").transform(arrow, _count_rows, "doc_id long, lang string, c binary").collect():
         on, n = np.frombuffer(r["c"], np.int32).reshape(2, -1)
@@ -149,20 +150,22 @@ def identify(docs: DataFrame, model: Model, fold: tuple[int, int] = (5, 0), reje
     """doc_id, held_out, lang_pred, score, rejected of each row of docs.
 
     The nearest centroid's language, its cosine as the score, and whether that cosine is too small to
-    trust.  A null text or one without a letter is `und` with score 0, as is every text if nothing
-    was learned; any other text has a learned language.  Texts are taken whole.
+    trust.  A null text or one without a letter (Unicode category L) is `und` with score 0, as is every
+    text if nothing was learned; any other text has a learned language.  Of centroids with equal
+    cosines the first counts: languages by code point.  Texts are taken whole; a null doc_id stays null
+    and is not held out; repeated rows give repeated rows, an empty table none.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES x CENTROIDS x DIMS numbers at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 64 kB for each centroid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            texts, (data, at) = batch.column(1).to_pylist(), text_bytes(batch.column(1))
+            texts = batch.column(1).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if m.language else []
             for lo in range(0, len(rows), 64):
                 some = rows[lo : lo + 64]
-                cos = m.cosines(m.vectors(np.stack([counts(data[at[i] : at[i + 1]]) for i in some]).astype(np.float64)))
+                cos = m.cosines(m.vectors(np.stack([counts(texts[i]) for i in some]).astype(np.float64)))
                 best = cos.argmax(axis=1)
                 for i, b, c in zip(some, best.tolist(), cos[np.arange(len(some)), best].tolist(), strict=True):
                     lang[i], score[i] = m.language[b], min(1.0, max(0.0, c))
@@ -175,4 +178,5 @@ def identify(docs: DataFrame, model: Model, fold: tuple[int, int] = (5, 0), reje
 
 
 def languages(docs: DataFrame, sample: int = SAMPLE, fold: tuple[int, int] = (5, 0), centroids: int = CENTROIDS) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of each row of docs, learned from docs themselves; see train and identify."""
     return identify(docs, train(docs, sample, fold, centroids), fold)
