@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from ._ship import arrow
 from ._words import ALNUM, hashed_words
+from .licence_texts import TEXTS
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {
@@ -48,7 +50,7 @@ TEMPLATES = {
         "the software is provided as is without warranty of any kind express or implied",
     ],
     "mpl-notice": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-}
+} | {label: [text] for label, text in TEXTS.items()}
 
 LEAST = 3  # words of a match that a chain may use
 GAP = 8  # words between the matches of a chain, in the text and in the template
@@ -63,7 +65,7 @@ class Automaton:
     link: list[int]
     length: list[int]
     ends: list[list[tuple[int, int]]]  # (template, words up to here) of every place of a state's substrings
-    phrases: list[tuple[tuple[int, int], ...]]  # (phrase, words) of phrases that end a state's substring
+    whole: list[tuple[tuple[int, int], ...]]  # (template, words) of whole phrases and templates that end a state's substring
     size: list[int]  # words of each template
     label: list[str]
     n_phrases: int
@@ -117,11 +119,12 @@ def build(phrases: dict[str, str] | None = None, templates: dict[str, list[str]]
         if link[s] > 0:
             ends[link[s]] = sorted({*ends[link[s]], *ends[s]})
     own: dict[int, list[tuple[int, int]]] = {}
-    for k in range(len(phrases)):
+    for k in range(len(texts)):
         s = 0
         for c in numbers[at[k] : at[k + 1]]:
             s = step[s][c]
-        own.setdefault(s, []).append((k, int(at[k + 1] - at[k])))
+        if s:
+            own.setdefault(s, []).append((k, int(at[k + 1] - at[k])))
     found: list[tuple[tuple[int, int], ...]] = [()] * len(step)
     for s in reversed(order):
         found[s] = (*found[link[s]], *own.get(s, ()))
@@ -140,22 +143,26 @@ def statistics(auto: Automaton, words: list[int]) -> Iterator[tuple[int, int, in
         yield i, s, n
 
 
-def chains(auto: Automaton, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+def chains(auto: Automaton, matches: list[tuple[int, int, int]], whole: list[tuple[int, int]] = ()) -> list[tuple[int, int, int, float]]:
     """Covered spans (template, first word, word after the last, covered part) of maximal matches.
 
-    matches: (position of the last word, state, length).  A chain's matches follow each other in text
+    matches: (position of the last word, state, length); whole: (template, first word) of whole
+    templates, which a longer match may hide if another template has them in it.  A chain's matches follow each other in text
     and template, at most GAP words apart; an overlap counts once.  Each match takes the predecessor
-    that covers most, and of chains that overlap in the text the one that covers most is reported.
+    that covers most, and of chains that overlap in the text the one that covers most is reported,
+    of equal ones the first.
     """
     placed: dict[int, list[tuple[int, int, int]]] = {}
     for i, s, n in matches:
         for k, at in auto.ends[s]:
             if at >= n and n >= min(LEAST, auto.size[k]):
                 placed.setdefault(k, []).append((i + 1 - n, at - n, n))
+    for k, start in whole:
+        placed.setdefault(k, []).append((start, 0, auto.size[k]))
     out = []
     for k, some in placed.items():
         ends: list[tuple[int, int, int, int]] = []  # best chain up to each match: first word, end in text, in template, covered words
-        for start, inner, n in sorted(some):
+        for start, inner, n in sorted(set(some)):
             best = (start, start + n, inner + n, n)
             for first, end, at, covered in reversed(ends):
                 if start - end > 2 * GAP + auto.size[k]:
@@ -164,17 +171,18 @@ def chains(auto: Automaton, matches: list[tuple[int, int, int]]) -> list[tuple[i
                 if start - end <= GAP and inner - at <= GAP and cut < n and first <= start and covered + n - cut > best[3]:
                     best = (first, start + n, inner + n, covered + n - cut)
             ends.append(best)
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # in order, and apart from each other
         for first, end, _, covered in sorted(ends, key=lambda c: (-c[3], c)):
-            if all(end <= lo or first >= hi for lo, hi in taken):
-                taken.append((first, end))
+            i = bisect(taken, (first, end))
+            if (i == 0 or taken[i - 1][1] <= first) and (i == len(taken) or end <= taken[i][0]):
+                taken.insert(i, (first, end))
                 out.append((k, first, end, min(1.0, covered / auto.size[k])))
     return sorted(out)
 
 
 def scan(auto: Automaton, words: np.ndarray) -> dict:
     """What one text's word hashes hold: phrase places, covered spans, labels, score."""
-    n_base, first, last, base, spans, score = 0, None, None, set(), [], 0.0
+    n_base, first, last, base, spans, whole, score = 0, None, None, set(), [], [], 0.0
     at = np.searchsorted(auto.words, words)
     at[at == len(auto.words)] = 0
     known = np.flatnonzero(auto.words[at] == words) if len(auto.words) else np.zeros(0, int)
@@ -186,9 +194,12 @@ def scan(auto: Automaton, words: np.ndarray) -> dict:
         run = known[opens[k] : closes[k]]
         offset, matches, before = int(run[0]), [], (0, 0, 0)
         for i, s, n in statistics(auto, at[run].tolist()):
-            for k, size in auto.phrases[s]:
+            for k, size in auto.whole[s]:
                 if size <= n:
                     place = offset + i + 1 - size
+                    whole.append((k, place))
+                    if k >= auto.n_phrases:
+                        continue
                     n_base += 1
                     first, last = place if first is None else min(first, place), place if last is None else max(last, place)
                     base.add(auto.label[k])
@@ -197,7 +208,7 @@ def scan(auto: Automaton, words: np.ndarray) -> dict:
             before = (offset + i, s, n)
         matches.append(before)
         spans += [m for m in matches if m[2] >= least]
-    covered = chains(auto, spans)
+    covered = chains(auto, spans, whole)
     score = max((c for *_, c in covered), default=0.0)
     more = {auto.label[k] for k, _, _, c in covered if k >= auto.n_phrases and c >= COVER}
     return {"n_words": len(words), "n_base": n_base, "first_word": first, "last_word": last, "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | more)), "score": float(score), "spans": [(auto.label[k], a, b, c) for k, a, b, c in covered if k >= auto.n_phrases and c >= COVER]}
@@ -212,8 +223,9 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
 
     score is the largest covered part of a template, phrases being templates of their own; a
     template covered by COVER or more gives its label.  Null and empty texts have no words: counts 0,
-    places null, labels empty, score 0.  Texts are taken whole.  Repeated rows give repeated rows, an
-    empty table none; a null doc_id stays null.
+    places null, labels empty, score 0, no spans.  Texts are taken whole.  Repeated rows give repeated
+    rows, an empty table none; a null doc_id stays null.  spans are those of covered templates, by
+    template, then place: label, first_word, end_word (the word after the last), covered.
     """
     auto = build(phrases, templates)
 
