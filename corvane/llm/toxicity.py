@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._ship import arrow
@@ -17,6 +17,7 @@ from ._words import ALNUM, hashed_words, mix
 BITS = 20  # 2^20 weights
 STEM = 4  # bytes of a word that are a feature of their own
 SAMPLE = 6000  # labelled rows that the model learns from, at most; the smallest hashes of all that may be used
+FEATURES = 1 << 25  # distinct features of all these rows together, at most: 128 MB in the driver
 UPDATES = 24_000  # examples that the model sees, whole passes over the sample
 CUT = 0.3  # scores from here on are predicted toxic
 
@@ -81,12 +82,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["doc_id", "y", "f"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[int, int] | None = (4, 2), updates: int = UPDATES) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sparse weights and the intercept, from at most `sample` labelled rows outside the held-out fold.
+Example = tuple[np.ndarray, int]
+
+
+def _examples(docs: DataFrame, labels: DataFrame, sample: int, fold: tuple[int, int] | None, most: int = FEATURES) -> list[tuple[int, Example]]:
+    """(doc_id, (features, label)) of at most `sample` labelled rows outside the held-out fold, in a fixed order.
 
-    The rows are those whose doc_id has the smallest checksums; several labels of a doc_id count as
-    the largest.  Their features are found by tasks; the driver holds `sample` sets of features (about
-    10 kB each) and 2 x 2^20 numbers.  Rows that repeat a doc_id and its text count once.  Without labelled rows all scores are 0.
+    The rows are those whose doc_id has the smallest checksums, as many as have `most` features
+    together; several labels of a doc_id count as the largest.  Rows that repeat a doc_id and its text
+    count once.  Features are found by tasks: the driver holds 4 bytes for each, 128 MB in all.
     """
     ids = F.col("doc_id").cast("string")
     usable = labels.where("doc_id is not null and toxic in (0, 1)")
@@ -95,40 +99,96 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[
     rows = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     rows = rows.orderBy(F.md5(ids.cast("binary")), "doc_id").limit(sample)  # 12 bytes a row: a proven bound for the broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text")
-    model, found = Ftrl(), {}
-    for r in texts.transform(arrow, _extract, "doc_id long, y int, f binary").distinct().collect():
-        found[zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"])] = r["y"]
-    order = sorted(found)
+    made = texts.transform(arrow, _extract, "doc_id long, y int, f binary").distinct()
+    upto = Window.orderBy(F.md5(ids.cast("binary")), "doc_id", "f").rowsBetween(Window.unboundedPreceding, 0)  # `sample` rows and what repeats them
+    made = made.withColumn("upto", F.sum(F.octet_length("f") / 4).over(upto)).where(F.col("upto") <= most)
+    found = {(zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"])): r["y"] for r in made.collect()}
+    return [(k[1], (np.frombuffer(k[2], np.int32), found[k])) for k in sorted(found)]
+
+
+def learn(examples: list[Example], model: Ftrl, updates: int = UPDATES) -> Ftrl:
+    """Whole passes over the examples, each in another seeded order, until `updates` are through."""
     rng = np.random.Generator(np.random.PCG64(11))
-    for _ in range(-(-updates // len(order)) if order else 0):
-        for k in rng.permutation(len(order)):
-            model.learn(np.frombuffer(order[k][2], np.int32).astype(np.int64), found[order[k]])
-    return model.compact()
+    for _ in range(-(-updates // len(examples)) if examples else 0):
+        for k in rng.permutation(len(examples)).tolist():
+            model.learn(examples[k][0].astype(np.int64), examples[k][1])
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[int, int] | None = (4, 2), updates: int = UPDATES) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sparse weights and the intercept, from at most `sample` labelled rows outside the held-out fold; see _examples.
+
+    Without labelled rows all scores are 0.5.
+    """
+    return learn([e for _, e in _examples(docs, labels, sample, fold)], Ftrl(), updates).compact()
 
 
-def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], cut: float = CUT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, predicted (and `keep`) of each row; a null or empty text has the intercept's score."""
-    index, value, intercept = weights
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((index, value))  # at most 2^20 pairs: 8 MB
+def losses(docs: DataFrame, labels: DataFrame, settings: list[dict], sample: int = SAMPLE, fold: tuple[int, int] | None = (4, 2), updates: int = UPDATES, parts: int = 3) -> list[tuple[float, float, dict]]:
+    """(mean log loss, share of wrong answers at CUT, setting) of each setting, best first, by cross-validation.
+
+    Every part is crc32(doc_id) div 4 mod `parts` of the rows outside the held-out fold, whose labels
+    are never read: Ftrl's defaults come from here.
+    """
+    known = _examples(docs, labels, sample, fold)
+    out = []
+    for setting in settings:
+        loss, wrong = [], []
+        for part in range(parts):
+            mine = [zlib.crc32(str(i).encode()) // 4 % parts == part for i, _ in known]
+            model = learn([e for (_, e), m in zip(known, mine, strict=True) if not m], Ftrl(**setting), updates)
+            w = model.weights(np.arange((1 << BITS) + 1))
+            for (_, (f, y)), m in zip(known, mine, strict=True):
+                if m:
+                    p = 1 / (1 + np.exp(-np.clip(w[f].sum() + w[-1], -35, 35)))
+                    loss.append(-np.log(max(1e-15, p if y else 1 - p)))
+                    wrong.append((p >= CUT) != bool(y))
+        out.append((float(np.mean(loss)), float(np.mean(wrong)), setting))
+    return sorted(out, key=lambda x: x[:2])
+
+
+def _scorer(index: np.ndarray, value: np.ndarray, intercept: float):  # noqa: ANN202
+    dense = np.zeros(1 << BITS, dtype=np.float32)
+    dense[index] = value
+
+    def scored(column: pa.Array) -> np.ndarray:
+        out = np.full(len(column), intercept)
+        for lo, hi, at, words, stems in hashed_words(column, ALNUM, STEM):
+            row, f = features(words, stems, at)
+            some = np.flatnonzero(dense[f])
+            both = np.unique((row[some] << BITS) | f[some])
+            out[lo:hi] += np.bincount(both >> BITS, dense[both & ((1 << BITS) - 1)], hi - lo)
+        return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+
+    return scored
+
+
+def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], cut: float = CUT) -> DataFrame:
+    """doc_id, score, predicted of each row; a null or empty text has the intercept's score.
+
+    Repeated rows give repeated rows, an empty table none; a null doc_id stays null.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(weights)  # at most 2^20 pairs: 8 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = _scorer(*sent.value)
+        for batch in batches:
+            p = scored(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return chosen.transform(arrow, run, "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], cut: float = CUT) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under `cut`; nulls and repeated rows as in score()."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(1 << BITS, dtype=np.float32)
-        dense[sent.value[0]] = sent.value[1]
+        scored = _scorer(*sent.value)
         for batch in batches:
-            out = np.full(batch.num_rows, intercept)
-            for lo, hi, at, words, stems in hashed_words(batch.column(1), ALNUM, STEM):
-                row, f = features(words, stems, at)
-                some = np.flatnonzero(dense[f])
-                both = np.unique((row[some] << BITS) | f[some])
-                out[lo:hi] += np.bincount(both >> BITS, dense[both & ((1 << BITS) - 1)], hi - lo)
-            p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            columns = [batch.column(0), pa.array(p), pa.array((p >= cut).astype(np.int32)), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", *keep])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)))
-    kinds = "".join(f", `{n}` {t}" for n, t in docs.select(*keep).dtypes) if keep else ""
-    return chosen.transform(arrow, run, "doc_id long, score double, predicted int" + kinds)
+            yield batch.filter(pa.array(scored(batch.column(at)) < cut))
+
+    return docs.transform(arrow, run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[int, int] = (4, 2), cut: float = CUT) -> DataFrame:
