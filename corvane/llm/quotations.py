@@ -47,17 +47,21 @@ def _hash(line: str) -> int:
     return int.from_bytes(blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_LINES = "array<struct<passage: int, level: int, hash: long>>"
+_PASSAGES = "array<struct<passage: int, level: int, lines: array<long>>>"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("hash", pa.int64())]))
+    kind = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("lines", pa.list_(pa.int64()))]))
     for batch in batches:
         quotes, own, texts, passages = [], [], [], []
         for text in batch.column(1).to_pylist():
             quoted, rest = parse(text)
-            quotes.append([{"passage": p, "level": n, "hash": _hash(line)} for p, n, line in quoted if line])
-            own.append(list({_hash(x) for x in map(normal, rest.split("\n")) if x}))
+            some: dict[tuple[int, int], list[int]] = {}
+            for p, n, line in quoted:
+                if line:
+                    some.setdefault((p, n), []).append(_hash(line))
+            quotes.append([{"passage": p, "level": n, "lines": lines} for (p, n), lines in some.items()])
+            own.append([_hash(x) for x in map(normal, rest.split("\n")) if x])
             texts.append(rest)
             passages.append(quoted[-1][0] + 1 if quoted else 0)
         yield pa.RecordBatch.from_arrays(
@@ -103,31 +107,52 @@ def _latest_owner(quotes: DataFrame, own: DataFrame, scratch: Scratch) -> DataFr
     return lines.select("m", "passage", "level", F.coalesce("origin", "_last").alias("origin"))
 
 
-def _every_owner(best: DataFrame, quotes: DataFrame, own: DataFrame) -> DataFrame:
-    """best with votes among all earlier owners of a passage's lines.
+def _whole_passages(passages: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """m, passage, level, b (lines, origin) of the passages that an earlier message has whole, as lines in a row.
+
+    passages: m, conv_id, passage, level, lines; own: m, conv_id, own.  A passage's hash is that of its
+    normalised lines; a message has one for each of its runs of lines that is as long as a passage
+    quoted in its conversation.
+    """
+    hashed = passages.withColumn("k", F.size("lines")).withColumn("hash", F.xxhash64("k", "lines"))
+    lengths = hashed.select("conv_id", "k").distinct()
+    runs = own.join(lengths, "conv_id").where(F.size("own") >= F.col("k"))
+    starts = F.sequence(F.lit(1), F.size("own") - F.col("k") + 1)
+    runs = runs.select("m", "conv_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.col("k"), F.slice("own", i, F.col("k")))))).alias("hash"))
+    runs = runs.join(hashed.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    found = _latest_owner(hashed, runs, scratch).where("origin is not null")
+    sizes = hashed.select("m", "passage", F.col("k").cast("long").alias("n"))
+    return found.join(sizes, ["m", "passage"]).select("m", "passage", "level", F.struct("n", "origin").alias("b"))
+
+
+def _by_lines(passages: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """m, passage, level, b (lines, origin): the earlier message that has most of a passage's lines, of equal ones the latest.
 
     Where the latest owner is the same for all lines that have one, no message has more of them and
-    none later has as many; only the other passages meet every owner.
+    none later has as many; only the other passages meet every owner of their lines.
     """
-    unsettled = best.where("b.n < total")
-    rest = quotes.join(unsettled.select("m", "passage"), ["m", "passage"], "left_semi")
+    lines = passages.select("m", "conv_id", "passage", "level", F.explode("lines").alias("hash"))
+    own = own.select("m", "conv_id", F.explode(F.array_distinct("own")).alias("hash")).join(lines.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    latest = _latest_owner(lines, own, scratch).where("origin is not null")
+    best = latest.groupBy("m", "passage", "level", "origin").agg(F.count("*").alias("n"))
+    best = scratch.table(best.groupBy("m", "passage", "level").agg(F.max(F.struct("n", "origin")).alias("b"), F.sum("n").alias("total")))
+    rest = lines.join(best.where("b.n < total").select("m", "passage"), ["m", "passage"], "left_semi")
     votes = rest.join(own.withColumnRenamed("m", "origin"), ["conv_id", "hash"]).where("origin < m")
     votes = votes.groupBy("m", "passage", "level", "origin").agg(F.count("*").alias("n"))
     counted = votes.groupBy("m", "passage", "level").agg(F.max(F.struct("n", "origin")).alias("b"))
     return best.where("b.n = total").drop("total").unionByName(counted)
 
 
-def link_quotations(messages: DataFrame, every_owner: bool = False) -> DataFrame:
+def link_quotations(messages: DataFrame) -> DataFrame:
     """A row for each row of messages (conv_id, turn, role, text), in place of assembled conversations.
 
-    conv_id, turn, role; n_quoted: quoted passages; n_linked: those whose lines an earlier message of
-    the conversation has as its own (most lines decide, then the latest message); reply_to: turn of
-    the origin of the level-1 passage with most such lines, ties to the latest, null without one;
-    thread_turn: turn of the first message of its thread (messages that replies connect); position:
-    place in the reply-ordered conversation, threads by their first message, a reply after what it
-    answers; own_text: the text without quotes.  A conversation is never gathered in one task.
-    With every_owner each line counts for all earlier messages that have it; without, as in OP7_SQL,
-    for the latest of them only.
+    conv_id, turn, role; n_quoted: quoted passages; n_linked: those that an earlier message of the
+    conversation has as its own: whole, as lines in a row (the latest such message counts), or else
+    in part (most lines decide, then the latest message); reply_to: turn of the origin of the level-1
+    passage with most such lines, ties to the latest, null without one; thread_turn: turn of the first
+    message of its thread (messages that replies connect); position: place in the reply-ordered
+    conversation, threads by their first message, a reply after what it answers; own_text: the text
+    without quotes.  A conversation is never gathered in one task.
 
     Messages follow turn (null first), role, text.  A null text is empty; messages without conv_id have
     no links and are threads of their own, numbered together.  Repeated rows are separate messages;
@@ -136,16 +161,14 @@ def link_quotations(messages: DataFrame, every_owner: bool = False) -> DataFrame
     scratch = Scratch(messages.sparkSession, "quotes")
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = _sorted(rows, scratch, "conv_id", "turn", "role", "text").withColumnRenamed("_spot", "m").drop("_part")
-    parsed = scratch.table(rows.select("m", "text").transform(arrow, _parsed, f"m long, n_quoted int, quotes {_LINES}, own array<long>, own_text string"))
+    parsed = scratch.table(rows.select("m", "text").transform(arrow, _parsed, f"m long, n_quoted int, quotes {_PASSAGES}, own array<long>, own_text string"))
     known = rows.where("conv_id is not null").select("m", "conv_id")
-    quotes = parsed.where("n_quoted > 0").join(known, "m").select("m", "conv_id", F.explode("quotes").alias("q")).select("m", "conv_id", "q.*")
-    quoted = quotes.select("conv_id", "hash").distinct()
-    own = parsed.join(known, "m").select("m", "conv_id", F.explode("own").alias("hash")).join(quoted, ["conv_id", "hash"], "left_semi")
-    lines = _latest_owner(quotes, own, scratch).where("origin is not null")
-    best = lines.groupBy("m", "passage", "level", "origin").agg(F.count("*").alias("n"))
-    best = scratch.table(best.groupBy("m", "passage", "level").agg(F.max(F.struct("n", "origin")).alias("b"), F.sum("n").alias("total")))
-    if every_owner:
-        best = scratch.table(_every_owner(best, quotes, own))
+    passages = parsed.where("n_quoted > 0").join(known, "m").select("m", "conv_id", F.explode("quotes").alias("q")).select("m", "conv_id", "q.*")
+    passages = scratch.table(passages)
+    own = parsed.join(known, "m").select("m", "conv_id", "own").join(passages.select("conv_id").distinct(), "conv_id", "left_semi")
+    whole = scratch.table(_whole_passages(passages, own, scratch))
+    rest = passages.join(whole.select("m", "passage"), ["m", "passage"], "left_anti")
+    best = whole.unionByName(_by_lines(rest, own, scratch))
     linked = best.groupBy("m").agg(
         F.count("*").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("b"))).getField("origin").alias("origin")
     )

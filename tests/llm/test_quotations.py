@@ -1,4 +1,4 @@
-"""Quotation links against brute force over all owners of a line."""
+"""Quotation links against brute force: whole passages first, then all owners of a line."""
 
 from __future__ import annotations
 
@@ -17,13 +17,18 @@ def brute(texts: list[str]) -> list[tuple[int, int | None]]:
         best, reply = {}, {}
         for passage in {p for p, _, _ in quoted}:
             lines = [(level, x) for p, level, x in quoted if p == passage and x]
-            n = [sum(x in have for _, x in lines) for have in owned]
-            if any(n):
+            text = [x for _, x in lines]
+            whole = [m for m, have in enumerate(owned) if any(have[i : i + len(text)] == text for i in range(len(have)))] if text else []
+            n = [sum(x in have for x in text) for have in owned]
+            if whole:
+                best[passage] = (len(text), whole[-1])
+            elif any(n):
                 best[passage] = max((k, m) for m, k in enumerate(n))
+            if passage in best:
                 if lines[0][0] == 1:
                     reply[passage] = best[passage]
         out.append((len(best), max(reply.values())[1] if reply else None))
-        owned.append({quotations.normal(x) for x in own.split("\n")} - {""})
+        owned.append([x for x in map(quotations.normal, own.split("\n")) if x])
     return out
 
 
@@ -31,7 +36,9 @@ def test_most_lines_decide_among_all_owners(spark, tmp_path):
     """Greetings recur, so that the latest owner of most lines is seldom the message that was quoted."""
     first = ["hi\nthe meeting is at 3\nthanks", "hi\nthanks", "> hi\n> the meeting is at 3\n> thanks\nok"]
     assert brute(first)[2] == (1, 0)
-    rng, talks = random.Random(5), [first]
+    apart = ["a\nb\nc", "a\nx\nb\nc", "> a\n> b\n> c", "> a\n> c"]  # the second has all lines too, but not in a row
+    assert [x[1] for x in brute(apart)] == [None, None, 0, 1]
+    rng, talks = random.Random(5), [first, apart]
     for _ in range(8):
         said: list[str] = []
         for _ in range(25):
