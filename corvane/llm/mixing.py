@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,8 @@ BLOCK = 64  # words in a block
 SHARDS = 16
 SEED = 7
 PRIMES = (1000000007, 998244353, 2147483647)
-MAX_SOURCES = 200_000  # a row of 40 bytes for each is held by the driver
+ROWS = 1 << 16  # rows of a source that mixed() balances in one group, about
+COPIES = 1 << 12  # of an equal row that are expanded in one place
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> list[float]:
@@ -95,12 +97,14 @@ def _stride(n: int, seed: int) -> tuple[int, int]:
     return (next(p for p in PRIMES if n % p) % n if n > 1 else 0), (seed * 2654435761 % n if n else 0)
 
 
-def plan(spark: SparkSession, sizes: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE) -> tuple[DataFrame, list[list[int]]]:
-    """sizes: source, source_size.  Returns a row for each source with what its blocks get, and the quotas."""
-    found = sizes.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found = sorted(((r["source"], int(r["source_size"])) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
+def plan(spark: SparkSession, sizes: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE) -> DataFrame:
+    """sizes: source, source_size.  Returns a row for each source: its target, its blocks and what they get.
+
+    marks has the seats of the source up to each shard's end, so that shard k's quota is marks[k] -
+    marks[k - 1].  Seat j goes to the block at place j mod blocks of the source's seeded order.  The
+    driver holds one row of about 300 bytes for each source.
+    """
+    found = sorted(((r["source"], int(r["source_size"])) for r in sizes.collect()), key=lambda r: (r[0] is None, r[0] or ""))
     size = [s for _, s in found]
     want = targets(size, weights, share)
     blocks = [-(-s // block) for s in size]
@@ -108,82 +112,149 @@ def plan(spark: SparkSession, sizes: DataFrame, block: int = BLOCK, shards: int
     quotas = shard_quotas(want, house, [MOST * b for b in blocks], shards)
     rows = []
     for i, (source, s) in enumerate(found):
-        total = sum(q[i] for q in quotas)
-        n = blocks[i]
-        step, start = _stride(n, seed + i)
-        rows.append((source, s, want[i], n, total // n if n else 0, total % n if n else 0, step, start))
+        marks = [sum(q[i] for q in quotas[: k + 1]) for k in range(shards)]
+        rows.append((source, s, want[i], blocks[i], *_stride(blocks[i], seed + i), marks))
     schema = T.StructType(
         [T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]
-        + [T.StructField(c, T.LongType()) for c in ("blocks", "rounds", "extra", "step", "start")]
+        + [T.StructField(c, T.LongType()) for c in ("blocks", "step", "start")] + [T.StructField("marks", T.ArrayType(T.LongType()))]
     )
-    return spark.createDataFrame(rows, schema), quotas
+    return spark.createDataFrame(rows, schema)
 
 
-def _picked(block: Column) -> Column:
-    """Whether a source's block gets one round more: its place in the seeded order is under `extra`."""
-    spot = (F.col("step").cast("decimal(19,0)") * block.cast("decimal(18,0)") + F.col("start")) % F.col("blocks")
-    return spot < F.col("extra")
+def _place(block: Column) -> Column:
+    """A block's place in its source's seeded order."""
+    return ((F.col("step").cast("decimal(19,0)") * block.cast("decimal(18,0)") + F.col("start")) % F.col("blocks")).cast("long")
 
 
-def row_key(seed: int = SEED) -> Column:
-    """The place of a row of documents in its source's line: seeded, by doc_id and text."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.col("text"))))
+def _seats(block: Column) -> Column:
+    """How many seats a block has in all shards together: one for each round of the order that reaches its place."""
+    return F.floor((F.element_at("marks", -1) - 1 - _place(block)) / F.col("blocks")) + 1
 
 
-def mixed(docs: DataFrame, **how: int) -> DataFrame:
-    """The rows of docs, with all their columns, as often as the mix takes the block in which they start.
+def selected(sources: DataFrame) -> DataFrame:
+    """source, block, shard of every seat: shard by shard, each source's quota of blocks in its seeded order."""
+    seats = sources.where("blocks > 0 and element_at(marks, -1) > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    seats = seats.where(_seats(F.col("block")) > 0).withColumn("round", F.explode(F.sequence(F.lit(0), _seats(F.col("block")) - 1)))
+    seat = _place(F.col("block")) + F.col("round") * F.col("blocks")
+    return seats.select("source", "block", _shard(seat).alias("shard"))
 
-    Rows of equal doc_id and text each get the mean of their numbers, rounded.
-    """
-    times = mix(docs, **how).groupBy("row_key").agg(F.round(F.avg("copies")).cast("int").alias("_times")).where("_times > 0")
-    keyed = docs.withColumn("_row_key", row_key(how.get("seed", SEED)))
-    out = keyed.join(times, F.col("_row_key") == F.col("row_key"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
+def _shard(seat: Column) -> Column:
+    """The shard whose quota a seat is part of."""
+    return F.size(F.filter("marks", lambda m: m <= seat)).cast("int")
 
-def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, row_key of every row of docs.
 
-    A source's words stand in one line: its documents by the md5 of seed, doc_id and text, in 4,096
-    runs whose first places come from their sums, so that no task holds a source.  The line is cut
-    into blocks; all get `rounds` of the mix, and the seeded blocks one more.  taken is what the document's part of the line gets;
-    copies counts the rounds of the block in which it starts.  Null text: size 0, taken 0.  A null
-    source is a source of its own, the last.  Equal rows follow one another in the line.  An empty
-    table gives no rows.
-    """
+def row_key(seed: int = SEED) -> Column:
+    """The place of a row of documents in its source's line: seeded, by doc_id and text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.col("text"))))
+
+
+def _lined(docs: DataFrame, block: int, shards: int, seed: int, weights: tuple[int, ...]) -> DataFrame:
+    """Folded rows (doc_id, source, size, row_key, copies) with their first word's place in the source's line, and the plan."""
     spark = docs.sparkSession
     rows = docs.select(
-        F.col("doc_id"),
+        "doc_id",
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        row_key(seed).alias("_order"),
+        row_key(seed).alias("row_key"),
+        F.spark_partition_id().alias("_part"),
     )
-    # the words are counted once: the later steps read this table
-    rows = Scratch(spark, "mix").table(rows.withColumn("_run", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")))
-    runs = rows.groupBy("source", "_run").agg(F.sum("size").alias("_sum"))
-    sizes = runs.groupBy("source").agg(F.sum("_sum").alias("source_size"))
-    sources, _ = plan(spark, sizes, block, shards, seed, weights)
+    # equal rows are one row for each task that reads them; the words are counted once: the later steps read this table
+    rows = rows.groupBy("doc_id", "source", "size", "row_key", "_part").agg(F.count("*").alias("copies"))
+    rows = Scratch(spark, "mix").table(rows.withColumn("_run", F.conv(F.substring("row_key", 1, 3), 16, 10).cast("int")))
+    words = F.col("size") * F.col("copies")
+    runs = rows.groupBy("source", "_run").agg(F.sum(words).alias("_sum"))
+    sources = plan(spark, runs.groupBy("source").agg(F.sum("_sum").alias("source_size")), block, shards, seed, weights)
     before = Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     first = runs.select("source", "_run", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long")).alias("_first"))
-    within = Window.partitionBy("source", "_run").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    lined = rows.withColumn("_at", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
+    within = Window.partitionBy("source", "_run").orderBy("row_key", "doc_id", "size", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    lined = rows.withColumn("_at", F.coalesce(F.sum(words).over(within), F.lit(0).cast("long")))
     a, b = lined.alias("a"), first.alias("b")
     lined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._run") == F.col("b._run"))).select("a.*", (F.col("a._at") + F.col("b._first")).alias("_from"))
     a, b = lined.alias("a"), sources.alias("b")
     lined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).drop(F.col("b.source"))
+    if (rows.agg(F.max("copies")).first()[0] or 0) > COPIES:  # a row that repeats without end goes to many tasks
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+        lined = lined.withColumn("_some", part).withColumn("_from", F.col("_from") + F.col("_some") * COPIES * F.col("size"))
+        lined = lined.withColumn("copies", F.least(F.col("copies") - F.col("_some") * COPIES, F.lit(COPIES))).drop("_some").repartition(F.col("_from"), F.col("source"))
+    return lined.withColumn("_from", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: F.col("_from") + k * F.col("size"))))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, shard_words, row_key, source of every row of docs.
+
+    A source's words stand in one line: its documents by the md5 of seed, doc_id and text, in 4,096
+    runs whose first places come from their sums, so that no task holds a source.  The line is cut
+    into blocks.  Sainte-Lague seats give every shard of the mix an integer quota of each source's
+    blocks; shard after shard takes its quota from the source's seeded order of blocks, which starts
+    again when it is through.  taken is what the document's part of the line gets in all shards,
+    shard_words that number for each shard that gets any, as a map.  Null text: size 0, taken 0.  A null
+    source is a source of its own, the last.  Equal rows follow one another in the line; they are
+    counted before they are shuffled.  An empty table gives no rows.
+    """
+    lined = _lined(docs, block, shards, seed, weights)
     low, high = F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("size") - 1) / block)
-    more = F.aggregate(
-        F.sequence(low, high),
-        F.lit(0).cast("long"),
-        lambda s, i: s + F.when(_picked(i), F.least(F.col("_from") + F.col("size"), (i + 1) * block) - F.greatest(F.col("_from"), i * block)).otherwise(0),
-    )
-    some = F.col("size") > 0
-    return lined.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        F.when(some, F.col("rounds") * F.col("size") + more).otherwise(0).cast("long").alias("taken"),
-        F.when(some, F.col("rounds") + F.when(_picked(low), 1).otherwise(0)).otherwise(0).cast("int").alias("copies"),
-        F.col("_order").alias("row_key"),
-    )
+    within = lambda i: F.least(F.col("_from") + F.col("size"), (i + 1) * block) - F.greatest(F.col("_from"), i * block)
+    seats = F.transform(F.sequence(low, high), lambda i: F.struct(_place(i).alias("place"), _seats(i).alias("n"), within(i).alias("words")))
+    lined = lined.withColumn("_seats", F.when(F.col("size") > 0, seats).otherwise(F.array().cast("array<struct<place: bigint, n: bigint, words: bigint>>")))
+    taken = F.aggregate("_seats", F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["words"])
+    none = F.array_repeat(F.lit(0).cast("long"), shards)
+
+    def added(s: Column, seat: Column, words: Column) -> Column:
+        return F.transform(s, lambda w, i: w + F.when(i == seat, words).otherwise(0))
+
+    def dealt(s: Column, x: Column) -> Column:  # one seat a round, at most MOST rounds
+        for k in range(MOST):
+            s = added(s, F.when(x["n"] > k, _shard(x["place"] + k * F.col("blocks"))), x["words"])
+        return s
+
+    words = F.aggregate("_seats", none, dealt)
+    by_shard = F.map_from_entries(F.filter(F.transform(words, lambda w, i: F.struct(i.alias("shard"), w.alias("words"))), lambda e: e["words"] > 0))
+    return lined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), by_shard.alias("shard_words"), "row_key", "source")
+
+
+def _balanced(rows: pd.DataFrame) -> pd.DataFrame:
+    """How often whole documents go into the mix, so that a group's words come to what its documents take.
+
+    Largest documents first; each gets its whole rounds, and one more, or one of several less, if that
+    brings the sum nearer.
+    """
+    rows = rows.sort_values(["size", "row_key", "taken"], ascending=[False, True, True])
+    owed, times = 0, []
+    for size, taken, copies in zip(rows["size"].tolist(), rows["taken"].tolist(), rows["copies"].tolist(), strict=True):
+        n, rest = divmod(taken, size)
+        owed += rest
+        while n < MOST * copies and 2 * owed >= size:
+            n, owed = n + 1, owed - size
+        while n > copies and 2 * owed <= -size:
+            n, owed = n - 1, owed + size
+        times.append(n)
+    return pd.DataFrame({"source": rows["source"], "row_key": rows["row_key"], "copies": rows["copies"], "times": times})
+
+
+def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the words that mix() takes of them ask for.
+
+    Documents stay whole: of each source, in groups of about ROWS rows, the largest first, a document
+    comes once more, or once less if it comes several times, where that brings the words sent nearer to
+    the words taken; a group's difference is at most half of its longest document's words.  No row comes
+    more than MOST times; one without words never.  Rows of equal doc_id, text and source share their
+    number, whatever else they hold; an empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "mixed")
+    taken = mix(docs, block, shards, seed, weights).where("size > 0").groupBy("source", "row_key").agg(F.first("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("copies"))
+    taken = scratch.table(taken)
+    groups = taken.groupBy(F.col("source").alias("_s")).agg(F.ceil(F.count("*") / ROWS).alias("_groups"))
+    grouped = taken.join(groups, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_group", F.pmod(F.xxhash64("row_key"), F.col("_groups")))
+    times = grouped.select("source", "row_key", "size", "taken", "copies", "_group").groupBy("source", "_group")
+    times = scratch.table(times.applyInPandas(_balanced, "source string, row_key string, copies long, times long").where("times > 0"))
+    # the rows as one column: no name of theirs can clash with a name here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(seed).alias("key"), F.col("source").cast("string").alias("of"))
+    same = (F.col("key") == F.col("row_key")) & F.col("of").eqNullSafe(F.col("source"))
+    out = rows.join(times.where("copies = 1"), same)
+    if times.where("copies > 1").head(1):  # rows that repeat share what their key has
+        order = Window.partitionBy("key", "of").orderBy(F.xxhash64("row"))
+        again = rows.join(times.where("copies > 1"), same).withColumn("n", F.row_number().over(order))
+        again = again.withColumn("times", F.floor(F.col("times") / F.col("copies")) + F.when(F.col("n") <= F.col("times") % F.col("copies"), 1).otherwise(0)).drop("n")
+        out = out.unionByName(again.where("times > 0"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")

@@ -85,6 +85,64 @@ def test_mix(spark):
     for key in size:
         assert abs(taken[key] - key[1]) <= 2 * mixing.BLOCK * max(1, size[key] // max(key[0], 1))
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
-    copies = {(r.doc_id, r["size"]): r.copies for r in got}
-    out = Counter((r.doc_id, len((r.text or "").split())) for r in mixing.mixed(frame).collect())
-    assert all(out[k] == n for k, n in copies.items() if k[0] != -9 and k[0] is not None)
+    # words by shard are the taken words
+    assert all(sum(r.shard_words.values()) == r.taken for r in got)
+
+
+def test_blocks_of_each_shard_are_its_quota(spark):
+    sizes = {"a": 6400, "b": 1000, "c": 640, "d": 0, None: 70}
+    plan = mixing.plan(spark, spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    names = ["a", "b", "c", "d", None]
+    want = mixing.targets([sizes[n] for n in names])
+    blocks = [-(-sizes[n] // mixing.BLOCK) for n in names]
+    house = round(1.5 * sum(sizes.values()) / mixing.BLOCK)
+    quotas = mixing.shard_quotas(want, house, [2 * b for b in blocks], mixing.SHARDS)
+    got = mixing.selected(plan).collect()
+    assert Counter((r.source, r.shard) for r in got) == Counter({(n, k): q for k, row in enumerate(quotas) for n, q in zip(names, row) if q})
+    times = Counter((r.source, r.block) for r in got)
+    for n, b in zip(names, blocks):  # rounds of one source differ by one at most, and none is over MOST
+        mine = [times[n, k] for k in range(b)]
+        assert not mine or (max(mine) - min(mine) <= 1 and max(mine) <= mixing.MOST)
+
+
+def test_words_of_a_shard_come_from_its_blocks(spark):
+    """taken and shard_words against a walk over the line, block by block."""
+    rows = documents()
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(frame).collect()
+    size = Counter()
+    for r in got:
+        size[r.source] += r["size"]
+    plan = mixing.plan(spark, spark.createDataFrame(list(size.items()), "source string, source_size long"))
+    seats = defaultdict(list)
+    for r in mixing.selected(plan).collect():
+        seats[r.source, r.block].append(r.shard)
+    line, want = Counter(), Counter()
+    for r in sorted(got, key=lambda r: (str(r.source), r.row_key, r.doc_id or 0, r["size"])):
+        words = Counter()
+        for w in range(line[r.source], line[r.source] + r["size"]):
+            words.update(seats[r.source, w // mixing.BLOCK])
+        line[r.source] += r["size"]
+        want[r.doc_id, r.source, r["size"], tuple(sorted(words.items()))] += 1
+    assert Counter((r.doc_id, r.source, r["size"], tuple(sorted(r.shard_words.items()))) for r in got) == want
+
+
+def test_mixed_sends_what_the_mix_takes(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 5)  # equal rows over several places
+    rows = [*documents(), *[(None, "no id", "en", f"l{i % 2}", 0, "", "") for i in range(6)]]
+    frame = spark.createDataFrame([(*r[:2], f"e{i}", *r[3:]) for i, r in enumerate(rows)], SCHEMA)
+    taken, size = Counter(), Counter()
+    for r in mixing.mix(frame).collect():
+        taken[r.source] += r.taken
+        size[r.source] += r["size"]
+    out = mixing.mixed(frame)
+    assert out.columns == frame.columns
+    sent, times = Counter(), Counter()
+    for r in out.collect():
+        sent[r.source] += len((r.text or "").split())
+        times[r.lang] += 1
+    assert max(times.values()) <= mixing.MOST
+    for s in taken:
+        longest = max(len((r[1] or "").split()) for r in rows if r[3] == s)
+        assert 2 * abs(sent[s] - taken[s]) <= longest, s
+    assert mixing.mixed(frame.limit(0)).count() == 0
