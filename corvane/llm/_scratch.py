@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_ONE_MACHINE = re.compile(r"local(\[.*\])?$")  # local-cluster has executors of their own
+_made: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or a local one if it is unset and the master is local."""
+    """The shared folder: spark.checkpoint.dir, or a local one if it is unset and driver and executors are one process."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not _ONE_MACHINE.match(spark.sparkContext.master):
         raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
     spark.conf.set(SETTING, found := "file://" + tempfile.mkdtemp(prefix="corvane-"))
     return found
@@ -28,13 +31,14 @@ def _path(spark: SparkSession, where: str):  # noqa: ANN202  a Hadoop FileSystem
 
 
 class Scratch:
-    """Writes tables for one operator call.  What isn't dropped goes when the driver's JVM ends."""
+    """Writes tables for one operator call.  What isn't dropped goes with release(), or when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.where, self.n = spark, f"{root(spark)}/corvane/{name}-{uuid.uuid4().hex}", 0
         fs, path = _path(spark, self.where)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
+        _made.append(self.where)
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -49,3 +53,10 @@ class Scratch:
         if where := getattr(table, "_corvane_table", None):
             fs, path = _path(self.spark, where)
             fs.delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables of all operator calls so far; call it when their results are written or read."""
+    while _made:
+        fs, path = _path(spark, _made.pop())
+        fs.delete(path, True)
