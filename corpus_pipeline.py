@@ -13,25 +13,36 @@ SIMILAR = 80
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose score is 0.3 or more; the weights come from labelled rows outside the held-out fold."""
+    """Rejects documents whose score is 0.3 or more; the weights come from labelled rows outside the held-out fold.
+
+    All columns stay; null and empty texts are scored like others; without labels nothing is rejected.
+    """
     weights = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, weights, keep=("text", "lang", "source", "n_chars")).where("predicted = 0").drop("score", "predicted")
+    return toxicity.accepted(docs, weights)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; rows without doc_id stay, equal rows become one."""
+    """Keeps the document with the smallest doc_id of each group; rows without doc_id stay, equal rows become one.
+
+    Only rows whose doc_id is null or repeats are compared as whole rows: no other text is shuffled for that.
+    """
     found = near_duplicates.near_duplicates(docs, SIMILAR)
-    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).distinct()
+    odd = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_n")).where("_id is null or _n > 1 or not _kept")
+    odd = Scratch(spark, "groups").table(odd)
+    doc, same = docs["doc_id"].cast("long"), odd["_id"]
+    alone = docs.where("doc_id is not null").join(odd, doc == same, "left_anti")
+    again = odd.where("_kept and (_id is null or _n > 1)")
+    again = docs.join(again, doc.eqNullSafe(again["_id"]), "left_semi")
+    return alone.unionByName(again.dropDuplicates())
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of which a passage holds a benchmark item."""
+    """Rejects documents of which a passage holds a benchmark item, question and answer; null and empty texts stay."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents, or leaves them out, as the mix of their sources says."""
+    """Repeats documents, or leaves them out, so that each source's words come to what the mix takes of it."""
     return mixing.mixed(docs)
 
 
@@ -53,6 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read again; an empty table gives an empty one."""
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for _, stage in STAGES:
         done = scratch.table(stage(spark, docs, sf_dir))
