@@ -20,7 +20,7 @@ BLOCK = 64  # words in a block
 SHARDS = 16
 SEED = 7
 PRIMES = (1000000007, 998244353, 2147483647)
-ROWS = 1 << 16  # rows of a source that mixed() balances in one group, about
+ROWS = 1 << 12  # rows of a source that mixed() balances in one group, about
 COPIES = 1 << 12  # of an equal row that are expanded in one place
 
 
