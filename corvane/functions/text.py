@@ -11,6 +11,14 @@ TIERS = ("T0", "T1", "T2")
 #: Path segments that mark a candidate for the strictest tier.
 CRITICAL_SEGMENTS = ("auth", "payments", "secrets", "kms", "crypto", "billing")
 CLAIM_BYTES = 512
+#: The closed vocabulary of predicate slots.
+SLOTS = (
+    "invariant", "contract", "precondition", "postcondition", "sideeffect", "ownership", "perf-bound",
+    "security-property", "gotcha", "rationale", "dependency", "count", "definition",
+)
+#: The closed vocabulary of relation kinds, and the axes.
+RELATION_KINDS = ("depends-on", "calls")
+AXES = ("spatial", "territory", "dependency")
 
 
 def path_segments(path: Column) -> Column:
@@ -40,19 +48,31 @@ def unescape_key(part: Column) -> Column:
     return F.replace(F.replace(part, F.lit("%3A"), F.lit(":")), F.lit("%25"), F.lit("%"))
 
 
-def glob_regex(glob: str) -> str:
+def glob_regex(glob: Column) -> Column:
     """`**` stands for anything, `*` for anything within a segment; all else is literal."""
-    return "^" + "".join(".*" if p == "**" else "[^/]*" if p == "*" else re.escape(p) for p in re.split(r"(\*\*|\*)", glob)) + "$"
+    plain = F.regexp_replace(glob, r"[^A-Za-z0-9_/*]", r"\\$0")
+    stars = F.replace(F.replace(plain, F.lit("**"), F.lit("\x00")), F.lit("*"), F.lit("[^/]*"))
+    return F.concat(F.lit("^"), F.replace(stars, F.lit("\x00"), F.lit(".*")), F.lit("$"))
 
 
-def glob_literal_length(glob: str) -> int:
-    return glob.find("*") if "*" in glob else len(glob)
+def glob_literal_length(glob: Column) -> Column:
+    return F.when(F.instr(glob, "*") > 0, F.instr(glob, "*") - 1).otherwise(F.length(glob))
 
 
-def glob_zone(glob: str) -> str:
-    """The directory that a glob's literal part names."""
-    literal = glob[: glob_literal_length(glob)]
-    return literal.rstrip("/") if "*" not in glob or literal.endswith("/") else literal.rpartition("/")[0]
+def glob_folder(glob: Column) -> Column:
+    """The folder that all paths of a glob lie in; '' if its literal part names none."""
+    return F.regexp_extract(F.substring(glob, F.lit(1), glob_literal_length(glob)), r"^(.*)/[^/]*$", 1)
+
+
+def glob_zone(glob: Column) -> Column:
+    """The directory that a glob's literal part names: the whole of a glob without stars."""
+    return F.when(F.instr(glob, "*") == 0, F.rtrim(glob, F.lit("/"))).otherwise(glob_folder(glob))
+
+
+def folders(path: Column) -> Column:
+    """A path and all folders above it, and ''."""
+    parts = F.split(path, "/")
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))))
 
 
 def tier_rank(tier: Column) -> Column:
@@ -98,11 +118,69 @@ def claim_key(claim: Column) -> Column:
     return F.regexp_replace(claim, r"^\s+|\s+$", "")
 
 
-def valid_template(claim: Column, slot: Column, slots: tuple[str, ...], *required: Column) -> Column:
+def known_slot(slot: Column) -> Column:
+    """Whether a slot is in the closed vocabulary; an absent one isn't."""
+    return F.coalesce(slot.isin(*SLOTS), F.lit(False))
+
+
+def known_relation_kind(kind: Column) -> Column:
+    return F.coalesce(kind.isin(*RELATION_KINDS), F.lit(False))
+
+
+def is_tier(tier: Column) -> Column:
+    return F.coalesce(tier.isin(*TIERS), F.lit(False))
+
+
+def is_axis(axis: Column) -> Column:
+    return F.coalesce(axis.isin(*AXES), F.lit(False))
+
+
+def is_scope(scope: Column) -> Column:
+    """A scope is a text that isn't empty."""
+    return F.coalesce(F.length(scope) > 0, F.lit(False))
+
+
+def valid_template(claim: Column, slot: Column, *required: Column) -> Column:
+    """All required fields, a claim of at most CLAIM_BYTES bytes of UTF-8, a slot of the closed vocabulary."""
     present = F.lit(True)
     for r in required:
         present = present & F.coalesce(F.length(r) > 0, F.lit(False))
-    return present & F.coalesce(F.octet_length(claim) <= CLAIM_BYTES, F.lit(False)) & F.coalesce(slot.isin(*slots), F.lit(False))
+    return present & F.coalesce(F.octet_length(claim) <= CLAIM_BYTES, F.lit(False)) & known_slot(slot)
+
+
+def closed_slot_refusal(slot: Column) -> Column:
+    """Why an unknown slot is refused; null for a known one."""
+    told = F.concat(F.lit("closed-slot: '"), slot, F.lit("' is none of "), F.lit(", ".join(SLOTS)))
+    return F.when(~known_slot(slot), F.coalesce(told, F.lit("closed-slot: null is none of " + ", ".join(SLOTS))))
+
+
+def deepest_common_unit(paths: Column) -> Column:
+    """The longest common prefix of an array of paths, by units between ::; '' if there is none."""
+    return F.coalesce(common_prefix(F.filter(paths, lambda p: p.isNotNull()), "::"), F.lit(""))
+
+
+def primary_anchor(paths: Column) -> Column:
+    """The deepest common unit; null where it is empty: a fact without a place of its own is refused."""
+    unit = deepest_common_unit(paths)
+    return F.when(unit != "", unit)
+
+
+def unit_scope(path: Column) -> Column:
+    """The folder of a unit's file; '' for a file at the top."""
+    return F.regexp_extract(file_part(path), r"^(.*)/[^/]*$", 1)
+
+
+def tool_name(scope: Column) -> Column:
+    """own_ and the last part of a scope, between / or :."""
+    parts = F.filter(F.split(scope, "[/:]"), lambda p: p != "")
+    return F.concat(F.lit("own_"), F.coalesce(F.get(parts, F.size(parts) - 1), scope))
+
+
+def normal_check(kind: Column, body: Column) -> Column:
+    """A check's part of an identity: its kind and its trimmed NFC body, a unit separator between."""
+    from .identity import nfc
+
+    return F.concat(kind, F.lit("\x1f"), F.regexp_replace(nfc(body), r"^\s+|\s+$", ""))
 
 
 def common_prefix(paths: Column, mark: str) -> Column:

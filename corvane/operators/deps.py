@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_symbol, common_prefix, terminal_name
+from ..plans.scratch import Tables
 
 LOCAL = "local "
 HOPS = 2
+MERGED = 16  # rounds of a closure after which their tables become one
 
 
 def derive_edges(occurrences: DataFrame) -> DataFrame:
@@ -66,20 +68,24 @@ def unit_deps(occurrences: DataFrame) -> DataFrame:
 def dependents(edges: DataFrame, roots: DataFrame, hops: int | None = None, scratch=None) -> DataFrame:  # noqa: ANN001
     """node, distance: what depends on the roots (column node) over resolved edges, at most `hops` away.
 
-    A breadth-first loop of joins; each round only takes what is new, so cycles end, and the roots are
-    not their own dependents.  scratch cuts the lineage of long closures.
+    A breadth-first loop of joins.  Each round takes what is new and writes only that, so cycles end
+    and nothing is written twice but once in MERGED rounds; the roots are not their own dependents.
     """
+    scratch = scratch or Tables(edges.sparkSession)
     back = edges.where("kind = 'resolved' and dst is not null").select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
-    keep = scratch.table if scratch else lambda df: df.persist()
-    seen = keep(roots.select("node").distinct().withColumn("distance", F.lit(0)))
-    edge, distance = seen, 0
+    back = scratch.table(back).repartition("node").persist()
+    edge, distance = scratch.table(roots.select("node").distinct().withColumn("distance", F.lit(0))), 0
+    seen = edge
     while hops is None or distance < hops:
         distance += 1
         new = edge.join(back, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        edge = keep(new.withColumn("distance", F.lit(distance)))
-        if hops is None and edge.isEmpty():
+        edge = scratch.table(new.withColumn("distance", F.lit(distance)))
+        if edge.isEmpty():
             break
-        seen = keep(seen.unionByName(edge)) if hops is None else seen.unionByName(edge)
+        seen = seen.unionByName(edge)
+        if distance % MERGED == 0:
+            seen = scratch.table(seen)
+    back.unpersist()
     return seen.where("distance > 0")
 
 

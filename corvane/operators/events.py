@@ -6,9 +6,11 @@ independent of arrival order: equal sets of events give equal results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Tables
+
 LOG = "id string, seq long, node_key string, content_hash string, fresh boolean, supersedes array<string>, payload string"
 
 
@@ -25,13 +27,16 @@ def combine(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.dropDuplicates(["id"]).unionByName(second.dropDuplicates(["id"]).join(first.select("id"), "id", "left_anti"))
 
 
-def reseq(log: DataFrame, order: str = "id") -> DataFrame:
-    """Local order numbers from 0, ids unchanged: each run of a range-sorted log starts after those before it."""
+def reseq(log: DataFrame, order: str = "id", scratch=None) -> DataFrame:  # noqa: ANN001
+    """Local order numbers from 0, ids unchanged: each run of a range-sorted log starts after those before it.
+
+    The sorted log is written once, so that what is counted is what is numbered.
+    """
     ranged = log.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    ranged = (scratch or Tables(log.sparkSession)).table(ranged)
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("first"))
-    from pyspark.sql import Window
-
-    before = sizes.select("_p", "first", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("base"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task that sorted
+    before = sizes.select("_p", "first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
     return ranged.join(F.broadcast(before), "_p").withColumn("seq", F.col("_m") - F.col("first") + F.col("base")).select(*log.columns)
 
 
@@ -51,18 +56,23 @@ def head(state: DataFrame) -> DataFrame:
 
 
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """node_key, change, content_hash between two logs: added, edited, superseded, decayed heads.
+    """node_key, change, content_hash, provenance between two logs: added, edited, superseded, decayed heads.
 
     A head that the later state replaces is superseded if an entry of its node names it, else edited;
-    superseded and decayed rows carry the old content, added and edited the new.
+    superseded and decayed rows carry the old content, added and edited the new.  Provenance is the
+    payload of the event that tells of the change: the new head, or what supersedes the old one (of
+    several the largest id), or the old head itself.  A change without provenance isn't shown.
     """
     state = fold(b)
-    x = head(fold(a)).select("node_key", F.col("content_hash").alias("old"))
-    y = head(state).select("node_key", F.col("content_hash").alias("new"))
-    named = state.select("node_key", F.explode("supersedes").alias("old")).distinct().withColumn("named", F.lit(True))
+    x = head(fold(a)).select("node_key", F.col("content_hash").alias("old"), F.col("payload").alias("old_payload"))
+    y = head(state).select("node_key", F.col("content_hash").alias("new"), F.col("payload").alias("new_payload"))
+    named = state.select("node_key", F.explode("supersedes").alias("old"), "id", "payload").groupBy("node_key", "old").agg(F.max(F.struct("id", "payload")).alias("by"))
     rows = x.join(y, "node_key", "full_outer").where("not (old <=> new)").join(named, ["node_key", "old"], "left")
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "decayed").when(F.col("named"), "superseded").otherwise("edited")
-    return rows.select("node_key", change.alias("change"), F.when(change.isin("added", "edited"), F.col("new")).otherwise(F.col("old")).alias("content_hash"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "decayed").when(F.col("by").isNotNull(), "superseded").otherwise("edited")
+    fresh = change.isin("added", "edited")
+    told = F.when(fresh, F.col("new_payload")).when(F.col("by").isNotNull(), F.col("by.payload")).otherwise(F.col("old_payload"))
+    rows = rows.select("node_key", change.alias("change"), F.when(fresh, F.col("new")).otherwise(F.col("old")).alias("content_hash"), told.alias("provenance"))
+    return rows.where("provenance is not null")
 
 
 def rewind(log: DataFrame, gone: DataFrame) -> DataFrame:

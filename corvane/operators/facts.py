@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import claim_key, tier_rank, under_scope, weaker
+from ..functions.text import claim_key, known_slot, tier_rank, under_scope, weaker
 
 
 def route(content_known: Column, key_known: Column, family: Column, same_check: Column) -> Column:
@@ -28,45 +28,59 @@ def write_decisions(requests: DataFrame, current: DataFrame, contents: DataFrame
     return rows.withColumn("decision", decision).drop("_content", "_key")
 
 
-def upsert(current: DataFrame, requests: DataFrame) -> DataFrame:
+def upsert(current: DataFrame, requests: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """The current rows after a batch, with outcome by key: how the last request of the key ended.
 
-    Requests of one key are applied in order of pos.  A weaker tier or another scope is refused;
-    advisory rows take the union of claims, or the new claims alone if the tier is raised; predicates
-    are superseded by the new content; equal content changes nothing.  The fold is over one key's
-    requests; keys that no request names pass through.
+    Requests of one key are applied in order of pos.  A slot out of the vocabulary is refused
+    (closed-slot); content that is kept already, in `contents` (by default the current rows') or by an
+    earlier request of the key, changes nothing (DEDUP); a new key is made (CREATE).  What displaces a
+    row must be in its scope (else governance-relocation) and not of a weaker tier
+    (governance-downgrade), as far as the row states them.  Then a predicate replaces its row
+    (SUPERSEDE, the old content in superseded_by) and others update it: claims are united, or are the
+    request's alone where it raises the row to T0 or T1.  What a request leaves null stays.
+
+    Keys that no request names pass through.  The fold is over one key's requests in one batch; other
+    keys of the batch are not seen.
     """
-    row = F.struct("pos", "family", "content_hash", "claims", "primary_anchor", "slot", "scope", "tier")
-    batch = requests.groupBy("node_key").agg(F.sort_array(F.collect_list(row)).alias("requests"))
     names = ["family", "content_hash", "claims", "primary_anchor", "slot", "scope", "tier", "superseded_by"]
-    old = current.select("node_key", F.struct(*names, F.lit("KEPT").alias("outcome")).alias("s"))
+    kept = (current if contents is None else contents).select("content_hash").distinct().withColumn("known", F.lit(True))
+    row = F.struct("pos", "family", "content_hash", "claims", "primary_anchor", "slot", "scope", "tier", F.coalesce("known", F.lit(False)).alias("known"))
+    batch = requests.join(kept, "content_hash", "left").groupBy("node_key").agg(F.sort_array(F.collect_list(row)).alias("requests"))
+    none = F.array().cast("array<string>")
+    old = current.select("node_key", F.struct(*names, F.lit("KEPT").alias("outcome"), F.lit(True).alias("there"), none.alias("added")).alias("s"))
     rows = old.join(batch, "node_key", "full_outer")
+    whole = [*names, "outcome", "there", "added"]
 
     def state(**new: Column) -> Column:
-        return F.named_struct(*(x for n in [*names, "outcome"] for x in (F.lit(n), new[n])))
+        return F.named_struct(*(x for n in whole for x in (F.lit(n), new[n])))
 
     def step(s: Column, r: Column) -> Column:
-        fresh = {n: r[n] for n in names[:-1]} | {"superseded_by": F.lit(None).cast("string"), "outcome": F.lit("CREATE")}
-        same = {n: s[n] for n in names}
-        raised = tier_rank(r["tier"]) < tier_rank(s["tier"])
-        claims = F.when(raised, r["claims"]).otherwise(F.array_sort(F.array_union(s["claims"], r["claims"])))
-        # advisory content becomes the digest of what the row now claims
-        content = F.sha2(F.concat_ws("|", r["primary_anchor"], r["slot"], F.array_join(F.array_sort(claims), "|")), 256)
-        update = same | {"claims": claims, "tier": r["tier"], "content_hash": F.when(r["family"] == "predicate", r["content_hash"]).otherwise(content), "outcome": F.lit("UPDATE")}
-        replace = same | {"claims": r["claims"], "tier": r["tier"], "content_hash": r["content_hash"], "superseded_by": s["content_hash"], "outcome": F.lit("SUPERSEDE")}
+        same = {n: s[n] for n in whole}
+        stated = {n: F.coalesce(r[n], s[n]) for n in ("primary_anchor", "slot", "scope", "tier")}
+        write = same | {"content_hash": r["content_hash"], "there": F.lit(True), "added": F.array_append(s["added"], r["content_hash"])}
+        raised = r["tier"].isin("T0", "T1") & (s["tier"].isNull() | (tier_rank(r["tier"]) < tier_rank(s["tier"])))
+        claims = F.when(F.coalesce(raised, F.lit(False)), r["claims"]).otherwise(F.array_union(s["claims"], r["claims"]))
+        made = write | {n: r[n] for n in names[:-1]} | {"superseded_by": F.lit(None).cast("string")}
+        hit = r["known"] | F.array_contains(s["added"], r["content_hash"])
+        refused = (
+            F.when(r["slot"].isNotNull() & ~known_slot(r["slot"]), "closed-slot")
+            .when(hit, "DEDUP")
+            .when(~s["there"], F.lit(None))
+            .when(s["scope"].isNotNull() & ~s["scope"].eqNullSafe(r["scope"]), "governance-relocation")
+            .when(s["tier"].isNotNull() & F.coalesce(weaker(r["tier"], s["tier"]), F.lit(True)), "governance-downgrade")
+        )
         return (
-            F.when(s["content_hash"].isNull(), state(**fresh))
-            .when(s["content_hash"] == r["content_hash"], state(**same, outcome=F.lit("DEDUP")))
-            .when(weaker(r["tier"], s["tier"]) | ~s["scope"].eqNullSafe(r["scope"]), state(**same, outcome=F.lit("REFUSE")))
-            .when(r["family"] == "predicate", state(**replace))
-            .otherwise(state(**update))
+            F.when(refused.isNotNull(), state(**same | {"outcome": refused}))
+            .when(~s["there"], state(**made | {"outcome": F.lit("CREATE")}))
+            .when(r["family"] == "predicate", state(**write | stated | {"family": r["family"], "claims": r["claims"], "superseded_by": s["content_hash"], "outcome": F.lit("SUPERSEDE")}))
+            .otherwise(state(**write | stated | {"claims": claims, "outcome": F.lit("UPDATE")}))
         )
 
-    kinds = dict(current.dtypes) | {"outcome": "string"}
-    empty = state(**{n: F.lit(None).cast(kinds[n]) for n in [*names, "outcome"]})
-    none = F.array().cast("array<struct<pos: bigint, family: string, content_hash: string, claims: array<string>, primary_anchor: string, slot: string, scope: string, tier: string>>")
-    rows = rows.select("node_key", F.aggregate(F.coalesce("requests", none), F.coalesce("s", empty), step).alias("s"))
-    return rows.select("node_key", "s.*")
+    kinds = dict(current.dtypes) | {"outcome": "string", "added": "array<string>"}
+    empty = state(**{n: F.lit(None).cast(kinds[n]) for n in [*names, "outcome"]}, there=F.lit(False), added=none)
+    nothing = F.array().cast("array<struct<pos: bigint, family: string, content_hash: string, claims: array<string>, primary_anchor: string, slot: string, scope: string, tier: string, known: boolean>>")
+    rows = rows.select("node_key", F.aggregate(F.coalesce("requests", nothing), F.coalesce("s", empty), step).alias("s"))
+    return rows.select("node_key", *(F.col(f"s.{n}") for n in [*names, "outcome"]))
 
 
 def subsumes(current: DataFrame) -> DataFrame:
@@ -120,7 +134,7 @@ def scope_query(current: DataFrame, freshness: DataFrame, scope: str) -> DataFra
 
 def fast_path(grounded: Column, low_risk: Column, tier: Column, family: Column, contested: Column, promoted: Column) -> Column:
     ok = grounded & low_risk & (tier == "T2") & (family == "advisory") & ~contested & ~promoted
-    return F.when(F.coalesce(ok, F.lit(False)), "auto-accept").otherwise("review")
+    return F.when(F.coalesce(ok, F.lit(False)), "auto-accept").otherwise("full-ratify")
 
 
 def first_refusal(*gates: tuple[str, Column]) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import scrub, words
 
 AWARENESS_CAP = 400
-#: The five facets of awareness, in their order.
-FACETS = ("mission", "ontology", "architecture", "constraints", "state")
+#: The five facets of awareness, in their order, and the line of one without a source.
+FACETS = ("mission", "constitution", "terrain", "ontology", "taste")
+UNSEEDED = "UN-SEEDED ({}): source absent \u2014 no self-model line fabricated"
 
 
 def evaluate(checks: DataFrame, nodes: DataFrame, objects: DataFrame) -> DataFrame:
@@ -51,20 +52,27 @@ def decay(served: DataFrame, hits: DataFrame) -> DataFrame:
 def awareness(facets: DataFrame, owner: str) -> DataFrame:
     """owner, facet, content, state, within_cap from facets (owner, facet, tiers, moved): the first tier of each of five.
 
-    A facet without a source is UN-SEEDED and never made up; what moved is drifted.  within_cap:
-    whether an owner's contents have AWARENESS_CAP words at most.
+    A facet without a source is UN-SEEDED and never made up; what moved is drifted.  The tiers of
+    ontology are its curated definitions (see definitions).  within_cap: whether an owner's contents
+    have AWARENESS_CAP words at most.
     """
     spark = facets.sparkSession
     names = spark.createDataFrame([(i, f) for i, f in enumerate(FACETS)], "ord int, facet string")
     grid = facets.select(owner).distinct().join(F.broadcast(names))  # five rows for each owner
     rows = grid.join(facets.select(owner, "facet", F.get("tiers", 0).alias("top"), "moved"), [owner, "facet"], "left")
-    content = F.coalesce("top", F.concat(F.lit("UN-SEEDED ("), F.col("facet"), F.lit(")")))
+    before, after = UNSEEDED.split("{}")
+    content = F.coalesce("top", F.concat(F.lit(before), F.col("facet"), F.lit(after)))
     state = F.when(F.col("top").isNull(), "UN-SEEDED").when(F.col("moved"), "drifted").otherwise("seeded")
     rows = rows.select(owner, "facet", content.alias("content"), state.alias("state"))
     total = rows.groupBy(owner).agg((F.sum(words(F.col("content"))) <= AWARENESS_CAP).alias("within_cap"))
     return rows.join(total, owner)
 
 
+def definitions(nodes: DataFrame, owner: str) -> DataFrame:
+    """owner, text, pos of the nodes (slot, curated_by) that may be a line of ontology: definitions by their curator."""
+    return nodes.where("slot = 'definition' and curated_by = 'walt'").select(owner, "text", "pos")
+
+
 def pull_tail(facets: DataFrame) -> DataFrame:
     """The tiers after the first."""
     return facets.withColumn("tail", F.slice("tiers", 2, F.greatest(F.size("tiers") - 1, F.lit(0)))).drop("tiers")

@@ -47,10 +47,13 @@ def cap_gate(entries: DataFrame, group: str, cap: int) -> DataFrame:
 def poke_runs(calls: DataFrame, least: int = 2) -> DataFrame:
     """session, pos, scope, run: the first call of each session and scope whose run of equal scopes reaches `least`.
 
-    calls: session, pos, scope (null: no navigation; it ends no run, but isn't counted).
+    calls: session, pos, scope (null: no navigation; the navigator stays where it is, which lengthens
+    the run, so that such a call can be the one that reaches `least`).  Calls before the first
+    navigation belong to no run.
     """
     by = Window.partitionBy("session").orderBy("pos")
-    moves = calls.where("scope is not null")
+    here = F.last("scope", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    moves = calls.select("session", "pos", here.alias("scope")).where("scope is not null")
     rows = moves.withColumn("_new", F.coalesce((F.col("scope") != F.lag("scope").over(by)).cast("int"), F.lit(1)))
     rows = rows.withColumn("_island", F.sum("_new").over(by))
     rows = rows.withColumn("run", F.row_number().over(Window.partitionBy("session", "_island").orderBy("pos")))

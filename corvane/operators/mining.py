@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Tables
 from .territory import mode
 
 LEAST_CHURN = LEAST_COUPLING = 2
@@ -62,39 +63,41 @@ def probe(commits: int, shallow: bool, concentrated: float) -> str:
     return "blame-concentrated" if concentrated >= THIN_CONCENTRATION else ""
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROUNDS, scratch=None, every: int = 4) -> DataFrame:  # noqa: ANN001
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROUNDS, scratch=None) -> DataFrame:  # noqa: ANN001
     """node, score: integer personalised PageRank in units of 1 / SCALE.
 
     Every division rounds down, so the result doesn't depend on the order of additions; what nodes
     without targets hold goes to the seeds (all nodes if there are none).  A round is one join and one
-    aggregation over node partitions; lineage is cut every few rounds.
+    aggregation; its scores are written, so that no plan holds more than one round, and the one number
+    that all nodes need comes back to the driver.  The edges stay dealt by source between rounds.
     """
-    out = edges.select("src", "dst").distinct()
-    share = out.groupBy("src").agg(F.count("*").alias("n"))
-    all_nodes = nodes.select("node").distinct()
+    scratch = scratch or Tables(nodes.sparkSession)
+    out = scratch.table(edges.select("src", "dst").distinct())
+    share = out.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    scores = nodes.select("node").distinct().join(share, "node", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     if seeds is not None:
-        all_nodes = all_nodes.join(seeds.select("node").distinct().withColumn("_s", F.lit(True)), "node", "left").withColumn("seed", F.coalesce("_s", F.lit(False))).drop("_s")
-        if not all_nodes.where("seed").head(1):
-            all_nodes = all_nodes.withColumn("seed", F.lit(True))
+        scores = scores.join(seeds.select("node").distinct().withColumn("seed", F.lit(True)), "node", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
     else:
-        all_nodes = all_nodes.withColumn("seed", F.lit(True))
-    keep = scratch.table if scratch else lambda df: df.persist()
-    all_nodes = keep(all_nodes.join(share.withColumnRenamed("src", "node"), "node", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))))
-    total, seeded = all_nodes.agg(F.count("*"), F.count_if("seed")).first()
+        scores = scores.withColumn("seed", F.lit(True))
+    scores = scratch.table(scores)
+    total, seeded = scores.agg(F.count("*"), F.count_if("seed")).first()
+    if not seeded:
+        scores, seeded = scores.withColumn("seed", F.lit(True)), total
     if not total:
-        return all_nodes.select("node", F.lit(0).cast("long").alias("score"))
+        return scores.select("node", F.lit(0).cast("long").alias("score"))
     teleport = SCALE // seeded
     base = (DAMPING[1] - DAMPING[0]) * teleport // DAMPING[1]
-    scores = all_nodes.withColumn("score", F.lit(SCALE // total).cast("long"))
-    for k in range(rounds):
-        inflow = scores.where("n > 0").join(out, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.expr("score div n")).alias("inflow"))
-        loose = F.broadcast(scores.agg(F.coalesce(F.sum(F.when(F.col("n") == 0, F.col("score"))), F.lit(0).cast("long")).alias("loose")))
-        joined = all_nodes.join(inflow.withColumnRenamed("dst", "node"), "node", "left").join(loose)
-        extra = F.when(F.col("seed"), F.expr(f"loose div {seeded}")).otherwise(0)
-        joined = joined.withColumn("walk", F.coalesce("inflow", F.lit(0).cast("long")) + extra)
-        scores = joined.select("node", "seed", "n", (F.when(F.col("seed"), base).otherwise(0) + F.expr(f"({DAMPING[0]} * walk) div {DAMPING[1]}")).cast("long").alias("score"))
-        if scratch and k % every == every - 1:
-            scores = scratch.table(scores)
+    scores = scores.withColumn("score", F.lit(SCALE // total).cast("long"))
+    dealt = out.repartition("src").persist()
+    for _ in range(rounds):
+        loose = scores.where("n = 0").agg(F.sum("score")).first()[0] or 0
+        inflow = scores.where("n > 0").join(dealt, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.expr("score div n")).alias("inflow"))
+        walk = F.coalesce("inflow", F.lit(0).cast("long")) + F.when(F.col("seed"), loose // seeded).otherwise(0)
+        moved = scores.drop("score").join(inflow, "node", "left").withColumn("walk", walk)
+        made = scratch.table(moved.select("node", "seed", "n", (F.when(F.col("seed"), base).otherwise(0) + F.expr(f"({DAMPING[0]} * walk) div {DAMPING[1]}")).cast("long").alias("score")))
+        scratch.drop(scores)
+        scores = made
+    dealt.unpersist()
     return scores.select("node", "score")
 
 

@@ -6,7 +6,10 @@ one that skips such a row and goes on is an ordered fold over the unit's own can
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tier_rank
@@ -14,13 +17,19 @@ from ..functions.text import tier_rank
 PACK_CAP, OWN_CAP, OWN_ADVISORY_CAP, ADVISORY_CAP, CEILING = 2000, 1500, 750, 2000, 5000
 EDGE_CAP, MANIFEST_CAP, RELATED_CAP = 8, 12, 8
 MISCAP = 0.2
-#: Kinds of injection, their base caps, and the order in which cold ones are dropped (0: never).
+_NO_UNIT = object()
+#: Kinds of injection, their caps, the order in which cold ones are dropped, and whether they never are.
 KINDS = (
-    ("awareness", 400), ("orientation", 250), ("own", 1500), ("pack", 2000), ("poke", 150),
-    ("projectMem", 500), ("protocols.advisory", 500), ("protocols.safetyCritical", 500),
+    ("awareness", 400, 99, True), ("orientation", 250, 5, False), ("projectMem", 500, 4, False), ("own", 1500, 3, False),
+    ("pack", 2000, 2, False), ("protocols.safetyCritical", 500, 98, True), ("protocols.advisory", 500, 1, False), ("poke", 150, 0, False),
 )
 
 
+def kinds(spark: SparkSession) -> DataFrame:
+    """kind, base (its cap), cold_rank, pinned of every kind of injection: eight rows."""
+    return spark.createDataFrame(KINDS, "kind string, base int, cold_rank int, pinned boolean")
+
+
 def pack_order() -> list[Column]:
     return [tier_rank(F.col("tier")), F.desc(F.coalesce("hits", F.lit(0))), F.desc("ppr"), F.asc("node_key")]
 
@@ -95,37 +104,32 @@ def own(candidates: DataFrame, unit: str = "unit") -> DataFrame:
 
     candidates: unit, feed (invariant, gotcha, pointer, advisory), node_key, tier, hits, ppr, cost.
     Invariants and gotchas that don't fit are skipped and the fill goes on; pointers are at most
-    MANIFEST_CAP; advisory rows stop at the first that fits neither the budget nor their own cap.  The
-    fold goes over one unit's candidates, which a unit's pack bounds.
+    MANIFEST_CAP; advisory rows stop at the first that fits neither the budget nor their own cap.
+    unit is a string.
     """
     feed = F.when(F.col("feed") == "invariant", 0).when(F.col("feed") == "gotcha", 1).when(F.col("feed") == "pointer", 2).otherwise(3)
-    ranked = F.when(feed.isin(0, 3), tier_rank(F.col("tier"))).when(feed == 1, tier_rank(F.col("tier"))).otherwise(0)
+    ranked = F.when(feed == 2, 0).otherwise(tier_rank(F.col("tier")))
     hits = F.when(feed == 1, 0).otherwise(-F.coalesce("hits", F.lit(0)))
     ppr = F.when(feed.isin(0, 3), -F.coalesce("ppr", F.lit(0.0))).otherwise(0.0)
-    row = F.struct(feed.alias("f"), ranked.alias("t"), hits.cast("long").alias("h"), ppr.alias("p"), "node_key", F.col("cost").cast("long").alias("cost"), "feed")
-    units = candidates.groupBy(unit).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    zero = F.lit(0).cast("long")
-    taken = F.array().cast("array<struct<node_key: string, feed: string, taken: boolean>>")
-    start = F.struct(zero.alias("used"), zero.alias("pointers"), zero.alias("advisory"), F.lit(False).alias("capped"), taken.alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        room = s["used"] + r["cost"] <= OWN_CAP
-        fits = (
-            F.when(r["f"] == 2, room & (s["pointers"] < MANIFEST_CAP))
-            .when(r["f"] == 3, room & ~s["capped"] & (s["advisory"] + r["cost"] <= OWN_ADVISORY_CAP))
-            .otherwise(room)
-        )
-        add = F.when(fits, r["cost"]).otherwise(zero)
-        return F.named_struct(
-            F.lit("used"), s["used"] + add,
-            F.lit("pointers"), s["pointers"] + F.when(fits & (r["f"] == 2), 1).otherwise(0).cast("long"),
-            F.lit("advisory"), s["advisory"] + F.when(r["f"] == 3, add).otherwise(zero),
-            F.lit("capped"), s["capped"] | ((r["f"] == 3) & ~fits),
-            F.lit("out"), F.concat(s["out"], F.array(F.named_struct(F.lit("node_key"), r["node_key"], F.lit("feed"), r["feed"], F.lit("taken"), fits))),
-        )
-
-    folded = units.select(unit, F.aggregate("rows", start, step, lambda s: s["out"]).alias("out"))
-    return folded.select(unit, F.explode("out").alias("o")).select(unit, "o.*")
+    rows = candidates.select(F.col(unit).alias("unit"), feed.alias("_f"), ranked.alias("_t"), hits.cast("long").alias("_h"), ppr.alias("_p"), "node_key", F.col("cost").cast("long").alias("cost"), "feed")
+    # a unit's rows stand in one run, in order, and go through a fold of four numbers: none is gathered
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "_f", "_t", "_h", "_p", "node_key", "cost")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, used, pointers, advisory, capped = _NO_UNIT, 0, 0, 0, False
+        for batch in batches:
+            taken = []
+            for u, f, cost in zip(batch["unit"].tolist(), batch["_f"].tolist(), batch["cost"].tolist(), strict=True):
+                if u != here:
+                    here, used, pointers, advisory, capped = u, 0, 0, 0, False
+                fits = used + cost <= OWN_CAP and (f != 2 or pointers < MANIFEST_CAP) and (f != 3 or (not capped and advisory + cost <= OWN_ADVISORY_CAP))
+                if fits:
+                    used, pointers, advisory = used + cost, pointers + (f == 2), advisory + (cost if f == 3 else 0)
+                capped = capped or (f == 3 and not fits)
+                taken.append(fits)
+            yield pd.DataFrame({"unit": batch["unit"], "node_key": batch["node_key"], "feed": batch["feed"], "taken": taken})
+
+    return rows.mapInPandas(run, "unit string, node_key string, feed string, taken boolean").withColumnRenamed("unit", unit)
 
 
 def dedup(pack: DataFrame, own_rows: DataFrame) -> DataFrame:

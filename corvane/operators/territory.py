@@ -1,46 +1,41 @@
 """Territories: glob assignment, ownership, coverage gates.
 
-territories: decl (order of declaration), name, owner, tier, globs array<string>; a few thousand rows
-that the driver turns into patterns.
+territories: decl (order of declaration), name, owner, tier, globs array<string>.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import glob_literal_length, glob_regex, glob_zone
+from ..functions.text import folders, glob_folder, glob_literal_length, glob_regex, glob_zone
 
 #: A T0 territory with a larger part of unresolved references fails.
 GATE = 0.15
-MAX_GLOBS = 100_000
 
 
 def globs(territories: DataFrame) -> DataFrame:
-    """decl, name, owner, tier, pattern, literal, zone for each glob."""
-    spark: SparkSession = territories.sparkSession
-    rows = territories.select("decl", "name", "owner", "tier", F.explode("globs").alias("g")).limit(MAX_GLOBS + 1).collect()
-    if len(rows) > MAX_GLOBS:
-        raise ValueError(f"more than {MAX_GLOBS} globs")
-    made = [(r.decl, r.name, r.owner, r.tier, glob_regex(r.g), glob_literal_length(r.g), glob_zone(r.g)) for r in rows]
-    return spark.createDataFrame(made, "decl int, name string, owner string, tier string, pattern string, literal int, zone string")
+    """decl, name, owner, tier, pattern, literal, folder, zone for each glob."""
+    g = F.col("g")
+    rows = territories.select("decl", "name", "owner", "tier", F.explode("globs").alias("g"))
+    return rows.select("decl", "name", "owner", "tier", glob_regex(g).alias("pattern"), glob_literal_length(g).alias("literal"), glob_folder(g).alias("folder"), glob_zone(g).alias("zone"))
 
 
 def assign(paths: DataFrame, territories: DataFrame) -> DataFrame:
-    """path, territory, tier, verdict: the glob with the longest literal prefix wins, then the first declared.
+    """path, territory, owner, tier, verdict: the glob with the longest literal prefix wins, then the first declared.
 
-    An uncovered path is denied below the zone of a T0 territory and open elsewhere.  The globs are
-    bounded by MAX_GLOBS and broadcast; the paths are never shuffled for the match itself.
+    An uncovered path is denied below the zone of a T0 territory and open elsewhere.  A path meets only
+    the globs whose literal folder is one of its own: an equi-join, whose pairs the pattern filters.
     """
-    g = F.broadcast(globs(territories))
-    matched = paths.select("path").distinct().join(g, F.expr("path rlike pattern"), "left")
-    best = matched.groupBy("path").agg(F.min(F.when(F.col("name").isNotNull(), F.struct((-F.col("literal")).alias("l"), "decl", "name", "owner", "tier"))).alias("b"))
-    zones = F.broadcast(globs(territories).where("tier = 'T0' and zone <> ''").select("zone").distinct())
-    out = best.select("path", F.col("b.name").alias("territory"), F.col("b.owner").alias("owner"), F.col("b.tier").alias("tier"))
-    below = F.expr("path = zone or startswith(path, concat(zone, '/'))")
-    denied = out.where("territory is null").join(zones, below, "left_semi").select("path", F.lit(True).alias("denied"))
-    verdict = F.when(F.col("territory").isNotNull(), "covered").when(F.col("denied"), "deny").otherwise("open")
-    return out.join(denied, "path", "left").select("path", "territory", "owner", "tier", verdict.alias("verdict"))
+    g = globs(territories)
+    steps = paths.select("path").distinct().select("path", F.explode(folders(F.col("path"))).alias("folder"))
+    matched = steps.join(g, "folder").where(F.expr("path rlike pattern"))
+    best = matched.groupBy("path").agg(F.min(F.struct((-F.col("literal")).alias("l"), "decl", "name", "owner", "tier")).alias("b"))
+    zones = g.where("tier = 'T0' and zone <> ''").select(F.col("zone").alias("folder")).distinct()
+    denied = steps.join(zones, "folder", "left_semi").select("path").distinct().withColumn("denied", F.lit(True))
+    out = paths.select("path").distinct().join(best, "path", "left").join(denied, "path", "left")
+    verdict = F.when(F.col("b.name").isNotNull(), "covered").when(F.col("denied"), "deny").otherwise("open")
+    return out.select("path", F.col("b.name").alias("territory"), F.col("b.owner").alias("owner"), F.col("b.tier").alias("tier"), verdict.alias("verdict"))
 
 
 def mode(rows: DataFrame, key: str, value: str) -> DataFrame:

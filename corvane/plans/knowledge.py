@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import scrub, valid_template
@@ -27,19 +27,12 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-# --- freshness: a fact for each nation, grounded on three of its customers
+# --- freshness: a fact for each nation, grounded on all of its customers
 
-ENTRY = """entry AS (SELECT parent_path AS fact, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS pos, path, h AS subtree_hash FROM ha WHERE depth = 3 QUALIFY pos <= 3)"""
-ENTRY_ALL = ENTRY.replace(" QUALIFY pos <= 3", "")
+ENTRY = """entry AS (SELECT parent_path AS fact, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS pos, path, h AS subtree_hash FROM ha WHERE depth = 3)"""
 
 
 def _entries(rolled: DataFrame) -> DataFrame:
-    return _all_entries(rolled).where("pos <= 3")
-
-
-def _all_entries(rolled: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     leaves = rolled.where("depth = 3").select(F.col("parent_path").alias("fact"), "path", "subtree_hash")
     return leaves.withColumn("pos", F.row_number().over(Window.partitionBy("fact").orderBy("path")))
 
@@ -87,34 +80,6 @@ def reground(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.reground(_entries(before), after).select("fact", "pos", "path", "freshness")
 
 
-# --- freshness of facts that are grounded on all customers of their nation
-
-
-@query(SQL["drift_detect"].replace(ENTRY, ENTRY_ALL))
-def drift_detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = b.geo_tree(spark, sf_dir)
-    entries = _all_entries(tree.rollup(t))
-    return fresh.drift(entries, entries, tree.rollup(_edited(t)))
-
-
-@query(SQL["reconcile_drift"].replace(ENTRY, ENTRY_ALL))
-def reconcile_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, after = _two(spark, sf_dir)
-    return fresh.reconcile(_all_entries(before), after)
-
-
-@query(SQL["reconcile_exit"].replace(ENTRY, ENTRY_ALL))
-def reconcile_exit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, after = _two(spark, sf_dir)
-    return fresh.exit_code(fresh.reconcile(_all_entries(before), after))
-
-
-@query(SQL["reground"].replace(ENTRY, ENTRY_ALL))
-def reground_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, after = _two(spark, sf_dir)
-    return fresh.reground(_all_entries(before), after).select("fact", "pos", "path", "freshness")
-
-
 # --- facts
 
 
@@ -127,29 +92,65 @@ def scope_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _requests(f: DataFrame) -> DataFrame:
-    """Three batches: the same row again, another claim, and a claim at a higher tier by another scope."""
-    same = f.where("doc_id % 3 = 0").withColumn("pos", F.lit(0))
-    more = f.where("doc_id % 4 = 0").withColumn("pos", F.lit(1)).withColumn("claims", F.array(F.lit("more"))).withColumn("content_hash", F.lit("new"))
-    other = f.where("doc_id % 5 = 0").withColumn("pos", F.lit(2)).withColumn("scope", F.lit("elsewhere")).withColumn("content_hash", F.lit("x"))
-    made = f.where("doc_id % 6 = 0").withColumn("pos", F.lit(3)).withColumn("node_key", F.concat(F.lit("n"), "node_key"))
+    """Nine batches: the same row again, another claim, one in another scope, a new key, a raise, a weaker tier, a slot of no
+    vocabulary, a predicate, and one that leaves slot and anchor out."""
     names = ["pos", "node_key", "family", "content_hash", "claims", "primary_anchor", "slot", "scope", "tier"]
-    return same.select(names).unionByName(more.select(names)).unionByName(other.select(names)).unionByName(made.select(names)).withColumn("pos", F.col("pos").cast("long"))
-
-
-@query(f"""WITH {b.FACT_SQL}, o AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'REFUSE' WHEN doc_id % 4 = 0 THEN 'UPDATE' WHEN doc_id % 3 = 0 THEN 'DEDUP' ELSE 'KEPT' END AS outcome FROM fact)
-SELECT node_key, tier, scope, outcome, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS claims FROM o
-UNION ALL SELECT 'n' || node_key, tier, scope, 'CREATE', 1 FROM fact WHERE doc_id % 6 = 0""")
+    null = F.lit(None).cast("string")
+    of = lambda x: F.concat(F.lit(x), "node_key")
+    batches = [
+        (3, {}),
+        (4, {"claims": F.array(F.lit("more")), "content_hash": of("new")}),
+        (5, {"scope": F.lit("elsewhere"), "content_hash": of("x")}),
+        (6, {"node_key": of("n"), "content_hash": of("made")}),
+        (7, {"tier": F.lit("T0"), "claims": F.array(F.lit("raised")), "content_hash": of("up")}),
+        (11, {"tier": F.lit("T9"), "content_hash": of("weak")}),
+        (13, {"slot": F.lit("purpose"), "content_hash": of("odd")}),
+        (17, {"family": F.lit("predicate"), "claims": F.array(F.lit("checked")), "content_hash": of("pred")}),
+        (19, {"slot": null, "primary_anchor": null, "claims": F.array(F.lit("more"), F.lit("late")), "content_hash": of("last")}),
+    ]
+    out = None
+    for pos, (n, new) in enumerate(batches):
+        some = f.where(F.col("doc_id") % n == 0).select(F.lit(pos).cast("long").alias("pos"), *(new.get(c, F.col(c)).alias(c) for c in names[1:]))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+REQUESTS = f"""{b.FACT_SQL}, req AS (
+  SELECT 0 AS pos, node_key, family, content_hash, [content_hash] AS claims, primary_anchor, slot, scope, tier FROM fact WHERE doc_id % 3 = 0
+  UNION ALL SELECT 1, node_key, family, 'new' || node_key, ['more'], primary_anchor, slot, scope, tier FROM fact WHERE doc_id % 4 = 0
+  UNION ALL SELECT 2, node_key, family, 'x' || node_key, [content_hash], primary_anchor, slot, 'elsewhere', tier FROM fact WHERE doc_id % 5 = 0
+  UNION ALL SELECT 3, 'n' || node_key, family, 'made' || node_key, [content_hash], primary_anchor, slot, scope, tier FROM fact WHERE doc_id % 6 = 0
+  UNION ALL SELECT 4, node_key, family, 'up' || node_key, ['raised'], primary_anchor, slot, scope, 'T0' FROM fact WHERE doc_id % 7 = 0
+  UNION ALL SELECT 5, node_key, family, 'weak' || node_key, [content_hash], primary_anchor, slot, scope, 'T9' FROM fact WHERE doc_id % 11 = 0
+  UNION ALL SELECT 6, node_key, family, 'odd' || node_key, [content_hash], primary_anchor, 'purpose', scope, tier FROM fact WHERE doc_id % 13 = 0
+  UNION ALL SELECT 7, node_key, 'predicate', 'pred' || node_key, ['checked'], primary_anchor, slot, scope, tier FROM fact WHERE doc_id % 17 = 0
+  UNION ALL SELECT 8, node_key, family, 'last' || node_key, ['more', 'late'], NULL, NULL, scope, tier FROM fact WHERE doc_id % 19 = 0)"""
+_RANKS = "CASE {} WHEN 'T0' THEN 0 WHEN 'T1' THEN 1 WHEN 'T2' THEN 2 ELSE 3 END"
+
+
+@query(f"""WITH RECURSIVE {REQUESTS}, rq AS (SELECT *, row_number() OVER (PARTITION BY node_key ORDER BY pos) AS n FROM req),
+keys AS (SELECT node_key FROM fact UNION SELECT node_key FROM req),
+st AS (SELECT k.node_key, 0 AS n, family, content_hash, CASE WHEN f.node_key IS NOT NULL THEN [content_hash] END AS claims, primary_anchor, slot, scope, tier, NULL::VARCHAR AS superseded_by, 'KEPT' AS outcome, []::VARCHAR[] AS added
+  FROM keys k LEFT JOIN fact f USING (node_key)
+  UNION ALL SELECT node_key, n + 1, CASE WHEN o IN ('CREATE', 'SUPERSEDE') THEN rf ELSE family END, CASE WHEN w THEN rh ELSE content_hash END,
+    CASE o WHEN 'CREATE' THEN rc WHEN 'SUPERSEDE' THEN rc WHEN 'UPDATE' THEN CASE WHEN rt IN ('T0', 'T1') AND {_RANKS.format('rt')} < {_RANKS.format('tier')} THEN rc ELSE claims || list_filter(rc, lambda c: NOT list_contains(claims, c)) END ELSE claims END,
+    CASE WHEN w THEN coalesce(ra, primary_anchor) ELSE primary_anchor END, CASE WHEN w THEN coalesce(rs, slot) ELSE slot END, CASE WHEN w THEN coalesce(rp, scope) ELSE scope END, CASE WHEN w THEN coalesce(rt, tier) ELSE tier END,
+    CASE o WHEN 'SUPERSEDE' THEN content_hash WHEN 'CREATE' THEN NULL ELSE superseded_by END, o, CASE WHEN w THEN list_append(added, rh) ELSE added END
+  FROM (SELECT *, o IN ('CREATE', 'UPDATE', 'SUPERSEDE') AS w FROM (SELECT st.*, r.family AS rf, r.content_hash AS rh, r.claims AS rc, r.primary_anchor AS ra, r.slot AS rs, r.scope AS rp, r.tier AS rt,
+    CASE WHEN r.slot NOT IN ('invariant', 'contract', 'precondition', 'postcondition', 'sideeffect', 'ownership', 'perf-bound', 'security-property', 'gotcha', 'rationale', 'dependency', 'count', 'definition') THEN 'closed-slot'
+         WHEN r.content_hash IN (SELECT content_hash FROM fact) OR list_contains(st.added, r.content_hash) THEN 'DEDUP' WHEN st.content_hash IS NULL THEN 'CREATE'
+         WHEN r.scope IS DISTINCT FROM st.scope THEN 'governance-relocation' WHEN r.tier IS NULL OR r.tier NOT IN ('T0', 'T1', 'T2') OR {_RANKS.format('r.tier')} > {_RANKS.format('st.tier')} THEN 'governance-downgrade'
+         WHEN r.family = 'predicate' THEN 'SUPERSEDE' ELSE 'UPDATE' END AS o FROM st JOIN rq r ON r.node_key = st.node_key AND r.n = st.n + 1)))
+SELECT node_key, family, content_hash, array_to_string(claims, '|') AS claims, primary_anchor, slot, scope, tier, superseded_by, outcome FROM st QUALIFY row_number() OVER (PARTITION BY node_key ORDER BY n DESC) = 1""")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = b.facts(spark, sf_dir)
-    return facts.upsert(f, _requests(f)).select("node_key", "tier", "scope", "outcome", F.size("claims").alias("claims"))
+    return facts.upsert(f, _requests(f)).withColumn("claims", F.concat_ws("|", "claims"))
 
 
-@query(f"""WITH {b.FACT_SQL}, r AS (SELECT node_key, content_hash FROM fact WHERE doc_id % 3 = 0 UNION ALL SELECT node_key, 'new' FROM fact WHERE doc_id % 4 = 0
-  UNION ALL SELECT node_key, 'x' FROM fact WHERE doc_id % 5 = 0 UNION ALL SELECT 'n' || node_key, content_hash FROM fact WHERE doc_id % 6 = 0)
-SELECT node_key, content_hash, CASE WHEN content_hash IN (SELECT content_hash FROM fact) THEN 'DEDUP' WHEN node_key NOT IN (SELECT node_key FROM fact) THEN 'CREATE' ELSE 'UPDATE' END AS decision FROM r""")
+@query(f"""WITH {REQUESTS} SELECT pos::BIGINT AS pos, node_key, content_hash, CASE WHEN content_hash IN (SELECT content_hash FROM fact) THEN 'DEDUP' WHEN node_key NOT IN (SELECT node_key FROM fact) THEN 'CREATE' WHEN family <> 'predicate' THEN 'UPDATE' ELSE 'SUPERSEDE' END AS decision FROM req""")
 def route_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = b.facts(spark, sf_dir)
-    return facts.write_decisions(_requests(f), f, f).select("node_key", "content_hash", "decision")
+    return facts.write_decisions(_requests(f), f, f).select("pos", "node_key", "content_hash", "decision")
 
 
 _NESTED = "split_part(primary_anchor, '::', 1)"
@@ -179,13 +180,15 @@ def same_as(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.same_as(edges.select("a", "b"), edges.where("doc_id % 10 = 0").select("a", "b"), f, Tables(spark))
 
 
-@query(f"WITH {b.FACT_SQL} SELECT f.node_key, octet_length(encode(text)) <= 512 AND slot NOT IN ('purpose') AS valid FROM fact f JOIN documents d ON d.doc_id = f.doc_id")
+@query(f"WITH {b.FACT_SQL} SELECT f.node_key, octet_length(encode(text)) <= 512 AND f.doc_id % 5 <> 0 AND f.doc_id % 9 <> 0 AS valid FROM fact f JOIN documents d ON d.doc_id = f.doc_id")
 def validate_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts with their own slot, one of no vocabulary (5 divides doc_id) or none (9 does)."""
     f, d = b.facts(spark, sf_dir).select("node_key", "doc_id", "slot", "scope"), b.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return f.join(d, "doc_id").select("node_key", valid_template(F.col("text"), F.col("slot"), b.SLOTS[:-1], F.col("scope")).alias("valid"))
+    slot = F.when(F.col("doc_id") % 9 == 0, F.lit(None)).when(F.col("doc_id") % 5 == 0, "purpose").otherwise(F.col("slot"))
+    return f.join(d, "doc_id").select("node_key", valid_template(F.col("text"), slot, F.col("scope")).alias("valid"))
 
 
-@query(f"""WITH {b.FACT_SQL} SELECT node_key, CASE WHEN doc_id % 2 = 0 AND tier = 'T2' AND doc_id % 7 <> 0 THEN 'auto-accept' ELSE 'review' END AS route,
+@query(f"""WITH {b.FACT_SQL} SELECT node_key, CASE WHEN doc_id % 2 = 0 AND tier = 'T2' AND doc_id % 7 <> 0 THEN 'auto-accept' ELSE 'full-ratify' END AS route,
   CASE WHEN tier NOT IN ('T1', 'T2') THEN 'tier' WHEN scope = 'src1' THEN 'scope' WHEN doc_id % 2 <> 0 THEN 'truth' END AS refusal FROM fact""")
 def fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = b.facts(spark, sf_dir)
@@ -211,15 +214,15 @@ def split_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.split_bands(b.facts(spark, sf_dir), "scope").select("scope", "node_key", "band", "served")
 
 
-_KINDS = ", ".join(f"('{k}', {c}, {i}, {'true' if k in ('own', 'protocols.safetyCritical') else 'false'})" for i, (k, c) in enumerate(packs.KINDS))
-INJECT = f"""k(kind, base, cold, pinned) AS (VALUES {_KINDS}), inj AS (SELECT user_id AS session, kind, base + (user_id % 9) * 90 AS cost, ((user_id + cold) % 4) / 4.0 AS hit_rate, (user_id % 3)::BIGINT AS hits, pinned, cold
+INJECT = """k(kind, base, cold, pinned) AS (VALUES ('poke', 150, 0, false), ('protocols.advisory', 500, 1, false), ('pack', 2000, 2, false), ('own', 1500, 3, false), ('projectMem', 500, 4, false),
+  ('orientation', 250, 5, false), ('protocols.safetyCritical', 500, 98, true), ('awareness', 400, 99, true)),
+inj AS (SELECT user_id AS session, kind, base + (user_id % 9) * 90 AS cost, ((user_id + cold) % 4) / 4.0 AS hit_rate, (user_id % 3)::BIGINT AS hits, pinned, cold
   FROM (SELECT DISTINCT user_id FROM events), k)"""
 
 
 def _injections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = spark.createDataFrame([(k, c, i, k in ("own", "protocols.safetyCritical")) for i, (k, c) in enumerate(packs.KINDS)], "kind string, base int, cold_rank int, pinned boolean")
     users = b.read(spark, sf_dir, "events").select(F.col("user_id").alias("session")).distinct()
-    rows = users.join(F.broadcast(kinds))  # eight kinds
+    rows = users.join(F.broadcast(packs.kinds(spark)))  # eight kinds
     return rows.select("session", "kind", (F.col("base") + F.col("session") % 9 * 90).alias("cost"), (((F.col("session") + F.col("cold_rank")) % 4) / 4).alias("hit_rate"), (F.col("session") % 3).alias("hits"), "pinned", "cold_rank")
 
 
@@ -262,7 +265,17 @@ def relate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.relate(f, "scope").select("scope", "band", "node_key", "rank", "total")
 
 
-@query()
+OWN = f"""{b.FACT_SQL}, fd AS (SELECT concat_ws('/', scope, slot) AS unit, node_key, cost % 600 AS cost, ppr, hits, {_RANK} AS tr,
+  CASE WHEN tier = 'T2' THEN 'advisory' WHEN doc_id % 5 = 0 THEN 'pointer' WHEN doc_id % 5 = 1 THEN 'gotcha' ELSE 'invariant' END AS feed FROM fact),
+od AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY CASE feed WHEN 'invariant' THEN 0 WHEN 'gotcha' THEN 1 WHEN 'pointer' THEN 2 ELSE 3 END, CASE WHEN feed = 'pointer' THEN 0 ELSE tr END,
+  CASE WHEN feed = 'gotcha' THEN 0 ELSE -hits END, CASE WHEN feed IN ('invariant', 'advisory') THEN -ppr ELSE 0 END, node_key) AS n FROM fd),
+tk AS (SELECT unit, 0 AS n, '' AS node_key, '' AS feed, false AS taken, 0::BIGINT AS used, 0 AS pointers, 0::BIGINT AS advisory, false AS capped FROM (SELECT DISTINCT unit FROM od)
+  UNION ALL SELECT unit, n, node_key, feed, t, used + CASE WHEN t THEN cost ELSE 0 END, pointers + (t AND feed = 'pointer')::INT, advisory + CASE WHEN t AND feed = 'advisory' THEN cost ELSE 0 END, capped OR (feed = 'advisory' AND NOT t)
+  FROM (SELECT od.unit, od.n, od.node_key, od.feed, od.cost, used, pointers, advisory, capped, used + cost <= 1500 AND (od.feed <> 'pointer' OR pointers < 12) AND (od.feed <> 'advisory' OR (NOT capped AND advisory + cost <= 750)) AS t
+    FROM tk JOIN od ON od.unit = tk.unit AND od.n = tk.n + 1))"""
+
+
+@query(f"WITH RECURSIVE {OWN} SELECT unit, node_key, feed, taken FROM tk WHERE n > 0")
 def own_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = b.facts(spark, sf_dir).withColumn("unit", F.concat_ws("/", "scope", "slot"))
     feed = F.when(F.col("tier") == "T2", "advisory").when(F.col("doc_id") % 5 == 0, "pointer").when(F.col("doc_id") % 5 == 1, "gotcha").otherwise("invariant")
@@ -286,15 +299,9 @@ def history_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {b.BASKET_SQL}, f AS (SELECT DISTINCT "commit", path FROM basket)
-SELECT x.path, y.path AS other, count(*) AS support FROM f x JOIN f y ON x."commit" = y."commit" AND x.path <> y.path WHERE x.path % 10 = 0 GROUP BY ALL HAVING count(*) >= 2""")
+SELECT x.path, y.path AS other, count(*) AS support FROM f x JOIN f y ON x."commit" = y."commit" AND x.path <> y.path GROUP BY ALL HAVING count(*) >= 2""")
 def co_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = b.baskets(spark, sf_dir)
-    return mining.co_changed(k, k.where("path % 10 = 0"))
-
-
-@query(SQL["co_changed"].replace(" WHERE x.path % 10 = 0", ""))
-def co_changed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair in both directions; `co_changed` asks for the files that 10 divides."""
+    """Every pair in both directions."""
     return mining.co_changed(b.baskets(spark, sf_dir))
 
 
@@ -311,27 +318,17 @@ s0 AS (SELECT node, {mining.SCALE} // ct.n AS score FROM nd, ct)"""
         p = f"s{k - 1}"
         out += f""",
 i{k} AS (SELECT dst AS node, sum(score // n) AS w FROM {p} JOIN dg ON src = node JOIN eg USING (src) GROUP BY dst), l{k} AS (SELECT coalesce(sum(score), 0) AS l FROM {p} WHERE node NOT IN (SELECT src FROM dg)),
-s{k} AS (SELECT node, (CASE WHEN node::BIGINT % 10 = 0 THEN (15 * ({mining.SCALE} // ct.s)) // 100 ELSE 0 END + (85 * (coalesce(w, 0) + CASE WHEN node::BIGINT % 10 = 0 THEN l // ct.s ELSE 0 END)) // 100)::BIGINT AS score FROM nd LEFT JOIN i{k} USING (node), l{k}, ct)"""
+s{k} AS MATERIALIZED (SELECT node, (CASE WHEN node::BIGINT % 10 = 0 THEN (15 * ({mining.SCALE} // ct.s)) // 100 ELSE 0 END + (85 * (coalesce(w, 0) + CASE WHEN node::BIGINT % 10 = 0 THEN l // ct.s ELSE 0 END)) // 100)::BIGINT AS score FROM nd LEFT JOIN i{k} USING (node), l{k}, ct)"""
     return out + f" SELECT node, score FROM s{rounds}"
 
 
-def _pagerank(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
-    t = Tables(spark)
-    e = t.table(deps.derive_edges(b.occurrences(spark, sf_dir)).where("dst is not null"))
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return mining.pagerank(nodes, e, nodes.where("cast(node as long) % 10 = 0"), rounds, t)
-
-
 @query(_ppr_sql(mining.ROUNDS))
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 64 rounds over the whole graph."""
-    return _pagerank(spark, sf_dir, mining.ROUNDS)
-
-
-@query(_ppr_sql(4))
-def pagerank_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores after four rounds; those of the operator are in `pagerank`."""
-    return _pagerank(spark, sf_dir, 4)
+    t = Tables(spark)
+    e = t.table(deps.derive_edges(b.occurrences(spark, sf_dir)).where("dst is not null"))
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return mining.pagerank(nodes, e, nodes.where("cast(node as long) % 10 = 0"), scratch=t)
 
 
 VISIT = "v AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, o_orderpriority IN ('1-URGENT', '2-HIGH') AS admitted, o_orderstatus FROM orders)"
@@ -344,8 +341,6 @@ def marginal_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     o = b.read(spark, sf_dir, "orders")
     by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     return o.select(F.col("o_custkey").alias("run"), F.row_number().over(by).cast("long").alias("rank"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("admitted"), F.when(F.col("o_orderpriority") == "5-LOW", "fault").otherwise(F.col("o_orderstatus")).alias("outcome"))
@@ -390,39 +385,67 @@ def orient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.orientation(c.select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("entry")), "conv_id")
 
 
-@query("""WITH m AS (SELECT user_id AS session, event_id AS pos, CASE WHEN event_type <> 'error' THEN event_type END AS scope FROM events), k AS (SELECT * FROM m WHERE scope IS NOT NULL),
-i AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos) - row_number() OVER (PARTITION BY session, scope ORDER BY pos) AS g FROM k),
+@query("""WITH m AS (SELECT user_id AS session, event_id AS pos, last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS scope FROM events),
+i AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos) - row_number() OVER (PARTITION BY session, scope ORDER BY pos) AS g FROM m WHERE scope IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY session, scope, g ORDER BY pos) AS run FROM i)
 SELECT session, min(pos) AS pos, scope, 2 AS run FROM r WHERE run >= 2 GROUP BY session, scope""")
 def poke_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors are calls that navigate nowhere."""
     e = b.read(spark, sf_dir, "events")
     return memory.poke_runs(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("pos"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("scope")))
 
 
-CLAIMS = [(i, f"part/{p}", s, n) for i, (p, s, n) in enumerate([(1, "", 1), (7, "", 30), (29, "", 2), (58, "17", 1), (100, "9999999", 1), (12, "", 10_000)])]
-CLAIM_SQL = "c(claim, symbol, scope, at_least) AS (VALUES " + ", ".join(f"({a}, '{s}', '{z}', {n})" for a, s, z, n in CLAIMS) + "), fd AS (SELECT claim, any_value(at_least) AS at_least, any_value(c.scope) AS scope, count(DISTINCT o.path) AS found FROM c LEFT JOIN (SELECT DISTINCT symbol, path FROM occ WHERE role = 'reference') o ON o.symbol = c.symbol AND (c.scope = '' OR o.path = c.scope OR starts_with(o.path, c.scope || '/')) GROUP BY claim)"
-HOLES = "hl AS (SELECT DISTINCT path FROM occ WHERE role = 'reference' AND symbol NOT IN (SELECT symbol FROM occ WHERE role = 'definition')), op AS (SELECT claim, EXISTS (SELECT 1 FROM hl WHERE scope = '' OR path = scope OR starts_with(path, scope || '/')) AS open FROM fd)"
-
-
-def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    occ = b.occurrences(spark, sf_dir)
-    return spark.createDataFrame(CLAIMS, "claim int, symbol string, scope string, at_least int"), occ.where("role = 'reference'").select("symbol", "path"), deps.holes(occ)
-
-
-@query(f"WITH {b.OCC_SQL}, {CLAIM_SQL} SELECT claim, found, CASE WHEN found > 0 THEN 'proven' ELSE 'abstain' END AS verdict FROM fd")
+_TARGETS = ["part/1", "part/7", "part/29", "part/58", "part/100", "part/999999999", "local 3", ""]
+_PLACES = ["d1", "d2/", "d0/7", "d5/12", "d3/1", "", "nowhere"]
+CLAIMS = [
+    (i, kind, target, place, "d4/4" if i % 3 == 0 else "d6" if i % 3 == 1 else place, n, exact)
+    for i, (kind, target, place, n, exact) in enumerate(
+        [("dependency", t, p, None, None) for t in _TARGETS for p in _PLACES]
+        + [("negation", t, p, None, None) for t in _TARGETS for p in _PLACES]
+        + [("count", t, p, n, x) for t in _TARGETS for p in _PLACES for n, x in ((1, False), (4, False), (0, False), (1, True), (None, True))]
+    )
+]
+_SQL = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v)
+CLAIM_SQL = f"""{b.OCC_SQL}, oc AS (SELECT 'd' || path::BIGINT % 7 || '/' || path AS path, symbol, role FROM occ
+  UNION ALL SELECT 'd5/' || o, 'local 1', r FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem WHERE l_orderkey % 49 = 12), (SELECT unnest(['definition', 'reference']) AS r)
+  UNION ALL SELECT 'd5/' || l_orderkey, 'local 2', 'reference' FROM lineitem WHERE l_orderkey % 49 = 26),
+c(claim, kind, symbol, scope, world, at_least, exact) AS (VALUES {", ".join("(" + ", ".join(map(_SQL, r)) + ")" for r in CLAIMS)}),
+df AS (SELECT DISTINCT symbol FROM oc WHERE role = 'definition' AND NOT starts_with(symbol, 'local ')),
+hl AS (SELECT DISTINCT path FROM oc WHERE role = 'reference' AND NOT starts_with(symbol, 'local ') AND symbol NOT IN (SELECT symbol FROM df)),
+qu AS (SELECT DISTINCT path FROM oc r WHERE role = 'reference' AND starts_with(symbol, 'local ') AND NOT EXISTS (SELECT 1 FROM oc d WHERE d.role = 'definition' AND d.path = r.path AND d.symbol = r.symbol)),
+cl AS (SELECT DISTINCT symbol, path FROM oc WHERE role = 'reference' AND symbol IN (SELECT symbol FROM df)),
+fd AS (SELECT c.*, (SELECT count(*) FROM cl WHERE cl.symbol = c.symbol AND (cl.path = rtrim(c.scope, '/') OR starts_with(cl.path, rtrim(c.scope, '/') || '/'))) AS n,
+  EXISTS (SELECT 1 FROM hl WHERE path = rtrim(scope, '/') OR starts_with(path, rtrim(scope, '/') || '/')) AS sh, EXISTS (SELECT 1 FROM hl WHERE path = rtrim(world, '/') OR starts_with(path, rtrim(world, '/') || '/')) AS wh,
+  EXISTS (SELECT 1 FROM qu WHERE path = rtrim(scope, '/') OR starts_with(path, rtrim(scope, '/') || '/')) AS so, c.symbol IN (SELECT symbol FROM df) AS known FROM c),
+an AS (SELECT *, CASE WHEN symbol = '' OR scope = '' OR (kind <> 'negation' AND world = '') OR (kind = 'count' AND coalesce(at_least, 0) < 1) THEN 'malformed' WHEN starts_with(symbol, 'local ') THEN 'target-not-global' WHEN NOT known THEN 'target-unresolvable' END AS early FROM fd),
+rs AS (SELECT *, coalesce(early, CASE kind WHEN 'dependency' THEN CASE WHEN n = 0 THEN CASE WHEN wh THEN 'scope-open' ELSE 'no-caller-in-scope' END END
+  WHEN 'negation' THEN CASE WHEN n = 0 AND (sh OR so) THEN 'scope-open' END
+  ELSE CASE WHEN exact THEN CASE WHEN wh THEN 'scope-open' WHEN n <> at_least THEN 'exact-count-mismatch' END WHEN n < at_least THEN 'below-witnessed-bound' END END) AS reason FROM an)
+SELECT claim, kind, CASE WHEN early IS NULL THEN n ELSE 0 END AS found, CASE WHEN reason IS NOT NULL THEN 'abstain' WHEN kind = 'negation' AND n > 0 THEN 'refuted' ELSE 'proven' END AS verdict, reason FROM rs WHERE kind = """
+
+
+def _view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, verify.Reverse]:
+    """Claims of every arm, and the view of occurrences in seven folders with local symbols, opaque ones among them."""
+    occ = b.occurrences(spark, sf_dir).select(F.concat(F.lit("d"), F.col("path").cast("long") % 7, F.lit("/"), "path").alias("path"), "symbol", "role")
+    orders = b.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.concat(F.lit("d5/"), "l_orderkey").alias("path")).distinct()
+    sound = orders.where("o % 49 = 12").select("path", F.lit("local 1").alias("symbol"), F.explode(F.array(F.lit("definition"), F.lit("reference"))).alias("role"))
+    lost = orders.where("o % 49 = 26").select("path", F.lit("local 2").alias("symbol"), F.lit("reference").alias("role"))
+    return spark.createDataFrame(CLAIMS, verify.CLAIMS), verify.reverse(occ.unionByName(sound).unionByName(lost))
+
+
+@query(f"WITH {CLAIM_SQL} 'dependency'")
 def verify_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, callers, _ = _claims(spark, sf_dir)
-    return verify.dependency(claims, callers)
+    return verify.dependency(*_view(spark, sf_dir))
 
 
-@query(f"WITH {b.OCC_SQL}, {CLAIM_SQL}, {HOLES} SELECT claim, found, CASE WHEN found >= at_least THEN 'proven' ELSE 'abstain' END AS verdict, NOT open AS exact FROM fd JOIN op USING (claim)")
+@query(f"WITH {CLAIM_SQL} 'count'")
 def verify_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.count(*_claims(spark, sf_dir))
+    return verify.count(*_view(spark, sf_dir))
 
 
-@query(f"WITH {b.OCC_SQL}, {CLAIM_SQL}, {HOLES} SELECT claim, found, CASE WHEN found > 0 THEN 'refuted' WHEN open THEN 'abstain' ELSE 'proven' END AS verdict FROM fd JOIN op USING (claim)")
+@query(f"WITH {CLAIM_SQL} 'negation'")
 def verify_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.negation(*_claims(spark, sf_dir))
+    return verify.negation(*_view(spark, sf_dir))
 
 
 @query("SELECT conv_id, turn, 'x[REDACTED] ' || text || ' [REDACTED]' AS clean FROM conversations")
@@ -451,27 +474,12 @@ def decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.decay(served, b.read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("node_key")))
 
 
-_FACET_NAMES = ", ".join(f"('{f}')" for f in lifecycle.FACETS)
-
-
-@query(f"""WITH n(facet) AS (VALUES {_FACET_NAMES}), o AS (SELECT DISTINCT conv_id FROM conversations),
-t AS (SELECT conv_id, ({list(lifecycle.FACETS)})[turn + 1] AS facet, text AS top, role = 'user' AS moved FROM conversations WHERE turn < 5),
-g AS (SELECT o.conv_id, n.facet, coalesce(top, 'UN-SEEDED (' || n.facet || ')') AS content, CASE WHEN top IS NULL THEN 'UN-SEEDED' WHEN moved THEN 'drifted' ELSE 'seeded' END AS state
-  FROM o CROSS JOIN n LEFT JOIN t ON t.conv_id = o.conv_id AND t.facet = n.facet)
+@query("""WITH n(facet, i) AS (VALUES ('mission', 0), ('constitution', 1), ('terrain', 2), ('ontology', 3), ('taste', 4)), o AS (SELECT DISTINCT conv_id FROM conversations),
+t AS (SELECT conv_id, turn % 5 AS i, max(struct_pack(t := turn, x := text, r := role)) AS l FROM conversations GROUP BY ALL),
+g AS (SELECT o.conv_id, n.facet, coalesce(l.x, 'UN-SEEDED (' || n.facet || '): source absent \u2014 no self-model line fabricated') AS content, CASE WHEN l.x IS NULL THEN 'UN-SEEDED' WHEN l.r = 'user' THEN 'drifted' ELSE 'seeded' END AS state
+  FROM o CROSS JOIN n LEFT JOIN t ON t.conv_id = o.conv_id AND t.i = n.i)
 SELECT conv_id, facet, content, state, sum(len(regexp_extract_all(content, '\\S+'))) OVER (PARTITION BY conv_id) <= 400 AS within_cap FROM g""")
 def awareness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = b.read(spark, sf_dir, "conversations").where("turn < 5")
-    facet = F.element_at(F.array(*map(F.lit, lifecycle.FACETS)), (F.col("turn") + 1).cast("int"))
-    every = b.read(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.lit("none").alias("facet"), F.array().cast("array<string>").alias("tiers"), F.lit(False).alias("moved"))
-    rows = c.select("conv_id", facet.alias("facet"), F.array("text").alias("tiers"), (F.col("role") == "user").alias("moved"))
-    return lifecycle.awareness(rows.unionByName(every), "conv_id")
-
-
-@query(SQL["awareness"].replace(
-    f"SELECT conv_id, ({list(lifecycle.FACETS)})[turn + 1] AS facet, text AS top, role = 'user' AS moved FROM conversations WHERE turn < 5",
-    f"SELECT conv_id, facet, l.x AS top, l.r = 'user' AS moved FROM (SELECT conv_id, ({list(lifecycle.FACETS)})[turn % 5 + 1] AS facet, max(struct_pack(t := turn, x := text, r := role)) AS l FROM conversations GROUP BY ALL)",
-))
-def awareness_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn is a tier of one of the facets, the latest first."""
     c = b.read(spark, sf_dir, "conversations")
     facet = F.element_at(F.array(*map(F.lit, lifecycle.FACETS)), (F.col("turn") % 5 + 1).cast("int"))
@@ -518,24 +526,16 @@ def negations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {b.TREE_SQL}, {_tree_hash("tree", "ha")}, c AS (SELECT parent_path AS fact, path, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS pos FROM tree WHERE depth = 3),
-x AS (SELECT fact, pos, CASE WHEN pos = 2 AND fact LIKE '%A' THEN path || '?' ELSE path END AS path FROM c WHERE pos <= 2)
+x AS (SELECT fact, pos, CASE WHEN pos = 2 AND fact LIKE '%A' THEN path || '?' ELSE path END AS path FROM c)
 SELECT fact, pos::INT AS pos, x.path, h AS subtree_hash FROM x JOIN ha USING (path) WHERE fact NOT IN (SELECT fact FROM x WHERE path LIKE '%?')""")
 def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rolled = Tables(spark).table(tree.rollup(b.geo_tree(spark, sf_dir)))
-    return _grounded(_entries(rolled).where("pos <= 2"), rolled)
-
-
-def _grounded(entries: DataFrame, rolled: DataFrame) -> DataFrame:
-    cited, lost = entries.drop("subtree_hash"), (F.col("pos") == 2) & F.col("fact").endswith("A")
+    """Facts cite all leaves of their nation; those whose name ends in A cite one that isn't there."""
+    t = Tables(spark)
+    rolled = t.table(tree.rollup(b.geo_tree(spark, sf_dir), t))
+    cited, lost = _entries(rolled).drop("subtree_hash"), (F.col("pos") == 2) & F.col("fact").endswith("A")
     return fresh.ground(cited.withColumn("path", F.when(lost, F.concat("path", F.lit("?"))).otherwise(F.col("path"))), rolled).select("fact", "pos", "path", "subtree_hash")
 
 
-@query(SQL["ground"].replace(" WHERE pos <= 2", ""))
-def ground_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rolled = Tables(spark).table(tree.rollup(b.geo_tree(spark, sf_dir)))
-    return _grounded(_all_entries(rolled), rolled)
-
-
 @query(f"""WITH {b.BASKET_SQL}, a AS (SELECT author AS fact, path AS node, count(*) AS n FROM basket GROUP BY ALL), c AS (SELECT author AS fact, path AS node, count(*) AS n FROM basket WHERE "commit" % 97 <> 0 GROUP BY ALL)
 SELECT coalesce(a.fact, c.fact) AS fact, bool_and(coalesce(a.n = c.n, false)) AS fresh FROM a FULL JOIN c ON a.fact = c.fact AND a.node = c.node GROUP BY 1""")
 def closure_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:

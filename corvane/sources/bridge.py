@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import SLOTS
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -81,10 +83,6 @@ BASKET_SQL = """
 basket AS (SELECT DISTINCT o_orderkey AS "commit", o_custkey AS author, o_orderpriority = '1-URGENT' AS is_fix, l_partkey AS path
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
 
-#: The slots that a fact can fill here.
-SLOTS = ("owner", "contract", "invariant", "limit", "format", "order", "unit", "default", "error", "lifetime", "access", "version", "purpose")
-
-
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as facts: anchored in source and language, tier by label, text as the only claim."""
     d, lab = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")

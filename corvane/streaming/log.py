@@ -33,17 +33,17 @@ def fold_into(store: Generations):  # noqa: ANN201
 def pokes(calls: DataFrame, least: int = 2) -> DataFrame:
     """session, pos, scope of the first call in a session whose run of one scope reaches `least`.
 
-    calls: session, pos, scope (null: no navigation).  The state is the current scope, its run and the
-    scopes already poked.
+    calls: session, pos, scope (null: no navigation, which lengthens the run of the scope one is in).
+    The state is the current scope, its run and the scopes already poked.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         scope, run, done = state.get if state.exists else (None, 0, [])
         out = []
         for row in pd.concat(list(batches)).sort_values("pos").itertuples():
-            if row.scope is None:
-                continue
-            scope, run = row.scope, run + 1 if row.scope == scope else 1
+            if row.scope is not None and row.scope != scope:
+                scope, run = row.scope, 0
+            run += scope is not None
             if run >= least and scope not in done:
                 done = [*done, scope]
                 out.append((key[0], row.pos, scope))

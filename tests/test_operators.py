@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import threading
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.functions import identity, text
-from corvane.operators import events, facts, mining, packs, territory, tree
+from corvane.operators import events, facts, memory, mining, packs, territory, tree, verify
 from corvane.sources import logs
 from corvane.sources.store import Generations
 from corvane.streaming import log as stream
@@ -113,12 +114,63 @@ def test_pagerank_is_fixed_point_arithmetic(spark):
 
 def test_upsert_applies_requests_in_order(spark):
     names = "node_key string, family string, content_hash string, claims array<string>, primary_anchor string, slot string, scope string, tier string"
-    current = spark.createDataFrame([("k", "advisory", "h", ["a"], "f", "s", "z", "T2", None), ("p", "predicate", "h2", ["c"], "f", "s", "z", "T1", None)], names + ", superseded_by string")
-    requests = [(0, "k", "advisory", "x", ["b"], "f", "s", "z", "T2"), (1, "k", "advisory", "y", ["c"], "f", "s", "z", "T1"), (2, "k", "advisory", "w", ["d"], "f", "s", "z", "T2"), (0, "p", "predicate", "h3", ["d"], "f", "s", "z", "T1"), (0, "q", "advisory", "n", ["e"], "f", "s", "z", "T2")]
-    got = {r.node_key: r for r in facts.upsert(current, spark.createDataFrame(requests, "pos long, " + names)).collect()}
-    assert (got["k"].claims, got["k"].tier, got["k"].outcome) == (["c"], "T1", "REFUSE")
-    assert (got["p"].content_hash, got["p"].superseded_by, got["p"].outcome) == ("h3", "h2", "SUPERSEDE")
-    assert (got["q"].claims, got["q"].outcome) == (["e"], "CREATE")
+    g, q = "gotcha", "count"
+    current = [("k", "advisory", "h", ["a"], "f", g, "z", "T2", None), ("p", "predicate", "h2", ["c"], "f", q, "z", "T1", None), ("l", "advisory", "h3", ["a"], "f", g, None, None, None)]
+    requests = [
+        (0, "k", "advisory", "x", ["b"], None, None, "z", "T2"), (1, "k", "advisory", "y", ["c"], "f", g, "z", "T1"), (2, "k", "advisory", "w", ["d"], "f", g, "z", "T2"),
+        (0, "p", "predicate", "h9", ["d"], "f", q, "z", "T1"), (0, "q", "advisory", "n", ["e"], "f", g, "z", "T2"), (1, "q", "advisory", "n", ["f"], "f", g, "z", "T2"), (0, "r", "advisory", "h", ["e"], "f", g, "z", "T2"),
+        (0, "s", "advisory", "s1", ["e"], "f", "purpose", "z", "T2"), (0, "l", "advisory", "l1", ["b"], "f", g, "new", "T1"), (1, "l", "advisory", "l2", ["b"], "f", g, "old", "T1"),
+    ]
+    got = {r.node_key: r for r in facts.upsert(spark.createDataFrame(current, names + ", superseded_by string"), spark.createDataFrame(requests, "pos long, " + names)).collect()}
+    assert (got["k"].claims, got["k"].tier, got["k"].content_hash, got["k"].outcome) == (["c"], "T1", "y", "governance-downgrade")
+    assert (got["p"].content_hash, got["p"].superseded_by, got["p"].outcome) == ("h9", "h2", "SUPERSEDE")
+    assert (got["q"].claims, got["q"].outcome) == (["e"], "DEDUP")  # its own earlier content is kept
+    assert (got["r"].content_hash, got["r"].outcome) == (None, "DEDUP") and (got["s"].content_hash, got["s"].outcome) == (None, "closed-slot")
+    # a row that states neither scope nor tier can be raised, and then holds what it was given
+    assert (got["l"].claims, got["l"].scope, got["l"].tier, got["l"].outcome) == (["b"], "new", "T1", "governance-relocation")
+
+
+OCCURRENCES = [
+    ("a/x.ts", "f", "definition"), ("b/y.ts", "f", "reference"), ("b/z.ts", "dist/g.d.ts", "reference"), ("c/g.ts", "src/g.ts", "definition"),
+    ("d/h.ts", "ghost", "reference"), ("e/o.ts", "local 1", "reference"), ("e/p.ts", "local 1", "reference"), ("e/p.ts", "local 1", "definition"),
+]
+
+
+def verdicts(spark, claims, trusted=True):
+    view = verify.reverse(spark.createDataFrame(OCCURRENCES, "path string, symbol string, role string"), trusted)
+    rows = [(i, k, s, p, w, n, x) for i, (k, s, p, w, n, x) in enumerate(claims)]
+    return [(r.verdict, r.reason) for r in verify.verify(spark.createDataFrame(rows, verify.CLAIMS), view).orderBy("claim").collect()]
+
+
+def test_negations_are_sound(spark):
+    no = lambda symbol, scope: ("negation", symbol, scope, None, None, None)
+    claims = [no("f", "b"), no("f", "c"), no("f", "d"), no("f", "e"), no("f", "e/p.ts"), no("ghost", "a"), no("local 1", "a"), no("f", ""), no("", "a"), no("src/g.ts", "b/"), no("f", "a/x")]
+    want = [("refuted", None), ("proven", None), ("abstain", "scope-open"), ("abstain", "scope-open"), ("proven", None), ("abstain", "target-unresolvable"), ("abstain", "target-not-global"), ("abstain", "malformed"), ("abstain", "malformed"), ("refuted", None), ("proven", None)]
+    assert verdicts(spark, claims) == want
+    assert verdicts(spark, [no("f", "e")], trusted=False) == [("proven", None)]  # only a trusted indexer's local references tell
+
+
+def test_counts_and_dependencies(spark):
+    claims = [
+        ("count", "f", "b", "b", 1, False), ("count", "f", "b", "b", 2, False), ("count", "f", "b", "b", 1, True), ("count", "f", "b", "d", 1, True), ("count", "f", "c", "c", 1, True), ("count", "f", "b", "b", 0, False),
+        ("count", "f", "b", "", 1, False), ("dependency", "src/g.ts", "b", "b", None, None), ("dependency", "f", "c", "c", None, None), ("dependency", "f", "c", "d", None, None),
+    ]
+    want = [("proven", None), ("abstain", "below-witnessed-bound"), ("proven", None), ("abstain", "scope-open"), ("abstain", "exact-count-mismatch"), ("abstain", "malformed"), ("abstain", "malformed"), ("proven", None), ("abstain", "no-caller-in-scope"), ("abstain", "scope-open")]
+    assert verdicts(spark, claims) == want
+
+
+def test_no_plan_of_claims_or_globs_is_a_nested_loop(spark):
+    view = verify.reverse(spark.createDataFrame(OCCURRENCES, "path string, symbol string, role string"))
+    rows = verify.verify(spark.createDataFrame([(0, "negation", "f", "b", None, None, None)], verify.CLAIMS), view)
+    t = spark.createDataFrame([(0, "x", "o", "T0", ["src/**"])], "decl int, name string, owner string, tier string, globs array<string>")
+    for frame in (rows, territory.assign(spark.createDataFrame([("src/a",)], "path string"), t)):
+        assert "NestedLoop" not in frame._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_poke_runs_age_with_calls_that_go_nowhere(spark):
+    calls = [("s", i, x) for i, x in enumerate([None, "a", None, "b", "b", "a", None])] + [("t", 0, "a"), ("t", 1, "b"), ("t", 2, None)]
+    got = memory.poke_runs(spark.createDataFrame(calls, "session string, pos long, scope string")).collect()
+    assert {tuple(r)[:3] for r in got} == {("s", 2, "a"), ("s", 4, "b"), ("t", 2, "b")}
 
 
 def test_text_functions(spark):
@@ -155,7 +207,7 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(calls, "session string, pos long, scope string").coalesce(1).write.parquet(f"{tmp_path}/calls")
     source = spark.readStream.schema("session string, pos long, scope string").parquet(f"{tmp_path}/calls")
     stream.pokes(source).writeStream.format("memory").queryName("pokes").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start().awaitTermination(120)
-    assert {tuple(r) for r in spark.table("pokes").collect()} == {("s", 2, "b"), ("s", 6, "a"), ("t", 2, "a")}
+    assert {tuple(r) for r in spark.table("pokes").collect()} == {("s", 2, "b"), ("s", 6, "a"), ("t", 1, "a")}
 
     for part in (LOG[:3], LOG[2:], LOG[:1]):
         spark.createDataFrame(part, events.LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
@@ -181,6 +233,30 @@ def test_generations(spark, tmp_path):
     assert sorted(r.k for r in store.read().collect()) == [0, 1, 2, 7, 9] and store.read(1).count() == 3
 
 
+def test_two_writers_that_both_find_a_number_free_keep_both_results(spark, tmp_path):
+    store, barrier = Generations(spark, f"file://{tmp_path}/g", "k long"), threading.Barrier(2)
+
+    def add(k):
+        first = [True]
+
+        def decide(old):
+            made = old.unionByName(spark.createDataFrame([(k,)], "k long"))
+            if first:
+                first.clear()
+                barrier.wait(60)  # both have read the same generation
+            return made
+
+        return lambda: numbers.append(store.commit(decide))
+
+    numbers: list[int] = []
+    threads = [threading.Thread(target=add(k)) for k in (1, 2)]
+    [x.start() for x in threads]
+    [x.join(120) for x in threads]
+    assert sorted(numbers) == [1, 2] and sorted(r.k for r in store.read().collect()) == [1, 2] and store.read(1).count() == 1
+    folder = store._folder(2).rpartition("/")[2]
+    assert not store._publish(folder, 2) and store.numbers() == [1, 2]  # a number is given once
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"id":"e","seq":1,"node_key":"n","content_hash":"c","fresh":true,"supersedes":[],"payload":"p"}\n\n{broken\n')
     assert [r.id for r in logs.read_jsonl(spark, str(tmp_path / "log.jsonl")).collect()] == ["e"]

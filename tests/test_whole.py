@@ -37,7 +37,7 @@ def test_co_changed_has_every_pair_in_both_directions(spark, tmp_path):
     pd.DataFrame([(o, 1, "1-URGENT") for o in orders], columns=["o_orderkey", "o_custkey", "o_orderpriority"]).to_parquet(tmp_path / "orders.parquet")
     pd.DataFrame([(o, p) for o, parts in orders.items() for p in parts], columns=["l_orderkey", "l_partkey"]).to_parquet(tmp_path / "lineitem.parquet")
     want = Counter(x for parts in orders.values() for x in itertools.permutations(parts, 2))
-    got = [(r.path, r.other, r.support) for r in catalog.QUERIES["co_changed_all"](spark, str(tmp_path)).collect()]
+    got = [(r.path, r.other, r.support) for r in catalog.QUERIES["co_changed"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((*x, n) for x, n in want.items() if n >= 2)
 
 
@@ -49,19 +49,19 @@ def test_freshness_sees_every_leaf(spark, tmp_path):
     pd.DataFrame([(x, n, "M", 1.0) for n, names in leaves.items() for x in names], columns=["c_name", "c_nationkey", "c_mktsegment", "c_acctbal"]).to_parquet(tmp_path / "customer.parquet")
     run = lambda name: [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
     n0, n1, n2 = (f"repo/R/N{n}" for n in leaves)
-    assert sorted(run("drift_detect_all")) == [(n0, "DRIFTED"), (n1, "FRESH"), (n2, "FRESH")]
-    assert sorted(run("reconcile_drift_all")) == [(n0, "semantic"), (n1, "mechanical")]
-    assert run("reconcile_exit_all") == [(1, 1, 2)]
+    assert sorted(run("drift_detect")) == [(n0, "DRIFTED"), (n1, "FRESH"), (n2, "FRESH")]
+    assert sorted(run("reconcile_drift")) == [(n0, "semantic"), (n1, "mechanical")]
+    assert run("reconcile_exit") == [(1, 1, 2)]
     fact = {n0: "DRIFTED", n1: "FRESH", n2: "FRESH"}
     every = [(f"repo/R/N{n}", i, f"repo/R/N{n}/{x}") for n, names in leaves.items() for i, x in enumerate(names, 1)]
-    assert sorted(run("reground_all")) == sorted((f, i, p + "m" * p.endswith("/21"), fact[f]) for f, i, p in every)
-    assert sorted(r[:3] for r in run("ground_all")) == sorted(every)
+    assert sorted(run("reground")) == sorted((f, i, p + "m" * p.endswith("/21"), fact[f]) for f, i, p in every)
+    assert sorted(r[:3] for r in run("ground")) == sorted(every)
 
 
 def test_awareness_has_the_latest_turn_of_each_facet(spark, tmp_path):
     rows = [(1, t, "user" if t % 2 else "assistant", f"said {t}") for t in range(7)] + [(2, 8, "user", "word " * 401)]
     pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).to_parquet(tmp_path / "conversations.parquet")
-    got = {(r.conv_id, r.facet): (r.content[:7], r.state, r.within_cap) for r in catalog.QUERIES["awareness_all"](spark, str(tmp_path)).collect()}
+    got = {(r.conv_id, r.facet): (r.content[:7], r.state, r.within_cap) for r in catalog.QUERIES["awareness"](spark, str(tmp_path)).collect()}
     want = {(1, f): (f"said {t}", "drifted" if t % 2 else "seeded", True) for f, t in zip(lifecycle.FACETS, (5, 6, 2, 3, 4), strict=True)}
     want |= {(2, f): ("UN-SEED", "UN-SEEDED", False) for f in lifecycle.FACETS} | {(2, lifecycle.FACETS[3]): ("word wo", "drifted", False)}
     assert got == want
