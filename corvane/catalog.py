@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import knowledge, structure
+from .plans import knowledge, structure, surface
 
 FLAGSHIP = "scope_query"
-QUERIES = structure.QUERIES | knowledge.QUERIES
-SQL = structure.SQL | knowledge.SQL
+QUERIES = structure.QUERIES | knowledge.QUERIES | surface.QUERIES
+SQL = structure.SQL | knowledge.SQL | surface.SQL
