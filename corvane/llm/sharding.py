@@ -75,14 +75,15 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
         .withColumn("run", run.cast("int"))
     )
     within = Window.partitionBy("shard", "run").orderBy("doc_id", "size", "text_crc32")
-    numbered = rows.withColumn("upto", F.sum("copies").over(within)).withColumn(
-        "all", F.sum("copies").over(Window.partitionBy("shard", "run"))
-    )
-    counts = numbered.where(F.col("upto") == F.col("all")).select("shard", "run", "all")
+    numbered = rows.withColumn("upto", F.sum("copies").over(within))
+    counts = rows.groupBy("shard", "run").agg(F.sum("copies").alias("all"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "run", F.coalesce(F.sum("all").over(before), F.lit(0).cast("long")).alias("first"))
-    # at most shards x RUNS rows of 16 bytes
-    placed = numbered.join(F.broadcast(first), ["shard", "run"])
+    # at most shards x RUNS rows of 16 bytes; null-safe, so that no filter on the shard goes below the first
+    # shuffle on one side: both sides read the same one, and the texts once
+    a, b = numbered.alias("a"), F.broadcast(first).alias("b")
+    same = F.col("a.shard").eqNullSafe(F.col("b.shard")) & F.col("a.run").eqNullSafe(F.col("b.run"))
+    placed = a.join(b, same).select("a.*", "first")
     start = F.col("first") + F.col("upto") - F.col("copies")
     return placed.select(
         "doc_id",
