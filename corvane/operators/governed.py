@@ -16,9 +16,9 @@ from .facts import fast_path, first_refusal
 from .territory import longest_prefix
 from .verify import Reverse, _open, _top
 
-#: Who ratifies the strictest tier; the scope and the tier of mined facts.
-STRICT_RATIFIER = "billy"
-MINED_SCOPE, MINED_TIER = "atlas:mined", "T2"
+#: Who ratifies the strictest tier (a name that policy gives); the scope and the tier of mined facts.
+STRICT_RATIFIER = "strict"
+MINED_SCOPE, MINED_TIER = "mined", "T2"
 
 
 def ratified(tier: Column, by: Column) -> Column:

@@ -68,9 +68,9 @@ def awareness(facets: DataFrame, owner: str) -> DataFrame:
     return rows.join(total, owner)
 
 
-def definitions(nodes: DataFrame, owner: str) -> DataFrame:
+def definitions(nodes: DataFrame, owner: str, curator: str) -> DataFrame:
     """owner, text, pos of the nodes (slot, curated_by) that may be a line of ontology: definitions by their curator."""
-    return nodes.where("slot = 'definition' and curated_by = 'walt'").select(owner, "text", "pos")
+    return nodes.where((F.col("slot") == "definition") & (F.col("curated_by") == curator)).select(owner, "text", "pos")
 
 
 def pull_tail(facets: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as a
 from ..functions import text as t
-from ..operators import agents, deps, fresh, governed, mining, ranking, retrieval, territory, tree, verify
+from ..operators import admission, agents, deps, fresh, governed, mining, ranking, retrieval, territory, tree, verify
 from ..sources import bridge as b
-from ..sources import portable
+from ..sources import portable, repository, scip
 from .knowledge import CLAIM_SQL, _view
 from .scratch import Tables
 from .structure import EDGES, TWO_TREES, _edited, _tree_hash
@@ -74,10 +74,10 @@ def emit_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governed.emit(requests, current, spark.createDataFrame(SCOPES, "scope string, actor string"), spark.createDataFrame(OWNERS, "prefix string, owner string"), "ann", "carl")
 
 
-@query(f"WITH {b.FACT_SQL} SELECT node_key, tier, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'billy' ELSE 'carl' END AS ratifier, CASE WHEN doc_id % 3 = 0 THEN false WHEN tier = 'T0' THEN doc_id % 3 = 1 ELSE true END AS ratified, scope = 'src0' AS t0_candidate, 'T2' AS view_tier FROM fact")
+@query(f"WITH {b.FACT_SQL} SELECT node_key, tier, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'strict' ELSE 'carl' END AS ratifier, CASE WHEN doc_id % 3 = 0 THEN false WHEN tier = 'T0' THEN doc_id % 3 = 1 ELSE true END AS ratified, scope = 'src0' AS t0_candidate, 'T2' AS view_tier FROM fact")
 def ratify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratifiers of all facts, and the territory view of their places: always T2, candidates named."""
-    by = F.when(_mod(3), "").when(_mod(3, 1), "billy").otherwise("carl")
+    by = F.when(_mod(3), "").when(_mod(3, 1), "strict").otherwise("carl")
     place = F.when(F.col("scope") == "src0", "lib/Auth/x").otherwise(F.concat(F.lit("lib/"), "scope", F.lit("/authors")))
     return b.facts(spark, sf_dir).select("node_key", "tier", by.alias("ratifier"), governed.ratified(F.col("tier"), by).alias("ratified"), t.is_critical(place).alias("t0_candidate"), F.lit("T2").alias("view_tier"))
 
@@ -164,7 +164,7 @@ def governed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governed.governed_link(asked, current, asserted, retracted, scopes, "ann", "carl", Tables(spark))
 
 
-@query(f"""WITH {b.FACT_SQL} SELECT node_key, 'key [REDACTED] of ' || node_key AS claim, 'atlas:mined' AS scope, 'T2' AS tier FROM fact WHERE NOT (doc_id % 3 = 0 AND doc_id % 5 <> 0)""")
+@query(f"""WITH {b.FACT_SQL} SELECT node_key, 'key [REDACTED] of ' || node_key AS claim, 'mined' AS scope, 'T2' AS tier FROM fact WHERE NOT (doc_id % 3 = 0 AND doc_id % 5 <> 0)""")
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mined facts with a secret in their claim; a third is staged already, of which a fifth is grounded again."""
     f = b.facts(spark, sf_dir)
@@ -738,3 +738,97 @@ def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     kids = geo.groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("children"))
     rows = tree.rollup(geo, s).where("depth < 3").join(owners, "path", "left").join(kids, "path", "left")
     return rows.select("path", "depth", F.col("subtree_hash").alias("axis_hash"), "owner", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+# --- proposals and what they build
+
+PROPOSED = f"""{b.OCC_SQL}, oc AS (SELECT 'd' || path::BIGINT % 7 || '/' || path AS path, symbol, role FROM occ), df AS (SELECT DISTINCT symbol FROM oc WHERE role = 'definition'),
+pp AS (SELECT p_partkey AS p, p_partkey::VARCHAR AS node_key, CASE p_partkey % 6 WHEN 0 THEN 'advisory' WHEN 1 THEN 'relation' WHEN 2 THEN 'negation' WHEN 5 THEN 'abstain' ELSE 'predicate' END AS kind,
+  CASE WHEN p_partkey % 4 = 0 THEN 'dependency' WHEN p_partkey % 4 = 1 THEN 'count' ELSE 'contract' END AS slot, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE 'part/' || p_partkey END AS target, 'd' || p_partkey % 7 AS scope, p_partkey % 3 AS at_least,
+  'x' AS ea, CASE WHEN p_partkey % 8 < 6 THEN 'calls' ELSE 'likes' END AS rk, CASE WHEN p_partkey % 10 = 1 THEN 'x' ELSE 'y' END AS eb, p_name AS claim, p_partkey % 5 > 0 AS grounded, CASE p_partkey % 7 WHEN 0 THEN 'HOLDS' WHEN 1 THEN 'BROKEN' WHEN 2 THEN 'toothless' WHEN 3 THEN 'HOLDS' END AS checked, p_partkey % 9 < 4 AS expressible FROM part),
+ad0 AS (SELECT *, kind = 'predicate' AND slot <> 'contract' AS rp, kind = 'predicate' AND slot = 'contract' AND expressible AS ty, kind = 'predicate' AND slot = 'contract' AND NOT expressible AS ow,
+  (SELECT count(DISTINCT path) FROM oc WHERE role = 'reference' AND oc.symbol = pp.target AND starts_with(path, pp.scope || '/')) AS found, target IN (SELECT symbol FROM df) AS known FROM pp),
+ad1 AS (SELECT *, rp AND known AND found >= CASE WHEN slot = 'count' THEN greatest(at_least, 1) ELSE 1 END AS proven FROM ad0), ad2 AS (SELECT *, rp AND NOT proven OR ow AND checked IS NULL AS dm FROM ad1),
+ad AS (SELECT *, CASE WHEN kind = 'relation' AND (rk <> 'calls' OR ea = eb) THEN 'relation-malformed' WHEN kind = 'negation' AND (target = '' OR rk <> 'calls') THEN 'negation-malformed' WHEN rp AND (target = '' OR slot = 'count' AND at_least < 1) THEN slot || '-malformed'
+  WHEN ty AND checked IS DISTINCT FROM 'HOLDS' THEN 'type-broken' WHEN ow AND checked <> 'HOLDS' THEN 'check-' || lower(checked) WHEN (kind IN ('advisory', 'relation') OR rp OR dm) AND NOT grounded THEN 'ungrounded' END AS reason,
+  CASE WHEN kind IN ('relation', 'negation', 'advisory') THEN kind WHEN dm THEN 'advisory' WHEN rp OR ty THEN 'sound' ELSE 'predicate' END AS fact FROM ad2)"""
+
+
+def _proposals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = F.col("p_partkey")
+    occ = Tables(spark).table(b.occurrences(spark, sf_dir).select(F.concat(F.lit("d"), F.col("path").cast("long") % 7, F.lit("/"), "path").alias("path"), "symbol", "role"))
+    kind = F.when(p % 6 == 0, "advisory").when(p % 6 == 1, "relation").when(p % 6 == 2, "negation").when(p % 6 == 5, "abstain").otherwise("predicate")
+    checked = F.when(p % 7 == 0, "HOLDS").when(p % 7 == 1, "BROKEN").when(p % 7 == 2, "toothless").when(p % 7 == 3, "HOLDS")
+    rows = b.read(spark, sf_dir, "part").select(
+        p.cast("string").alias("node_key"), kind.alias("kind"), F.when(p % 4 == 0, "dependency").when(p % 4 == 1, "count").otherwise("contract").alias("slot"), F.when(p % 13 == 0, "").otherwise(F.concat(F.lit("part/"), p)).alias("target"), F.concat(F.lit("d"), p % 7).alias("scope"),
+        (p % 3).cast("int").alias("at_least"), F.lit("x").alias("endpoint_a"), F.when(p % 8 < 6, "calls").otherwise("likes").alias("relation_kind"), F.when(p % 10 == 1, "x").otherwise("y").alias("endpoint_b"), F.col("p_name").alias("claim"), F.lit("T2").alias("tier"),
+        (p % 5 > 0).alias("grounded"), checked.alias("checked"), (p % 9 < 4).alias("expressible"),
+    )
+    return rows, admission.admit(rows, verify.reverse(occ))
+
+
+@query(f"WITH {PROPOSED} SELECT node_key, CASE WHEN kind = 'abstain' THEN 'abstained' WHEN reason IS NOT NULL THEN 'dropped' ELSE 'admitted' END AS outcome, CASE WHEN kind <> 'abstain' AND reason IS NULL THEN fact END AS fact, reason FROM ad")
+def admitted_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proposals(spark, sf_dir)[1]
+
+
+@query(f"""WITH {PROPOSED} SELECT CASE fact WHEN 'relation' THEN sha256('{{"a":"' || ea || '","b":"' || eb || '","k":"' || rk || '"}}') WHEN 'negation' THEN sha256('{{"neg":"' || rk || '","s":"' || scope || '","t":"' || target || '"}}') ELSE node_key END AS id,
+  CASE WHEN fact = 'sound' THEN 'advisory' ELSE fact END AS family, CASE WHEN fact = 'relation' THEN ea || ' ' || rk || ' ' || eb WHEN fact = 'negation' THEN 'NOT(' || target || ' ' || rk || ')@' || scope
+    WHEN fact = 'sound' AND slot = 'count' THEN target || ' is referenced by at least ' || at_least || ' distinct unit(s) under ' || scope || ' (witnessed lower bound, sound oracle)' WHEN fact = 'sound' AND slot = 'dependency' THEN scope || ' references ' || target || ' (witnessed cross-unit reference, sound oracle)' ELSE claim END AS claim,
+  CASE fact WHEN 'relation' THEN 'RELATED' WHEN 'negation' THEN 'NEGATED' WHEN 'predicate' THEN 'PREDICATE' ELSE 'ADVISORY' END AS authoring, CASE WHEN fact = 'sound' THEN 'proven' END AS seal, 'T2' AS tier FROM ad WHERE kind <> 'abstain' AND reason IS NULL""")
+def built_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.build_facts(*_proposals(spark, sf_dir))
+
+
+@query(f"""WITH {b.FACT_SQL}, x AS (SELECT *, ['init-skeleton', 'enrich-by-blast-radius', 'wave-close-write', 'sweep'][doc_id % 4 + 1] AS moment FROM fact)
+SELECT node_key, moment, CASE WHEN doc_id % 5 = 0 THEN 'SUPERSEDED' ELSE 'ADVISORY' END AS authoring, doc_id % 6 IN (1, 5) AS violation FROM x WHERE moment <> 'sweep'""")
+def produced_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the moments of production; a fifth is retired; seals that neither tell nor were absorbed."""
+    f = b.facts(spark, sf_dir)
+    moment = F.element_at(F.array(*map(F.lit, ("init-skeleton", "enrich-by-blast-radius", "wave-close-write", "sweep"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = admission.produced(f.withColumn("moment", moment)).withColumn("authoring", F.lit("ADVISORY"))
+    return admission.retire(rows, f.where(_mod(5))).select("node_key", "moment", "authoring", admission.seal_violation(_mod(2), _mod(3)).alias("violation"))
+
+
+@query(f"""WITH {EDGES}, h AS (SELECT DISTINCT sha256(src || chr(31) || coalesce(dst, '') || chr(31) || kind) AS h, 1 AS e FROM edge UNION ALL SELECT DISTINCT sha256(node), 0 FROM (SELECT src AS node FROM edge UNION SELECT dst FROM edge WHERE dst IS NOT NULL)),
+p AS (SELECT e, h[1:2] AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY ALL)
+SELECT sum(n) FILTER (e = 0)::BIGINT AS nodes, sum(n) FILTER (e = 1)::BIGINT AS edges, sha256(string_agg(d, '' ORDER BY e, p)) AS root FROM p""")
+def dependency_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.dependency_root(deps.derive_edges(b.occurrences(spark, sf_dir)))
+
+
+# --- repositories
+
+_EXT = ["ts", "py", "rs", "tsx", "md", "go"]
+
+
+@query(f"""WITH x AS (SELECT ({_EXT})[o_orderkey % 6 + 1] AS e FROM orders WHERE o_orderkey % 7 > 0), y AS (SELECT CASE e WHEN 'tsx' THEN 'ts' WHEN 'md' THEN NULL ELSE e END AS lang FROM x)
+SELECT lang, count(*) AS files, CASE lang WHEN 'ts' THEN 'scip-typescript' WHEN 'py' THEN 'scip-python' ELSE 'honest-hole' END AS tool FROM y WHERE lang IS NOT NULL GROUP BY lang""")
+def index_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    ext = F.element_at(F.array(*map(F.lit, _EXT)), (o % 6 + 1).cast("int"))
+    return scip.index_plan(b.read(spark, sf_dir, "orders").select(F.concat(F.lit("a.b/f"), o, F.when(o % 7 > 0, F.concat(F.lit("."), ext)).otherwise("")).alias("path")))
+
+
+@query("""SELECT c_custkey, 'WP: ' || c_name || chr(10) || 'Model: m' || chr(10) || 'Gates: ' || chr(10) || 'Verdict: ' || CASE WHEN c_custkey % 2 = 0 THEN 'ok' ELSE '' END || chr(10) || 'TranscriptSha: ' AS trailer, c_name AS wp, CASE WHEN c_custkey % 2 = 0 THEN 'ok' ELSE '' END AS verdict,
+  CASE WHEN c_custkey % 4 = 0 THEN '{"WP":"' || c_custkey || '"}' END AS dossier FROM customer""")
+def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailers written and read back, and dossiers of which one form in four can be read."""
+    c = b.read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    text = repository.trailer_text({"WP": F.col("c_name"), "Model": F.lit("m"), "Verdict": F.when(k % 2 == 0, "ok")})
+    whole = F.when(k % 4 == 0, F.concat(F.lit('{"trailer":{"WP":"'), k, F.lit('"},"x":1}'))).when(k % 4 == 1, '{"trailer":"no"}').when(k % 4 == 2, " ").otherwise("{broken")
+    return c.select("c_custkey", text.alias("trailer"), repository.trailer_field(text, "WP").alias("wp"), repository.trailer_field(text, "Verdict").alias("verdict"), repository.dossier(whole).alias("dossier"))
+
+
+UNIT_TEXT = """ut AS (SELECT DISTINCT l_orderkey || '.ts::fn' || l_linenumber AS path, l_orderkey || '.ts' AS file, 'fn' || l_linenumber AS name, l_linenumber AS n FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE {UNIT_TEXT}, si AS (SELECT path, file, n FROM ut WHERE n = 1), st AS (SELECT path, file, 1 AS n, 0 AS depth FROM si UNION ALL SELECT st.path, st.file, u.n, depth + 1 FROM st JOIN ut u ON u.file = st.file AND u.n = st.n + 1)
+SELECT path, file || '::fn' || n AS sibling, depth FROM st WHERE depth BETWEEN 1 AND 8""")
+def unit_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units that name the next one of their file: the first one's siblings, a step each."""
+    x = b.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    u = x.select(F.concat("l_orderkey", F.lit(".ts::fn"), "l_linenumber").alias("path"), F.concat(F.lit("fn"), "l_linenumber").alias("name"), F.concat(F.lit("return fn"), F.col("l_linenumber") + 1, F.lit("(fn"), "l_linenumber", F.lit(")")).alias("content"), "l_linenumber")
+    u = Tables(spark).table(u)
+    return repository.siblings(u.where("l_linenumber = 1"), u)

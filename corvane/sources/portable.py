@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import canonical_json, digest
 
-# The envelopes of bundles.
-OBJECTS, RECORDS = ("okf", 1), ("okf-memory", 1)
+# The envelopes of bundles.
+OBJECTS, RECORDS = ("corvane-objects", 1), ("corvane-memory", 1)
 
 
 def guard(rows: DataFrame) -> DataFrame:
