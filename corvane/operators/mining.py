@@ -5,7 +5,7 @@ baskets: commit, author, is_fix, path (a row for each file of a commit), positio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Tables
@@ -69,7 +69,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     Every division rounds down, so the result doesn't depend on the order of additions; what nodes
     without targets hold goes to the seeds (all nodes if there are none).  A round is one join and one
     aggregation; its scores are written, so that no plan holds more than one round, and the one number
-    that all nodes need comes back to the driver.  The edges stay dealt by source between rounds.
+    that all nodes need, what nodes without targets hold, is observed by the tasks that write.  The
+    edges stay dealt by source between rounds.
     """
     scratch = scratch or Tables(nodes.sparkSession)
     out = scratch.table(edges.select("src", "dst").distinct())
@@ -89,12 +90,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     base = (DAMPING[1] - DAMPING[0]) * teleport // DAMPING[1]
     scores = scores.withColumn("score", F.lit(SCALE // total).cast("long"))
     dealt = out.repartition("src").persist()
+    loose = scores.where("n = 0").agg(F.sum("score")).first()[0] or 0
     for _ in range(rounds):
-        loose = scores.where("n = 0").agg(F.sum("score")).first()[0] or 0
+        seen = Observation()
         inflow = scores.where("n > 0").join(dealt, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.expr("score div n")).alias("inflow"))
         walk = F.coalesce("inflow", F.lit(0).cast("long")) + F.when(F.col("seed"), loose // seeded).otherwise(0)
         moved = scores.drop("score").join(inflow, "node", "left").withColumn("walk", walk)
-        made = scratch.table(moved.select("node", "seed", "n", (F.when(F.col("seed"), base).otherwise(0) + F.expr(f"({DAMPING[0]} * walk) div {DAMPING[1]}")).cast("long").alias("score")))
+        moved = moved.select("node", "seed", "n", (F.when(F.col("seed"), base).otherwise(0) + F.expr(f"({DAMPING[0]} * walk) div {DAMPING[1]}")).cast("long").alias("score"))
+        made = scratch.table(moved.observe(seen, F.sum(F.when(F.col("n") == 0, F.col("score"))).alias("loose")))
+        loose = seen.get["loose"] or 0
         scratch.drop(scores)
         scores = made
     dealt.unpersist()

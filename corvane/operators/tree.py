@@ -20,20 +20,21 @@ def _preimage(children: Column, content: Column) -> Column:
     return F.to_json(F.struct(children.alias("children"), content.alias("content"), F.lit(VERSION).alias("v")))
 
 
-def rollup(tree: DataFrame, scratch=None) -> DataFrame:  # noqa: ANN001
+def rollup(tree: DataFrame, scratch=None, top: int = 0) -> DataFrame:  # noqa: ANN001
     """path, parent_path, depth, content, subtree_hash: one grouped aggregation for each level, leaves first.
 
     A node's hash covers its content and its children's names (relative to it) and hashes, so a
-    change moves exactly the hashes of its ancestors.  Every level is written, so that the next reads
-    it and nothing below; a directory's children are one row, as the hash asks.
+    change moves exactly the hashes of its ancestors.  Levels above `top` are left out: no hash below
+    needs them.  A level that another stands on is written, so that the next reads it and nothing
+    below; a directory's children are one row, as the hash asks.
     """
     scratch = scratch or Tables(tree.sparkSession)
-    tree = scratch.table(tree)
+    tree = tree if hasattr(tree, "_corvane_table") else scratch.table(tree)
     depth = tree.agg(F.max("depth")).first()[0]
     name = F.element_at(F.split("path", "/"), -1)
     none = F.array().cast("array<struct<hash: string, name: string>>")
     done, below = None, None
-    for level in range(depth if depth is not None else -1, -1, -1):
+    for level in range(depth if depth is not None else -1, top - 1, -1):
         nodes = tree.where(F.col("depth") == level)
         if below is None:
             nodes = nodes.withColumn("children", none)
@@ -41,10 +42,11 @@ def rollup(tree: DataFrame, scratch=None) -> DataFrame:  # noqa: ANN001
             kids = below.groupBy(F.col("parent_path").alias("path")).agg(F.sort_array(F.collect_list(F.struct(name.alias("name"), F.col("subtree_hash").alias("hash")))).alias("children"))
             ordered = F.transform("children", lambda c: F.struct(c["hash"].alias("hash"), c["name"].alias("name")))
             nodes = nodes.join(kids.select("path", ordered.alias("children")), "path", "left").withColumn("children", F.coalesce("children", none))
-        below = scratch.table(nodes.select("path", "parent_path", "depth", "content", digest(_preimage(F.col("children"), F.col("content"))).alias("subtree_hash")))
+        below = nodes.select("path", "parent_path", "depth", "content", digest(_preimage(F.col("children"), F.col("content"))).alias("subtree_hash"))
+        below = scratch.table(below) if level > top else below
         done = below if done is None else done.unionByName(below)
     if done is None:
-        return tree.withColumn("subtree_hash", F.lit(None).cast("string"))
+        return tree.where("false").withColumn("subtree_hash", F.lit(None).cast("string"))
     return done
 
 

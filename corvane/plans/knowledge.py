@@ -32,6 +32,9 @@ def query(sql: str | None = None):  # noqa: ANN201
 ENTRY = """entry AS (SELECT parent_path AS fact, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS pos, path, h AS subtree_hash FROM ha WHERE depth = 3)"""
 
 
+LEAVES = 3  # the depth of customers: what only asks for their hashes makes none above
+
+
 def _entries(rolled: DataFrame) -> DataFrame:
     leaves = rolled.where("depth = 3").select(F.col("parent_path").alias("fact"), "path", "subtree_hash")
     return leaves.withColumn("pos", F.row_number().over(Window.partitionBy("fact").orderBy("path")))
@@ -39,9 +42,10 @@ def _entries(rolled: DataFrame) -> DataFrame:
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A snapshot, and a later one with edits, removals and moves (a leaf that ends in 1 gets another name)."""
-    t = b.geo_tree(spark, sf_dir)
+    t = Tables(spark).table(b.geo_tree(spark, sf_dir))
     moved = _edited(t).withColumn("path", F.when((F.col("depth") == 3) & F.col("path").endswith("1"), F.concat("path", F.lit("m"))).otherwise(F.col("path")))
-    return tree.rollup(t), tree.rollup(moved)
+    s = Tables(spark)
+    return tree.rollup(t, s, LEAVES), tree.rollup(moved, s, LEAVES)
 
 
 MOVED = TWO_TREES + """, hm AS (SELECT CASE WHEN depth = 3 AND path LIKE '%1' THEN path || 'm' ELSE path END AS path, h FROM hb), """ + ENTRY
@@ -49,9 +53,10 @@ MOVED = TWO_TREES + """, hm AS (SELECT CASE WHEN depth = 3 AND path LIKE '%1' TH
 
 @query(f"WITH {TWO_TREES}, {ENTRY} SELECT fact, CASE WHEN bool_and(coalesce(hb.h = subtree_hash, false)) THEN 'FRESH' ELSE 'DRIFTED' END AS freshness FROM entry LEFT JOIN hb USING (path) GROUP BY fact")
 def drift_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = b.geo_tree(spark, sf_dir)
-    entries = _entries(tree.rollup(t))
-    return fresh.drift(entries, entries, tree.rollup(_edited(t)))
+    s = Tables(spark)
+    t = s.table(b.geo_tree(spark, sf_dir))
+    entries = _entries(tree.rollup(t, s, LEAVES))
+    return fresh.drift(entries, entries, tree.rollup(_edited(t), s, LEAVES))
 
 
 DRIFTED = f"""{MOVED}, dr AS (SELECT entry.* FROM entry LEFT JOIN hm USING (path) WHERE hm.h IS DISTINCT FROM subtree_hash),
@@ -531,7 +536,7 @@ SELECT fact, pos::INT AS pos, x.path, h AS subtree_hash FROM x JOIN ha USING (pa
 def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts cite all leaves of their nation; those whose name ends in A cite one that isn't there."""
     t = Tables(spark)
-    rolled = t.table(tree.rollup(b.geo_tree(spark, sf_dir), t))
+    rolled = t.table(tree.rollup(b.geo_tree(spark, sf_dir), t, LEAVES))
     cited, lost = _entries(rolled).drop("subtree_hash"), (F.col("pos") == 2) & F.col("fact").endswith("A")
     return fresh.ground(cited.withColumn("path", F.when(lost, F.concat("path", F.lit("?"))).otherwise(F.col("path"))), rolled).select("fact", "pos", "path", "subtree_hash")
 

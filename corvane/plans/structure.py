@@ -121,8 +121,9 @@ def hierarchy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TWO_TREES} SELECT path, CASE WHEN ha.h IS NULL THEN 'added' WHEN hb.h IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM ha FULL JOIN hb USING (path) WHERE ha.h IS DISTINCT FROM hb.h""")
 def delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = b.geo_tree(spark, sf_dir)
-    return tree.delta(tree.rollup(t), tree.rollup(_edited(t)))
+    s = Tables(spark)
+    t = s.table(b.geo_tree(spark, sf_dir))
+    return tree.delta(tree.rollup(t, s), tree.rollup(_edited(t), s))
 
 
 @query(f"""WITH {b.TREE_SQL}, tree3 AS (SELECT path, parent_path, depth, {_CHANGED} AS content FROM tree), {_tree_hash("tree3", "hc")}

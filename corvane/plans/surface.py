@@ -12,7 +12,7 @@ from ..functions import text as t
 from ..operators import admission, agents, deps, fresh, governed, mining, ranking, retrieval, territory, tree, verify
 from ..sources import bridge as b
 from ..sources import portable, repository, scip
-from .knowledge import CLAIM_SQL, _view
+from .knowledge import CLAIM_SQL, LEAVES, _view
 from .scratch import Tables
 from .structure import EDGES, TWO_TREES, _edited, _tree_hash
 
@@ -723,8 +723,8 @@ def why_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = Tables(spark)
     geo = s.table(b.geo_tree(spark, sf_dir))
-    entries = tree.rollup(geo, s).where("depth = 3").select(F.col("parent_path").alias("fact"), F.lit(1).alias("pos"), "path", "subtree_hash")
-    moved = fresh.relocations(entries, tree.rollup(_edited(geo), s))
+    entries = tree.rollup(geo, s, LEAVES).select(F.col("parent_path").alias("fact"), F.lit(1).alias("pos"), "path", "subtree_hash")
+    moved = fresh.relocations(entries, tree.rollup(_edited(geo), s, LEAVES))
     return moved.select("fact", "path", "moved_to", F.bool_and(F.col("moved_to").isNotNull()).over(Window.partitionBy("fact")).alias("mechanical"))
 
 
