@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import file_part, tier_rank, under_scope
 from ..plans.scratch import Tables
 from . import packs
-from .deps import MERGED
+from .deps import MERGED, dependents
 
 
 def closures(edges: DataFrame, targets: DataFrame, scratch=None) -> DataFrame:  # noqa: ANN001
@@ -73,11 +73,21 @@ def merged_pack(candidates: DataFrame, group: str, target: str, cap: int = packs
 def relation_set(facts: DataFrame, edges: DataFrame, scope: str, scratch=None) -> DataFrame:  # noqa: ANN001
     """node_key, tier, claim of the facts outside a scope that depend on a fact in it; each once.
 
-    facts: node_key, tier, claim, anchor, path (what the scope is asked of).
+    facts: node_key, tier, claim, anchor, path (what the scope is asked of).  One closure of all anchors
+    in the scope; an anchor in the scope that has a fact outside of it too counts only if it depends on
+    another one, which is asked of those few from their side.
     """
+    scratch = scratch or Tables(edges.sparkSession)
     inside = under_scope(F.col("path"), F.lit(scope))
-    reached = closures(edges, facts.where(inside).select(F.col("anchor").alias("target")), scratch).select("node").distinct()
-    return facts.where(~inside).join(reached, F.col("anchor") == F.col("node"), "left_semi").select("node_key", "tier", "claim")
+    roots = scratch.table(facts.where(inside).select(F.col("anchor").alias("node")).where("node is not null").distinct())
+    outside = facts.where(~inside)
+    reached = dependents(edges, roots, None, scratch).select("node")
+    both = scratch.table(outside.select(F.col("anchor").alias("node")).distinct().join(roots, "node", "left_semi"))
+    if not both.isEmpty():
+        forward = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind").where("src is not null")
+        on = closures(forward, both.select(F.col("node").alias("target")), scratch).join(roots, "node", "left_semi")
+        reached = reached.unionByName(on.select(F.col("target").alias("node")).distinct())
+    return outside.join(reached, F.col("anchor") == F.col("node"), "left_semi").select("node_key", "tier", "claim")
 
 
 def edges_of(related: DataFrame, unit: str, cap: int = packs.EDGE_CAP) -> DataFrame:

@@ -120,3 +120,24 @@ def test_engine(spark):
     assert engine.parse([]) == (None, [], {})
 
 
+
+
+def test_relation_set_is_the_union_of_single_closures(spark):
+    """Random graphs with cycles; some anchors have facts inside and outside of the scope."""
+    import random
+
+    from corvane.operators import retrieval
+
+    rng = random.Random(5)
+    edges = {(str(rng.randrange(14)), str(rng.randrange(14))) for _ in range(22)}
+    facts = [(f"k{i}", "T2", "c", str(rng.randrange(14)), rng.choice(["in/a", "out/b"])) for i in range(26)]
+    want = set()
+    for anchor in {f[3] for f in facts if f[4] == "in/a"}:
+        seen, edge = {anchor}, {anchor}
+        while edge:
+            edge = {s for s, d in edges if d in edge} - seen
+            seen |= edge
+        want |= {f[0] for f in facts if f[4] == "out/b" and f[3] in seen - {anchor}}
+    frame = spark.createDataFrame([(s, d, "resolved") for s, d in edges], "src string, dst string, kind string")
+    got = retrieval.relation_set(spark.createDataFrame(facts, "node_key string, tier string, claim string, anchor string, path string"), frame, "in")
+    assert {r.node_key for r in got.collect()} == want and want
