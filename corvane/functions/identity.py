@@ -68,15 +68,39 @@ def event_id(node_key: Column, content_hash: Column, fresh: Column, supersedes:
     return digest(F.to_json(F.struct(content_hash.alias("contentHash"), fresh.alias("fresh"), node_key.alias("nodeKey"), payload.alias("payload"), F.lit(0).alias("seq"), supersedes.alias("supersedes"))))
 
 
+def _said(*parts: Column) -> Column:
+    ok = F.lit(True)
+    for p in parts:
+        ok = ok & F.coalesce(F.length(p) > 0, F.lit(False))
+    return ok
+
+
 def node_key(anchor: Column, slot: Column, check: Column | None = None) -> Column:
-    """Advisory key from anchor and slot; a predicate's also from its normalised check."""
-    parts = [anchor.alias("a"), *([F.trim(check).alias("c")] if check is not None else []), slot.alias("s")]
-    return digest(F.to_json(F.struct(*parts)))
+    """Advisory key from anchor and slot; a predicate's also from its normalised check.  Null without an anchor: no fact is everywhere."""
+    parts = [anchor.alias("a"), *([check.alias("c")] if check is not None else []), slot.alias("s")]
+    return F.when(_said(anchor), digest(F.to_json(F.struct(*parts))))
 
 
 def relation_key(a: Column, kind: Column, b: Column) -> Column:
-    return digest(F.to_json(F.struct(a.alias("a"), b.alias("b"), kind.alias("k"))))
+    """The digest of an ordered pair and its kind; null if a part is empty or both ends are one."""
+    return F.when(_said(a, kind, b) & (a != b), digest(F.to_json(F.struct(a.alias("a"), b.alias("b"), kind.alias("k")))))
 
 
 def negation_key(kind: Column, target: Column, scope: Column) -> Column:
-    return digest(F.to_json(F.struct(kind.alias("neg"), scope.alias("s"), target.alias("t"))))
+    """The digest of a kind, a target and a scope; null if one is empty."""
+    return F.when(_said(kind, target, scope), digest(F.to_json(F.struct(kind.alias("neg"), scope.alias("s"), target.alias("t")))))
+
+
+def minted_key(path: Column, parent_key: Column, parent_path: Column) -> Column:
+    """A node's key: its path with % and : escaped in every part; a unit's is its file's key and its own escaped name."""
+    from .text import escape_key
+
+    own = F.array_join(F.transform(F.split(path, "/"), lambda p: escape_key(p)), "/")
+    unit = F.startswith(path, F.concat(parent_path, F.lit("::")))
+    local = F.substring(path, F.length(parent_path) + 3, F.lit(1 << 20))
+    return F.when(F.coalesce(unit, F.lit(False)), F.concat(parent_key, F.lit("::"), escape_key(local))).otherwise(own)
+
+
+def seat_id(brief: Column) -> Column:
+    """A seat's id is that of its brief, so that who is called again is the same seat."""
+    return digest(F.to_json(F.struct(brief.alias("brief"), F.lit("Seat").alias("kind"))))

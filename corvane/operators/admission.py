@@ -101,3 +101,37 @@ def dependency_root(edges: DataFrame) -> DataFrame:
     parts = both.groupBy("edge", F.substring("h", 1, 2).alias("p")).agg(digest(F.array_join(F.sort_array(F.collect_list("h")), "")).alias("d"), F.count("*").alias("n"))
     whole = parts.agg(digest(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("edge", "p", "d"))), lambda x: x["d"]), "")).alias("root"), F.sum(F.when(F.col("edge") == 0, F.col("n"))).alias("nodes"), F.sum(F.when(F.col("edge") == 1, F.col("n"))).alias("edges"))
     return whole.select("nodes", "edges", "root")
+
+
+# --- claims of a model's answers
+
+
+def parsed_claims(answers: DataFrame, used: DataFrame, exports: DataFrame) -> DataFrame:
+    """path, slot, target, scope, at_least, abstain of answers (path of a unit, answer).
+
+    `DEPENDS-ON: name` is a claim about the symbol that the unit's file uses by that name (used: path,
+    name, symbol), under the unit's folder; `COUNT: name` one about the file's own export of that name
+    (exports: path, name, symbol, callers, scope), with what was counted.  A name that leads nowhere,
+    or an answer of another form, is abstained from.
+    """
+    from ..functions import answers as a
+    from ..functions.text import file_part, unit_scope
+
+    rows = answers.withColumn("_file", file_part(F.col("path")))
+    rows = rows.withColumn("_dep", a.claimed_name(F.col("answer"), a.DEPENDS_ON)).withColumn("_count", a.claimed_name(F.col("answer"), a.COUNT))
+    dep = used.select(F.col("path").alias("_file"), F.col("name").alias("_dep"), F.col("symbol").alias("_ds"))
+    own = exports.select(F.col("path").alias("_file"), F.col("name").alias("_count"), F.col("symbol").alias("_cs"), F.col("callers").cast("int").alias("_n"), F.col("scope").alias("_scope"))
+    rows = rows.join(dep, ["_file", "_dep"], "left").join(own, ["_file", "_count"], "left")
+    is_dep, is_count = F.col("_ds").isNotNull(), F.col("_cs").isNotNull()
+    asked_count = F.upper(F.ltrim(F.col("answer"))).startswith("COUNT")
+    abstain = F.when(a.abstains(F.col("answer")), "abstained").when(~is_dep & ~is_count, F.when(asked_count, a.COUNT_UNPARSEABLE).otherwise(a.DEPENDENCY_UNPARSEABLE))
+    return rows.select(
+        "path", F.when(is_dep, "dependency").when(is_count, "count").alias("slot"), F.coalesce("_ds", "_cs").alias("target"),
+        F.when(is_dep, unit_scope(F.col("path"))).when(is_count, F.col("_scope")).alias("scope"), F.when(is_count, F.col("_n")).alias("at_least"), abstain.alias("abstain"),
+    )
+
+
+def aligned(written: DataFrame, asked: DataFrame) -> DataFrame:
+    """written (node_key) with status: a candidate, however sure of itself, until an interview (node_key, accepted) ratifies it."""
+    said = asked.where("accepted").select("node_key").distinct().withColumn("_yes", F.lit(True))
+    return written.join(said, "node_key", "left").withColumn("status", F.when(F.col("_yes"), "ratified").otherwise("candidate")).drop("_yes")

@@ -139,3 +139,13 @@ def turn_header(records: DataFrame, awareness: DataFrame, orientation: DataFrame
     rows = seats.join(own, "owner", "left").join(facets, "owner", "left").join(orientation.select("owner", F.lit(True).alias("_o")), "owner", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return rows.select("owner", zero("rules"), zero("facets"), F.coalesce("_o", F.lit(False)).alias("oriented"))
+
+
+def memory_log(records: DataFrame) -> DataFrame:
+    """id, owner, kind, entry of records (owner, kind, entry) as a log: equal records are one event."""
+    made = F.sha2(F.to_json(F.struct("entry", "kind", "owner")), 256)
+    return records.select(made.alias("id"), "owner", "kind", "entry").dropDuplicates(["id"])
+
+
+def kinds_in(log: DataFrame) -> DataFrame:
+    return log.select("kind").distinct()

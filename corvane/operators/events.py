@@ -85,6 +85,18 @@ def forget(active: DataFrame, gone: DataFrame) -> DataFrame:
     return active.join(gone.select("id"), "id", "left_anti")
 
 
+def state_texts(state: DataFrame) -> DataFrame:
+    """node_key, text, digest: the canonical text of each node's entries by content hash, which equal states share.
+
+    A node's entries are one row, as its text asks.
+    """
+    entry = F.to_json(F.struct("content_hash", "fresh", "id", F.col("payload").alias("payload"), F.lit(0).alias("seq"), "supersedes"), {"ignoreNullFields": "false"})
+    rows = state.select("node_key", F.struct("content_hash", F.concat(F.lit('"'), "content_hash", F.lit('":'), entry).alias("t")).alias("e"))
+    rows = rows.groupBy("node_key").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    text = F.concat(F.lit('{"entries":{'), F.array_join(F.transform("es", lambda e: e["t"]), ","), F.lit('},"nodeKey":"'), "node_key", F.lit('"}'))
+    return rows.select("node_key", text.alias("text"), F.sha2(text, 256).alias("digest"))
+
+
 def content_keyed(log: DataFrame) -> DataFrame:
     """The events whose id is that of their content."""
     from ..functions.identity import event_id

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DECAY, SLOTS, FLOOR = 0.5, 12, 0.1
@@ -44,6 +44,11 @@ def cap_gate(entries: DataFrame, group: str, cap: int) -> DataFrame:
     return entries.groupBy(group).agg(F.sum("tokens").alias("tokens")).withColumn("fits", F.col("tokens") <= cap)
 
 
+def navigates(tool: Column, paths: Column) -> Column:
+    """The scope that a call goes to: the path of a Read, Edit or Write of one file; null for any other call."""
+    return F.when(tool.isin("Read", "Edit", "Write") & (F.size(paths) == 1), F.get(paths, 0))
+
+
 def poke_runs(calls: DataFrame, least: int = 2) -> DataFrame:
     """session, pos, scope, run: the first call of each session and scope whose run of equal scopes reaches `least`.
 

@@ -67,6 +67,18 @@ def resolve_ceiling(injections: DataFrame, group: str, ceiling: int = CEILING) -
     return rows.withColumn("dropped", ~F.col("pinned") & (F.col("_sum") - before > ceiling)).drop("_sum", "_warm")
 
 
+def drop_order(injections: DataFrame, group: str) -> DataFrame:
+    """group, kind, place: the order in which a group's kinds are dropped; pinned ones have no place."""
+    rows = injections.withColumn("_warm", F.max("hits").over(Window.partitionBy(group)) > 0).where("not pinned")
+    by = Window.partitionBy(group).orderBy(F.when(F.col("_warm"), F.col("hit_rate")).otherwise(0.0), "cold_rank")
+    return rows.select(group, "kind", F.row_number().over(by).alias("place"))
+
+
+def cap_for(kind: Column) -> Column:
+    """The cap of a kind of injection; null for an unknown one."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for k, cap, *_ in KINDS for x in (k, cap))), kind)
+
+
 def ledger(hits: DataFrame, kinds: DataFrame, gain: float = 1.0) -> DataFrame:
     """kind, hits, served, hit_rate, cap of every kind (kind, base): the cap grows with the rate of hits."""
     n = hits.groupBy("kind").agg(F.count_if("hit").alias("hits"), F.count("*").alias("served"))

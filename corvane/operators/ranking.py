@@ -167,3 +167,9 @@ def loop(rounds: DataFrame, config: DataFrame) -> DataFrame:
 
 def valid_tier(tier: Column) -> Column:
     return is_tier(tier)
+
+
+def run_budgets(sites: DataFrame, run: str) -> DataFrame:
+    """run, frontier, ceiling, deepening, llm_calls: what a run may spend by default; what it does before its first site costs no call."""
+    n = sites.groupBy(run).agg(F.count("*").alias("frontier"))
+    return n.select(run, "frontier", default_ceiling(F.col("frontier")).alias("ceiling"), F.lit("off").alias("deepening"), F.lit(0).cast("long").alias("llm_calls"))

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as a
+from ..functions import identity
 from ..functions import text as t
-from ..operators import admission, agents, deps, fresh, governed, mining, ranking, retrieval, territory, tree, verify
+from ..operators import admission, agents, deps, events, fresh, governed, memory, mining, packs, ranking, retrieval, territory, tree, verify
 from ..sources import bridge as b
 from ..sources import portable, repository, scip
-from .knowledge import CLAIM_SQL, LEAVES, _view
+from .knowledge import CLAIM_SQL, INJECT, LEAVES, _injections, _view
 from .scratch import Tables
-from .structure import EDGES, TWO_TREES, _edited, _tree_hash
+from .structure import EDGES, FOLD, TWO_TREES, _edited, _tree_hash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -832,3 +833,99 @@ def unit_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = x.select(F.concat("l_orderkey", F.lit(".ts::fn"), "l_linenumber").alias("path"), F.concat(F.lit("fn"), "l_linenumber").alias("name"), F.concat(F.lit("return fn"), F.col("l_linenumber") + 1, F.lit("(fn"), "l_linenumber", F.lit(")")).alias("content"), "l_linenumber")
     u = Tables(spark).table(u)
     return repository.siblings(u.where("l_linenumber = 1"), u)
+
+
+# --- calls, keys, states, claims
+
+
+_TOOLS = ["Read", "Edit", "Write", "Grep", "Bash"]
+
+
+@query(f"""WITH x AS (SELECT event_id, ({_TOOLS})[event_id % 5 + 1] AS tool, event_id % 3 AS n, 'src/' || event_type || '/f' || event_id % 7 || '.ts' AS p FROM events)
+SELECT event_id, CASE WHEN event_id % 5 < 3 AND n = 1 THEN p END AS scope, 'own_f' || event_id % 7 || '.ts' AS tool FROM x""")
+def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with no, one or two paths: those that go to a scope, and the tool of a path's pack."""
+    n = F.col("event_id")
+    path = F.concat(F.lit("src/"), "event_type", F.lit("/f"), n % 7, F.lit(".ts"))
+    paths = F.when(n % 3 == 0, F.array().cast("array<string>")).when(n % 3 == 1, F.array(path)).otherwise(F.array(path, F.lit("x")))
+    tool = F.element_at(F.array(*map(F.lit, _TOOLS)), (n % 5 + 1).cast("int"))
+    return b.read(spark, sf_dir, "events").select("event_id", memory.navigates(tool, paths).alias("scope"), t.tool_name(path).alias("tool"))
+
+
+@query(f"""WITH {INJECT} SELECT session, kind, (row_number() OVER (PARTITION BY session ORDER BY CASE WHEN hits > 0 THEN hit_rate ELSE 0 END, cold))::INT AS place,
+  CASE kind WHEN 'poke' THEN 150 WHEN 'pack' THEN 2000 WHEN 'own' THEN 1500 WHEN 'orientation' THEN 250 ELSE 500 END AS cap FROM inj WHERE NOT pinned""")
+def drop_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.drop_order(_injections(spark, sf_dir), "session").withColumn("cap", packs.cap_for(F.col("kind")))
+
+
+@query(f"""WITH {b.FACT_SQL}, x AS (SELECT *, split_part(primary_anchor, '::', 1) AS f, CASE WHEN doc_id % 7 = 0 THEN '' ELSE primary_anchor END AS an, CASE WHEN doc_id % 5 = 0 THEN node_key ELSE 'y' END AS e FROM fact)
+SELECT node_key, CASE WHEN an <> '' THEN sha256('{{"a":"' || an || '","s":"' || slot || '"}}') END AS advisory, CASE WHEN an <> '' THEN sha256('{{"a":"' || an || '","c":"assertion\\u001F' || 'k","s":"' || slot || '"}}') END AS predicate,
+  CASE WHEN e <> node_key THEN sha256('{{"a":"' || node_key || '","b":"' || e || '","k":"calls"}}') END AS relation, CASE WHEN an <> '' THEN sha256('{{"neg":"calls","s":"' || scope || '","t":"' || an || '"}}') END AS negation,
+  replace(f, ':', '%3A') || '::' || doc_id || '%25' AS minted, sha256('{{"brief":"' || node_key || '","kind":"Seat"}}') AS seat FROM x""")
+def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of facts, relations, negations, nodes and seats; parts that are empty, or ends that are one, have none."""
+    f = b.facts(spark, sf_dir)
+    anchor, end = F.when(_mod(7), "").otherwise(F.col("primary_anchor")), F.when(_mod(5), F.col("node_key")).otherwise("y")
+    file_key = identity.minted_key(F.col("file"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return f.select(
+        "node_key", identity.node_key(anchor, F.col("slot")).alias("advisory"), identity.node_key(anchor, F.col("slot"), t.normal_check(F.lit("assertion"), F.lit(" k "))).alias("predicate"),
+        identity.relation_key(F.col("node_key"), F.lit("calls"), end).alias("relation"), identity.negation_key(F.lit("calls"), anchor, F.col("scope")).alias("negation"),
+        identity.minted_key(F.concat("primary_anchor", F.lit("%")), file_key, F.col("file")).alias("minted"), identity.seat_id(F.col("node_key")).alias("seat"),
+    )
+
+
+@query(f"""WITH {FOLD}, s AS (SELECT log.* FROM log JOIN st USING (node_key, content_hash, id)),
+x AS (SELECT node_key, '{{"entries":{{' || string_agg('"' || content_hash || '":{{"content_hash":"' || content_hash || '","fresh":' || fresh || ',"id":"' || id || '","payload":"' || payload || '","seq":0,"supersedes":[' || coalesce('"' || gone || '"', '') || ']}}', ',' ORDER BY content_hash) || '}},"nodeKey":"' || node_key || '"}}' AS text FROM s GROUP BY node_key)
+SELECT node_key, length(text) AS size, sha256(text) AS digest FROM x""")
+def state_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical text of every node's state, by its length and digest."""
+    return events.state_texts(events.fold(b.event_log(spark, sf_dir))).select("node_key", F.length("text").cast("long").alias("size"), "digest")
+
+
+PARSED = f"""{b.OCC_SQL}, de AS (SELECT r.path, 'n' || split_part(r.symbol, '/', 2) AS name, min(r.symbol) AS symbol FROM occ r JOIN occ d ON d.symbol = r.symbol AND d.role = 'definition' AND d.path <> r.path WHERE r.role = 'reference' GROUP BY ALL),
+ex AS (SELECT d.path, 'n' || split_part(d.symbol, '/', 2) AS name, d.symbol, count(DISTINCT r.path) AS callers FROM occ d JOIN occ r ON r.symbol = d.symbol AND r.role = 'reference' AND r.path <> d.path WHERE d.role = 'definition' GROUP BY ALL),
+an AS (SELECT path, symbol, role, symbol[6:]::BIGINT % 6 AS k, 'n' || split_part(symbol, '/', 2) AS nm FROM (SELECT path, min(symbol) AS symbol, min_by(role, symbol) AS role FROM occ GROUP BY path)),
+aw AS (SELECT path, nm, k, CASE k WHEN 0 THEN 'no-fact.' WHEN 1 THEN 'COUNT: ' || nm WHEN 2 THEN 'because' WHEN 3 THEN 'COUNT: nobody' ELSE 'depends-on: ' || nm END AS answer FROM an)"""
+
+
+@query(f"""WITH {PARSED} SELECT 'lib/' || aw.path || '::u' AS path, CASE WHEN k > 3 AND de.symbol IS NOT NULL THEN 'dependency' WHEN k = 1 AND ex.symbol IS NOT NULL THEN 'count' END AS slot, CASE WHEN k > 3 THEN de.symbol WHEN k = 1 THEN ex.symbol END AS target,
+  CASE WHEN k > 3 AND de.symbol IS NOT NULL THEN 'lib' WHEN k = 1 AND ex.symbol IS NOT NULL THEN 's' END AS scope, CASE WHEN k = 1 THEN ex.callers END::INT AS at_least,
+  CASE WHEN k = 0 THEN 'abstained' WHEN k > 3 AND de.symbol IS NOT NULL OR k = 1 AND ex.symbol IS NOT NULL THEN NULL WHEN k IN (1, 3) THEN 'count-answer-unparseable' ELSE 'dependency-answer-unparseable' END AS abstain
+FROM aw LEFT JOIN de ON de.path = aw.path AND de.name = nm LEFT JOIN ex ON ex.path = aw.path AND ex.name = nm""")
+def parsed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of every form about what a file uses and what it exports."""
+    occ = Tables(spark).table(b.occurrences(spark, sf_dir).withColumn("path", F.concat(F.lit("lib/"), "path")).withColumn("name", F.concat(F.lit("n"), F.substring_index("symbol", "/", -1))))
+    used = deps.unit_deps(occ).drop("name").withColumn("name", F.concat(F.lit("n"), F.substring_index("symbol", "/", -1)))
+    own = occ.where("role = 'definition'").select("path", "name", "symbol")
+    exports = own.join(deps.callers(occ), "symbol").where("callers > 0").withColumn("scope", F.lit("s"))
+    first = occ.groupBy("path").agg(F.min_by("name", "symbol").alias("nm"), F.min("symbol").alias("symbol"))
+    k = F.substring_index("symbol", "/", -1).cast("long") % 6
+    answer = F.when(k == 0, "no-fact.").when(k == 1, F.concat(F.lit("COUNT: "), "nm")).when(k == 2, "because").when(k == 3, "COUNT: nobody").otherwise(F.concat(F.lit("depends-on: "), "nm"))
+    return admission.parsed_claims(first.select(F.concat("path", F.lit("::u")).alias("path"), answer.alias("answer")), used, exports)
+
+
+@query(f"""WITH {b.FACT_SQL} SELECT node_key, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'ratified' ELSE 'candidate' END AS status FROM fact""")
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = b.facts(spark, sf_dir)
+    return admission.aligned(f.select("node_key"), f.where(_mod(3)).select("node_key", _mod(2).alias("accepted")))
+
+
+@query("SELECT o_custkey AS run, count(*) AS frontier, least(count(*), 200) AS ceiling, 'off' AS deepening, 0::BIGINT AS llm_calls FROM orders GROUP BY 1")
+def run_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.run_budgets(b.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run")), "run")
+
+
+@query("SELECT 'r' || c_nationkey || '/.store' AS store, bool_or(c_custkey % 9 = 0) AS untrusted FROM customer GROUP BY 1")
+def untrusted_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories of which some track files of their store, and all its policy."""
+    c = b.read(spark, sf_dir, "customer")
+    root = F.concat(F.lit("r"), "c_nationkey")
+    tracked = c.select(F.concat(root, F.when(F.col("c_custkey") % 9 == 0, "/.store/gen/a").otherwise("/src/.store")).alias("path")).unionByName(c.select(F.concat(root, F.lit("/.store/policy.json")).alias("path")))
+    return repository.untrusted_stores(tracked, c.select(F.concat(root, F.lit("/.store")).alias("store")))
+
+
+@query("""SELECT kind, count(*) AS records, count(DISTINCT id) AS ids FROM (SELECT DISTINCT sha256('{"entry":"' || l_linestatus || '","kind":"' || l_returnflag || '","owner":"' || l_suppkey || '"}') AS id, l_returnflag AS kind FROM lineitem) GROUP BY kind""")
+def memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = b.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("owner"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("entry"))
+    log = agents.memory_log(x)
+    return log.join(agents.kinds_in(log), "kind").groupBy("kind").agg(F.count("*").alias("records"), F.countDistinct("id").alias("ids"))

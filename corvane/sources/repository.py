@@ -94,3 +94,12 @@ def siblings(site: DataFrame, units: DataFrame, cap: int = 8, scratch: Tables |
     first = found.groupBy("site", "sibling").agg(F.min("depth").alias("depth"))
     by = Window.partitionBy("site").orderBy("depth", "sibling")
     return first.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= cap).select(F.col("site").alias("path"), "sibling", "depth")
+
+
+def untrusted_stores(tracked: DataFrame, stores: DataFrame) -> DataFrame:
+    """store, untrusted: whether a repository tracks anything in a store's folder (store) but its policy; what was committed came through no door."""
+    inside = tracked.select("path").where(~F.endswith("path", F.lit("/policy.json")))
+    parts = F.split("path", "/")
+    above = inside.where(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("store")).distinct()
+    rows = stores.select("store").distinct().join(above.withColumn("_in", F.lit(True)), "store", "left")
+    return rows.select("store", F.coalesce("_in", F.lit(False)).alias("untrusted"))
