@@ -31,15 +31,16 @@ _POWERS: tuple[np.ndarray, np.ndarray] | None = None
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2^64, at least n of each."""
     global _POWERS
-    if _POWERS is None or len(_POWERS[0]) < n:
-        size = max(n, PIECE + 1)
-        made = []
-        for x in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, x, dtype=np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
+    if _POWERS is not None and len(_POWERS[0]) >= n:
+        return _POWERS
+    made = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(max(n, PIECE + 1), x, dtype=np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p, dtype=np.uint64))
+    if n <= PIECE + 1:  # the tables of a word that is longer than a piece are not kept
         _POWERS = (made[0], made[1])
-    return _POWERS
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -94,8 +95,11 @@ def _cut(data: np.ndarray, mask: np.ndarray) -> list[tuple[int, int]]:
         if len(free):
             hi = lo + int(free[-1]) + 1
         else:  # one word is longer than a piece
-            while hi < len(data) and mask[LOWER[data[hi]]]:
-                hi += 1
+            while hi < len(data):
+                free = np.flatnonzero(~mask[LOWER[data[hi : hi + PIECE]]])
+                hi += int(free[0]) if len(free) else min(PIECE, len(data) - hi)
+                if len(free):
+                    break
         out.append((lo, hi))
         lo = hi
     return [*out, (lo, len(data))]
