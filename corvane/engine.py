@@ -73,7 +73,8 @@ class Engine:
     def __post_init__(self) -> None:
         self.tools = {
             "query": (("scope",), self.query), "relate": (("scope",), self.relate), "own": (("unit",), self.own), "emit": (("requests",), self.emit), "reconcile": ((), self.reconcile),
-            "relations": (("key",), self.relations), "negations": (("scope",), self.negations), "verify-fact": (("claims",), self.verify_fact), "link": (("pairs",), self.link),
+            "relations": (("key",), self.relations), "negations": (("scope",), self.negations), "verify-fact": (("claims",), self.verify_fact), "verify": (("kind", "target", "scope"), self.verify),
+            "verify-store": ((), self.verify_store), "link": (("pairs",), self.link), "plans": ((), self.plans),
             "archive": ((), self.archive), "why": (("fact",), self.why), "hotset": (("budget",), self.hot_set), "reground": (("fact",), self.reground),
         }
 
@@ -121,11 +122,30 @@ class Engine:
         return packs.own(self._table("feeds").where(F.col("unit") == unit))
 
     def relations(self, key: str, direction: str = "both") -> DataFrame:
+        if direction not in ("out", "in", "both"):
+            raise Refused(f"unknown-direction: {direction}")
         return facts.relations_of(self._table("relations"), key, direction)
 
-    def negations(self, scope: str) -> DataFrame:
+    def negations(self, scope: str, abstained: bool = False) -> DataFrame:
+        """The negations under a scope, or what was abstained from there."""
+        if abstained:
+            return governed.abstentions_of(self._table("abstained"), scope)
         return facts.negations_of(self._table("negations"), self._table("freshness"), scope)
 
+    def verify(self, kind: str, target: str, scope: str, world: str | None = None, least: int | None = None, exact: bool = False) -> DataFrame:
+        """One claim's verdict; a world that isn't given is the scope."""
+        if kind not in ("dependency", "count", "negation"):
+            raise Refused(f"unknown-kind: {kind}")
+        if kind == "count" and least is None:
+            raise Refused("missing-bound: a count needs the least number of callers")
+        claim = (0, kind, target, scope, world or scope, least, exact)
+        return self.verify_fact(self.spark.createDataFrame([claim], verify.CLAIMS))
+
+    def verify_store(self) -> DataFrame:
+        """One row: how the sealed facts of the store (sealed) come out when their witnesses are replayed."""
+        occurrences = self._table("occurrences")
+        return verify.reverify_report(verify.reverify(self._table("sealed"), verify.reverse(occurrences), occurrences.select("path")))
+
     def verify_fact(self, claims: DataFrame) -> DataFrame:
         return verify.verify(claims, verify.reverse(self._table("occurrences")))
 
@@ -161,5 +181,9 @@ class Engine:
     def reground(self, fact: str) -> DataFrame:
         return fresh.reground(self._table("entries").where(F.col("fact") == fact), self._table("nodes"))
 
+    def plans(self) -> DataFrame:
+        """What to do with each drifted fact."""
+        return fresh.plans(self._table("entries"), self._table("nodes"))
+
     def dependents(self, node: str) -> DataFrame:
         return deps.dependents(self._table("edges"), self.spark.createDataFrame([(node,)], "node string"), None, Tables(self.spark))

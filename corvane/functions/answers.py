@@ -108,6 +108,19 @@ def missing_reason(tool: Column, required: Column, given: Column) -> Column:
     return F.when(F.size(missing) > 0, told)
 
 
+def identity_verdict(stamp: Column, schema: str) -> Column:
+    """Whether a store speaks an identity schema: current, foreign, or unstamped; only a current one is written to."""
+    return F.when(F.coalesce(F.length(stamp) == 0, F.lit(True)), "unstamped").when(stamp == schema, "current").otherwise("foreign")
+
+
+def names_candidate(name: Column, keywords: tuple[str, ...]) -> Column:
+    """Whether a territory's name holds one of a policy's keywords, anywhere in it."""
+    out = F.lit(False)
+    for k in keywords:
+        out = out | F.contains(name, F.lit(k))
+    return out
+
+
 # --- where provenance lives
 
 

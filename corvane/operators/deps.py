@@ -105,3 +105,10 @@ def degrees(edges: DataFrame) -> DataFrame:
     """node, degree: distinct resolved edges in and out."""
     known = edges.where("kind = 'resolved' and dst is not null").select("src", "dst").distinct()
     return known.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+
+
+def candidates(occurrences: DataFrame) -> DataFrame:
+    """path, kind, name of what a claim about a file can name: what it uses of others, and its own symbols that others use."""
+    used = unit_deps(occurrences).select("path", F.lit("dependency").alias("kind"), "name")
+    own = occurrences.where("role = 'definition'").select("path", "symbol").join(callers(occurrences).where("callers > 0"), "symbol")
+    return used.unionByName(own.select("path", F.lit("count").alias("kind"), terminal_name(F.col("symbol")).alias("name"))).distinct()

@@ -53,6 +53,29 @@ def reground(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(whole, "fact").select("fact", "pos", "path", "subtree_hash", "freshness")
 
 
+def plans(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """fact, action, entries of each drifted fact: reground with the places its anchors moved to, or retire; sound facts have no plan.
+
+    entries: how many anchors the fact has, with those that moved replaced where it is regrounded.
+    """
+    kind = reconcile(entries, nodes)
+    moved = relocations(entries, nodes).select("fact", "pos", "moved_to")
+    rows = entries.join(moved, ["fact", "pos"], "left").join(kind, "fact")
+    to = F.when(F.col("kind") == "mechanical", F.coalesce("moved_to", "path")).otherwise(F.col("path"))
+    out = rows.groupBy("fact", "kind").agg(F.count("*").alias("entries"), F.count_if(to != F.col("path")).alias("moved"))
+    return out.select("fact", F.when(F.col("kind") == "mechanical", "reground").otherwise("retire").alias("action"), "entries", "moved")
+
+
+def status(checks: DataFrame, freshness: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """fact, status, emitted: what a fact's own check tells, through the gate; only what holds is emitted.
+
+    checks: fact, check_id, grounded; freshness: fact, freshness; verdicts: check_id, verdict.
+    """
+    rows = checks.join(verdicts, "check_id", "left").join(freshness, "fact", "left")
+    out = gate(F.coalesce("verdict", F.lit("NA")), F.col("grounded"), F.col("freshness"))
+    return rows.select("fact", out.alias("status"), (out == "HOLDS").alias("emitted"))
+
+
 def ground(citations: DataFrame, nodes: DataFrame) -> DataFrame:
     """fact, pos, path, subtree_hash of the facts all of whose citations (fact, pos, path) resolve."""
     found = citations.join(nodes.select("path", "subtree_hash"), "path", "left")

@@ -148,3 +148,22 @@ def dedup(pack: DataFrame, own_rows: DataFrame) -> DataFrame:
     """pack rows with pointer: whether the unit's own pack already has the row, which is then only pointed at."""
     have = own_rows.select("node_key").distinct().withColumn("_own", F.lit(True))
     return pack.join(have, "node_key", "left").withColumn("pointer", F.coalesce("_own", F.lit(False))).drop("_own")
+
+
+def governing_gotchas(rows: DataFrame) -> DataFrame:
+    """node_key, cost of the gotchas (by slot) of a governing tier; a row's claims, joined, are its cost."""
+    return rows.where((F.col("slot") == "gotcha") & F.col("tier").isin("T0", "T1")).select("node_key", F.length(F.concat_ws("; ", "claims")).cast("long").alias("cost"))
+
+
+def manifest(nodes: DataFrame) -> DataFrame:
+    """unit, name, digest, cost of the packs one step finer: a pointer for each child (path, parent_path, subtree_hash) of a unit."""
+    from ..functions.text import tool_name
+
+    name = tool_name(F.col("path"))
+    return nodes.where("parent_path is not null").select(F.col("parent_path").alias("unit"), name.alias("name"), F.col("subtree_hash").alias("digest"), F.length(name).cast("long").alias("cost"))
+
+
+def roles(facts: DataFrame, unit: str) -> DataFrame:
+    """unit, role: the claim of the first definition, by key, of each unit that has one."""
+    rows = facts.where("slot = 'definition'").groupBy(unit).agg(F.min(F.struct("node_key", F.concat_ws("; ", "claims").alias("claim"))).alias("d"))
+    return rows.select(unit, F.col("d.claim").alias("role"))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import answers as a
 from ..functions import identity
 from ..functions import text as t
-from ..operators import admission, agents, deps, events, fresh, governed, memory, mining, packs, ranking, retrieval, territory, tree, verify
+from ..operators import admission, agents, deps, events, fresh, governed, lifecycle, memory, mining, packs, ranking, retrieval, territory, tree, verify
 from ..sources import bridge as b
 from ..sources import portable, repository, scip
-from .knowledge import CLAIM_SQL, INJECT, LEAVES, _injections, _view
+from .knowledge import CLAIM_SQL, INJECT, LEAVES, _injections, _two, _view
+from .knowledge import _entries as _cited
 from .scratch import Tables
 from .structure import EDGES, FOLD, TWO_TREES, _edited, _tree_hash
 
@@ -929,3 +930,67 @@ def memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = b.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("owner"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("entry"))
     log = agents.memory_log(x)
     return log.join(agents.kinds_in(log), "kind").groupBy("kind").agg(F.count("*").alias("records"), F.countDistinct("id").alias("ids"))
+
+
+# --- plans, status, own packs' sources
+
+PLANNED = f"""{TWO_TREES}, e AS (SELECT parent_path AS fact, path, h FROM ha WHERE depth = 3), hm AS (SELECT CASE WHEN depth = 3 AND path LIKE '%1' THEN path || 'm' ELSE path END AS path, h FROM hb),
+d AS (SELECT e.* FROM e LEFT JOIN hm USING (path) WHERE hm.h IS DISTINCT FROM e.h), uq AS (SELECT h, min(path) AS moved_to FROM hm GROUP BY h HAVING count(DISTINCT path) = 1),
+k AS (SELECT fact, bool_and(moved_to IS NOT NULL) AS m, count(moved_to) AS n FROM d LEFT JOIN uq USING (h) GROUP BY fact)"""
+
+
+@query(f"WITH {PLANNED} SELECT fact, CASE WHEN m THEN 'reground' ELSE 'retire' END AS action, (SELECT count(*) FROM e WHERE e.fact = k.fact) AS entries, CASE WHEN m THEN n ELSE 0 END AS moved FROM k")
+def reground_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to do with the facts of nations after edits, removals and moves of their customers."""
+    before, after = _two(spark, sf_dir)
+    return fresh.plans(_cited(before), after)
+
+
+@query(f"""WITH {b.TREE_SQL}, c AS (SELECT path AS fact, depth, row_number() OVER (ORDER BY path) % 5 AS k FROM tree WHERE depth BETWEEN 1 AND 2),
+v AS (SELECT fact, CASE WHEN k = 0 THEN 'BROKEN' WHEN k = 1 THEN 'NA' ELSE 'HOLDS' END AS verdict, k <> 2 AS grounded, k <> 3 AS fresh FROM c),
+s AS (SELECT fact, CASE WHEN verdict = 'HOLDS' AND NOT (grounded AND fresh) THEN 'NA' ELSE verdict END AS status FROM v) SELECT fact, status, status = 'HOLDS' AS emitted FROM s""")
+def recomputed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks about regions and nations, some broken or unreadable, on facts some of which are ungrounded or have drifted."""
+    from pyspark.sql import Window
+
+    s = Tables(spark)
+    geo = s.table(b.geo_tree(spark, sf_dir))
+    rolled = s.table(tree.rollup(geo, s))
+    c = geo.where("depth between 1 and 2").select(F.col("path").alias("fact"), F.row_number().over(Window.orderBy("path")).alias("check_id")).withColumn("k", F.col("check_id") % 5)
+    text = F.when(F.col("k") == 0, F.concat(F.lit("absent|"), "fact")).when(F.col("k") == 1, "child-count|x").otherwise(F.concat(F.lit("exists|"), "fact"))
+    c = s.table(c.withColumn("query", text))
+    verdicts = lifecycle.evaluate(c.select("check_id", "query"), rolled, rolled.select(F.col("subtree_hash").alias("hash")))
+    return fresh.status(c.select("fact", "check_id", (F.col("k") != 2).alias("grounded")), c.select("fact", F.when(F.col("k") != 3, "FRESH").otherwise("DRIFTED").alias("freshness")), verdicts)
+
+
+@query(f"""WITH {b.TREE_SQL}, {_tree_hash("tree", "ha")} SELECT parent_path AS unit, 'own_' || string_split(path, '/')[-1] AS name, h AS digest, length('own_' || string_split(path, '/')[-1]) AS cost FROM ha WHERE depth > 0""")
+def own_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pointer for each child of a unit: what its own pack refers to one step finer.  Names have no colon or slash but in paths."""
+    s = Tables(spark)
+    return packs.manifest(tree.rollup(s.table(b.geo_tree(spark, sf_dir)), s).withColumn("path", F.col("path")))
+
+
+@query(f"WITH {b.FACT_SQL} SELECT node_key, 64 AS cost FROM fact WHERE slot = 'gotcha' AND tier IN ('T0', 'T1')")
+def governing_gotchas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.governing_gotchas(b.facts(spark, sf_dir))
+
+
+@query(f"WITH {b.FACT_SQL} SELECT scope, min_by(content_hash, node_key) AS role FROM fact WHERE slot = 'definition' GROUP BY scope")
+def own_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.roles(b.facts(spark, sf_dir), "scope")
+
+
+@query(f"""WITH {b.OCC_SQL}, oc AS (SELECT path, 'pkg#p' || symbol[6:] || '()' AS symbol, 'p' || symbol[6:] AS name, role FROM occ)
+SELECT DISTINCT r.path, 'dependency' AS kind, r.name FROM oc r JOIN oc d ON d.symbol = r.symbol AND d.role = 'definition' AND d.path <> r.path WHERE r.role = 'reference'
+UNION ALL SELECT DISTINCT d.path, 'count', d.name FROM oc d JOIN oc r ON d.symbol = r.symbol AND r.role = 'reference' AND d.path <> r.path WHERE d.role = 'definition'""")
+def unit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    occ = b.occurrences(spark, sf_dir).withColumn("symbol", F.concat(F.lit("pkg#p"), F.substring_index("symbol", "/", -1), F.lit("()")))
+    return deps.candidates(Tables(spark).table(occ))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'unstamped' WHEN 1 THEN 'unstamped' WHEN 2 THEN 'current' ELSE 'foreign' END AS identity, contains(c_mktsegment, 'AUTO') OR contains(c_mktsegment, 'MACH') AS candidate FROM customer""")
+def store_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores by the identity schema that they are stamped with; names that hold a policy's keywords."""
+    k = F.col("c_custkey")
+    stamp = F.when(k % 4 == 1, "").when(k % 4 == 2, "v2").when(k % 4 == 3, "v1")
+    return b.read(spark, sf_dir, "customer").select("c_custkey", a.identity_verdict(stamp, "v2").alias("identity"), a.names_candidate(F.col("c_mktsegment"), ("AUTO", "MACH")).alias("candidate"))

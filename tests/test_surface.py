@@ -113,7 +113,9 @@ def test_engine(spark):
     names = "node_key string, kind string, has_check boolean, tier string, scope string, endpoint_a string, relation_kind string, endpoint_b string, primary_anchor string, addressable boolean, holds boolean"
     assert e.call("emit", requests=spark.createDataFrame([request], names)).result.first().outcome == "governance-downgrade"
     assert {r.node for r in e.dependents("2").collect()} == {"1", "3"}
-    for verdict, code in ((e.call("query"), 1), (e.call("nothing"), 1), (e.call("query", scope="x", by="luck"), 2), (e.call("own", unit="u"), 2), (e.call("reconcile", odd=1), 1)):
+    assert e.call("verify", kind="count", target="s", scope="b", least=1, exact=True).result.first().verdict == "proven"
+    assert [tuple(r) for r in e.call("plans").result.collect()] == [("k", "reground", 1, 1)]
+    for verdict, code in ((e.call("query"), 1), (e.call("nothing"), 1), (e.call("query", scope="x", by="luck"), 2), (e.call("own", unit="u"), 2), (e.call("relations", key="k", direction="up"), 2), (e.call("verify", kind="luck", target="s", scope="b"), 2), (e.call("verify", kind="count", target="s", scope="b"), 2), (e.call("reconcile", odd=1), 1)):
         assert not verdict.ok and engine.exit_code(verdict) == code
     assert engine.exit_code(e.call("reconcile")) == 0 and engine.fault(engine.Verdict(False, rejected="internal-fault: x")) == "internal-fault"
     assert engine.parse(["query", "src", "--by", "scope", "--dry", "--at=x=y", "--min"]) == ("query", ["src"], {"by": "scope", "dry": True, "at": "x=y", "min": True})
