@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tier_rank
+from .runs import running
 
 PACK_CAP, OWN_CAP, OWN_ADVISORY_CAP, ADVISORY_CAP, CEILING = 2000, 1500, 750, 2000, 5000
 EDGE_CAP, MANIFEST_CAP, RELATED_CAP = 8, 12, 8
@@ -31,27 +32,25 @@ def kinds(spark: SparkSession) -> DataFrame:
 
 
 def pack_order() -> list[Column]:
-    return [tier_rank(F.col("tier")), F.desc(F.coalesce("hits", F.lit(0))), F.desc("ppr"), F.asc("node_key")]
+    return [tier_rank(F.col("tier")).asc(), F.desc(F.coalesce("hits", F.lit(0))), F.desc("ppr"), F.asc("node_key")]
 
 
 def fill(candidates: DataFrame, group: str, cap: int = PACK_CAP) -> DataFrame:
     """The candidates of T0 and T1 by rank, with used (running cost) and served (within the cap).
 
-    candidates: group, node_key, tier, ppr, hits, cost.  Rows past the cap are the tail: returned, not dropped.
+    candidates: group, node_key, tier, ppr, hits, cost.  Rows past the cap are the tail: returned, not
+    dropped.  A group of any size is numbered in runs.
     """
     rows = candidates.where(F.col("tier").isin("T0", "T1"))
-    by = Window.partitionBy(group).orderBy(*pack_order())
-    used = F.sum("cost").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("rank", F.row_number().over(by)).withColumn("used", used).withColumn("served", F.col("used") <= cap)
+    return running(rows, [group], pack_order(), "cost").withColumn("served", F.col("used") <= cap)
 
 
 def split_bands(rows: DataFrame, group: str, cap: int = ADVISORY_CAP) -> DataFrame:
     """band (governing, advisory or none) and served: governing rows are uncapped, advisory ones stop at the cap."""
     band = F.when(F.col("tier").isin("T0", "T1"), "governing").when(F.col("tier") == "T2", "advisory").otherwise("none")
-    rows = rows.withColumn("band", band)
-    by = Window.partitionBy(group, "band").orderBy("node_key").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum("cost").over(by)
-    return rows.withColumn("served", F.when(F.col("band") == "governing", True).when(F.col("band") == "advisory", used <= cap).otherwise(False))
+    rows = running(rows.withColumn("band", band), [group, "band"], [F.asc("node_key")], "cost")
+    served = F.when(F.col("band") == "governing", True).when(F.col("band") == "advisory", F.col("used") <= cap).otherwise(False)
+    return rows.withColumn("served", served).drop("rank", "used")
 
 
 def resolve_ceiling(injections: DataFrame, group: str, ceiling: int = CEILING) -> DataFrame:
@@ -105,10 +104,10 @@ def drop_counter(drops: DataFrame, turns: DataFrame) -> DataFrame:
 
 def relate(related: DataFrame, group: str, cap: int = RELATED_CAP, hops: int = 2) -> DataFrame:
     """The first `cap` rows of each band by tier, ppr, distance and key, with the band's honest total."""
-    rows = related.where(F.col("distance") <= hops)
-    by = Window.partitionBy(group, "band")
-    rows = rows.withColumn("rank", F.row_number().over(by.orderBy(tier_rank(F.col("tier")), F.desc("ppr"), "distance", "node_key"))).withColumn("total", F.count("*").over(by))
-    return rows.where(F.col("rank") <= cap)
+    rows = running(related.where(F.col("distance") <= hops), [group, "band"], [tier_rank(F.col("tier")).asc(), F.desc("ppr"), F.asc("distance"), F.asc("node_key")])
+    total = rows.groupBy(F.col(group).alias("_g"), F.col("band").alias("_b")).agg(F.count("*").alias("total"))
+    first = rows.where(F.col("rank") <= cap)
+    return first.join(total, first[group].eqNullSafe(total["_g"]) & first["band"].eqNullSafe(total["_b"])).drop("_g", "_b")
 
 
 def own(candidates: DataFrame, unit: str = "unit") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_part, is_tier, weaker
 from .mining import CEILING
+from .runs import running
 
 INTERVIEW = 20
 UNIT = "::"
@@ -51,19 +52,12 @@ def rank_sites(sites: DataFrame, scores: DataFrame, provable: Column | None = No
 
     By score, then group, files before their units, exported first, the largest, path, hash; those that
     are provable come first as a whole if that is asked.  The order is one for all sites: places come
-    from sorted ranges, as in events.reseq.
+    from sorted ranges (runs.running).
     """
-    from ..plans.scratch import Tables
-
     rows = sites.join(scores.select(F.col("node").alias("key"), "score"), "key", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
-    rows = rows.withColumn("_first", F.lit(0) if provable is None else F.when(provable, 0).otherwise(1))
-    order = ["_first", F.desc("score"), "group", "sub", F.desc("exported"), F.desc("bytes"), "path", "hash"]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    ranged = Tables(sites.sparkSession).table(ranged)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("first"))
-    before = sizes.select("_p", "first", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("base"))
-    rows = ranged.join(F.broadcast(before), "_p").withColumn("rank", F.col("_m") - F.col("first") + F.col("base") + 1)
-    return rows.select("path", "key", "score", "rank")
+    rows = rows.withColumn("_all", F.lit(0)).withColumn("_first", F.lit(0) if provable is None else F.when(provable, 0).otherwise(1))
+    order = [F.asc("_first"), F.desc("score"), F.asc("group"), F.asc("sub"), F.desc("exported"), F.desc("bytes"), F.asc("path"), F.asc("hash")]
+    return running(rows, ["_all"], order).select("path", "key", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def default_ceiling(frontier: Column) -> Column:

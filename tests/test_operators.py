@@ -266,3 +266,23 @@ def test_sources(spark, tmp_path):
     (tmp_path / "src/d/f.txt").write_text("hey")
     got = {(r.path, r.parent_path, r.depth, r.content) for r in logs.read_tree(spark, str(tmp_path / "src")).collect()}
     assert got == {("repo", None, 0, None), ("repo/d", "repo", 1, None), ("repo/d/f.txt", "repo/d", 2, "hey")}
+
+
+def test_running_numbers_a_group_over_many_tasks(spark):
+    from corvane.operators.runs import running
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "hot", "hot", "hot", "x"]), i, rng.choice([None, 0, 5, 70])) for i in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running(spark.createDataFrame(rows, "g string, k long, cost int").repartition(6), ["g"], [F.desc("k")], "cost").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = set()
+    for g in {r[0] for r in rows}:
+        used = 0
+        for n, (_, k, c) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: -r[1]), 1):
+            used += c or 0
+            want.add((g, k, n, used))
+    assert {(r.g, r.k, r.rank, r.used) for r in got} == want and len(got) == 3000
+    assert running(spark.createDataFrame([], "g string, k long, cost int"), ["g"], [F.asc("k")]).count() == 0
