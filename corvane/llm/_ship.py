@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -12,9 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors, once for each context, as --py-files would."""
+    """Gives this package to the executors, once for each context, as --py-files would.
+
+    Bounds Arrow batches by BATCH_BYTES in a session that has no bound of its own: 10,000 rows of long
+    texts would otherwise be one batch, on both sides.
+    """
     context = spark.sparkContext
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     package = Path(__file__).resolve().parent.parent
     if getattr(context, "_corvane_shipped", False) or not package.is_dir():
         return
@@ -33,5 +45,7 @@ def arrow(df: DataFrame, run: Any, schema: Any) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()  # workers live on for other stages
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
     return df.mapInArrow(task, schema)

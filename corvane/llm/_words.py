@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes of text that are hashed at once
+PIECE = 1 << 19  # bytes of text that are hashed at once
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._scratch import Scratch
+from ._ship import arrow
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -213,23 +215,27 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = S
     return lined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), by_shard.alias("shard_words"), "row_key", "source")
 
 
-def _balanced(rows: pd.DataFrame) -> pd.DataFrame:
+def _balanced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often whole documents go into the mix, so that a group's words come to what its documents take.
 
-    Largest documents first; each gets its whole rounds, and one more, or one of several less, if that
-    brings the sum nearer.
+    A group's rows come in a row, the largest documents first; each gets its whole rounds, and one
+    more, or one of several less, if that brings the sum nearer.
     """
-    rows = rows.sort_values(["size", "row_key", "taken"], ascending=[False, True, True])
-    owed, times = 0, []
-    for size, taken, copies in zip(rows["size"].tolist(), rows["taken"].tolist(), rows["copies"].tolist(), strict=True):
-        n, rest = divmod(taken, size)
-        owed += rest
-        while n < MOST * copies and 2 * owed >= size:
-            n, owed = n + 1, owed - size
-        while n > copies and 2 * owed <= -size:
-            n, owed = n - 1, owed + size
-        times.append(n)
-    return pd.DataFrame({"source": rows["source"], "row_key": rows["row_key"], "copies": rows["copies"], "times": times})
+    here, owed = None, 0
+    for batch in batches:
+        source, group, key, size, taken, copies = batch.columns
+        times = []
+        for g, words, got, rows in zip(zip(source.to_pylist(), group.to_pylist(), strict=True), size.to_pylist(), taken.to_pylist(), copies.to_pylist(), strict=True):
+            if g != here:
+                here, owed = g, 0
+            n, rest = divmod(got, words)
+            owed += rest
+            while n < MOST * rows and 2 * owed >= words:
+                n, owed = n + 1, owed - words
+            while n > rows and 2 * owed <= -words:
+                n, owed = n - 1, owed + words
+            times.append(n)
+        yield pa.RecordBatch.from_arrays([source, key, copies, pa.array(times, pa.int64())], ["source", "row_key", "copies", "times"])
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -246,8 +252,9 @@ def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int =
     taken = scratch.table(taken)
     groups = taken.groupBy(F.col("source").alias("_s")).agg(F.ceil(F.count("*") / ROWS).alias("_groups"))
     grouped = taken.join(groups, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_group", F.pmod(F.xxhash64("row_key"), F.col("_groups")))
-    times = grouped.select("source", "row_key", "size", "taken", "copies", "_group").groupBy("source", "_group")
-    times = scratch.table(times.applyInPandas(_balanced, "source string, row_key string, copies long, times long").where("times > 0"))
+    group = ["source", "_group"]
+    times = grouped.select(*group, "row_key", "size", "taken", "copies").repartition(*group).sortWithinPartitions(*group, F.desc("size"), "row_key", "taken")
+    times = scratch.table(times.transform(arrow, _balanced, "source string, row_key string, copies long, times long").where("times > 0"))
     # the rows as one column: no name of theirs can clash with a name here
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(seed).alias("key"), F.col("source").cast("string").alias("of"))
     same = (F.col("key") == F.col("row_key")) & F.col("of").eqNullSafe(F.col("source"))

@@ -37,7 +37,7 @@ from ._words import mix, text_bytes
 
 SEGMENT = 1 << 20  # ids after which a segment is closed; a longer document is a segment of its own
 SAMPLE = 256  # values for each mark
-RUN = 1 << 21  # bytes of text that are encoded at once
+RUN = 1 << 19  # bytes of text that are encoded at once
 END = 0
 _CODE = "{0}_low_bits int, {0}_low binary, {0}_high binary, {0}_marks binary"
 SCHEMA = f"part int, segment int, before long, n_docs long, n_ids long, n_null long, first long, last long, {_CODE.format('doc')}, {_CODE.format('end')}, width int, ids binary"
@@ -170,7 +170,7 @@ class _Encoder:
     tokenizer with another kind of pattern, or special tokens with blanks, encodes whole texts instead.
     """
 
-    PLACES, WIDE, WORDS = 20, 10, 3  # bits of a place, ids kept of a piece, eight bytes each that a kept piece may have
+    PLACES, WIDE, WORDS = 19, 10, 3  # bits of a place, ids kept of a piece, eight bytes each that a kept piece may have
     LONGEST = 8 * WORDS
 
     def __init__(self, path: str, end: int) -> None:

@@ -102,7 +102,8 @@ def _examples(docs: DataFrame, labels: DataFrame, sample: int, fold: tuple[int,
     made = texts.transform(arrow, _extract, "doc_id long, y int, f binary").distinct()
     upto = Window.orderBy(F.md5(ids.cast("binary")), "doc_id", "f").rowsBetween(Window.unboundedPreceding, 0)  # `sample` rows and what repeats them
     made = made.withColumn("upto", F.sum(F.octet_length("f") / 4).over(upto)).where(F.col("upto") <= most)
-    found = {(zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"])): r["y"] for r in made.collect()}
+    # row by row: the driver never holds the sets twice
+    found = {(zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"])): r["y"] for r in made.select("doc_id", "y", "f").toLocalIterator()}
     return [(k[1], (np.frombuffer(k[2], np.int32), found[k])) for k in sorted(found)]
 
 
