@@ -38,11 +38,22 @@ def ship(spark: SparkSession) -> None:
     context._corvane_shipped = True
 
 
-def arrow(df: DataFrame, run: Any, schema: Any) -> DataFrame:
-    """df.mapInArrow(run, schema) with this package on the executors; for df.transform(arrow, run, schema)."""
+#: What a worker keeps from task to task of one stage; the first task of another kind of stage drops it.
+kept: dict[Any, Any] = {}
+
+
+def arrow(df: DataFrame, run: Any, schema: Any, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow(run, schema) with this package on the executors; for df.transform(arrow, run, schema).
+
+    keeps: run uses `kept`.
+    """
     ship(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from corvane.llm import _ship  # the worker's own module, not a copy that came with the task
+
+        if not keeps:
+            _ship.kept.clear()
         yield from run(batches)
         pa.default_memory_pool().release_unused()  # workers live on for other stages
         with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps

@@ -325,9 +325,6 @@ def _cuttable(path: str) -> bool:
     return plain and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in made.get("added_tokens") or ())
 
 
-_encoders: dict[tuple[str, int], _Encoder] = {}
-
-
 def _code(name: str, values: np.ndarray) -> dict:
     return dict(zip((f"{name}_low_bits", f"{name}_low", f"{name}_high", f"{name}_marks"), ef_encode(values), strict=True))
 
@@ -344,7 +341,9 @@ def _segment(part: int, number: int, before: int, ids: list[int | None], ends: l
 
 def _writer(path: str, end: int, segment: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get((path, end)) or _encoders.setdefault((path, end), _Encoder(path, end))
+        from corvane.llm import _ship
+
+        encoder = _ship.kept.get((path, end)) or _ship.kept.setdefault((path, end), _Encoder(path, end))
         part, number = TaskContext.get().partitionId(), 0
         ids, ends, chunks, size, before = [], [], [], 0, 0
         width = encoder.type.itemsize
@@ -390,7 +389,7 @@ def write_tokens(docs: DataFrame, where: str, tokenizer: str, end: int = END, se
     order = ["doc_id", "_tie", "_place"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_tie", F.xxhash64("text")).withColumn("_place", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    rows.transform(arrow, _writer(tokenizer, end, segment), SCHEMA).write.option("compression", "uncompressed").parquet(where)
+    rows.transform(arrow, _writer(tokenizer, end, segment), SCHEMA, True).write.option("compression", "uncompressed").parquet(where)
 
 
 class Segment:
