@@ -262,12 +262,12 @@ s AS (SELECT epic, 0::BIGINT AS pos, 0::BIGINT AS feature, 0::BIGINT AS used, fa
   UNION ALL SELECT f.epic, f.pos, f.feature, CASE WHEN used + tokens <= 1500 THEN used + tokens ELSE used END, used + tokens <= 1500 FROM s JOIN f ON f.epic = s.epic AND f.pos = s.pos + 1)
 SELECT epic, feature, pos, taken FROM s WHERE pos > 0""")
 def own_epic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders as features of an epic."""
+    """A customer's orders as features of an epic; halves of a price go to the even number, as in SQL's cast."""
     from pyspark.sql import Window
 
     o = b.read(spark, sf_dir, "orders")
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
-    return retrieval.epic(o.select(F.col("o_custkey").alias("epic"), F.col("o_orderkey").alias("feature"), pos.alias("pos"), (F.round("o_totalprice").cast("long") % 900).alias("tokens")))
+    return retrieval.epic(o.select(F.col("o_custkey").alias("epic"), F.col("o_orderkey").alias("feature"), pos.alias("pos"), (F.rint("o_totalprice").cast("long") % 900).alias("tokens")))
 
 
 @query(f"""WITH {b.FACT_SQL}, x AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'FRESH' WHEN 1 THEN 'DRIFTED' WHEN 2 THEN 'STALE' END AS d FROM fact)

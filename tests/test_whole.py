@@ -41,6 +41,14 @@ def test_co_changed_has_every_pair_in_both_directions(spark, tmp_path):
     assert sorted(got) == sorted((*x, n) for x, n in want.items() if n >= 2)
 
 
+def test_own_epic_rounds_halves_to_even(spark, tmp_path):
+    """898.5 is 898 and 601.5 is 602: both fit the budget of 1,500 together, and nothing else does; 1.5 and 0.5 are 2 and 0."""
+    orders = [(1, 1, 898.5), (2, 1, 601.5), (3, 1, 0.5), (4, 1, 1.5), (5, 2, 0.5), (6, 2, 899.4), (7, 2, 601.0), (8, 2, 600.5)]
+    pd.DataFrame(orders, columns=["o_orderkey", "o_custkey", "o_totalprice"]).to_parquet(tmp_path / "orders.parquet")
+    got = sorted((r.epic, r.pos, r.feature, r.taken) for r in catalog.QUERIES["own_epic"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 2, True), (1, 3, 3, True), (1, 4, 4, False), (2, 1, 5, True), (2, 2, 6, True), (2, 3, 7, True), (2, 4, 8, False)]
+
+
 def test_freshness_sees_every_leaf(spark, tmp_path):
     """Past its third leaf, nation 0 has an edit (ends in 7), nation 1 a move (ends in 1) and nation 2 nothing."""
     leaves = {0: "00 02 03 04 07 08".split(), 1: "10 12 14 15 21".split(), 2: "30 32 34 35 36".split()}
