@@ -175,7 +175,7 @@ def governed_link(requests: DataFrame, current: DataFrame, asserted: DataFrame,
     rows = current.withColumn("_authority", F.coalesce("scope", "stored_scope")).join(_in(mine, "_authority", "_mine"), "_authority", "left")
     sound = F.col("stored_scope").isNotNull() & F.coalesce(F.col("scope") == F.col("stored_scope"), F.lit(True))
     rank = F.when(is_tier(F.col("stored_tier")), tier_rank(F.col("stored_tier"))).otherwise(0)
-    rows = rows.select("node_key", F.coalesce("_mine", F.lit(False)).alias("mine"), sound.alias("sound"), rank.alias("rank"))
+    rows = scratch.table(rows.select("node_key", F.coalesce("_mine", F.lit(False)).alias("mine"), sound.alias("sound"), rank.alias("rank")))
     known = asserted.join(rows.select(F.col("node_key").alias("a")), "a", "left_semi").join(rows.select(F.col("node_key").alias("b")), "b", "left_semi")
     classes = components(known.where("a <> b"), scratch)
     rows = rows.join(classes, "node_key", "left").withColumn("class_key", F.coalesce("class_key", "node_key"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections import Counter
 
 import pandas as pd
 
 from corvane import catalog
-from corvane.operators import lifecycle, mining
+from corvane.operators import graph, lifecycle, mining
+from corvane.plans.scratch import Tables
 
 CHAIN = 12
 
@@ -49,6 +51,22 @@ def test_own_epic_rounds_halves_to_even(spark, tmp_path):
     assert got == [(1, 1, 1, True), (1, 2, 2, True), (1, 3, 3, True), (1, 4, 4, False), (2, 1, 5, True), (2, 2, 6, True), (2, 3, 7, True), (2, 4, 8, False)]
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark):
+    """Keys along the chain are in no order; a cycle, a hub, loops and nulls stand beside it, in one task and by stars."""
+    order = [hashlib.md5(str(k).encode()).hexdigest() for k in range(400)]
+    chain = list(itertools.pairwise(order))
+    hub = [("h", f"i{k}") for k in range(50)] + [(f"i{k}", "h") for k in range(5)]
+    rows = chain + hub + [("x", "y"), ("y", "z"), ("z", "x"), ("w", "w"), ("v", None)]
+    want = dict.fromkeys(order, min(order)) | {"h": "h"} | {f"i{k}": "h" for k in range(50)} | dict.fromkeys("xyz", "x")
+    frame = spark.createDataFrame(rows, "a string, b string")
+    for task_edges in (graph.TASK_EDGES, 0):
+        t = Tables(spark)
+        got = graph.components(frame, t, task_edges).collect()
+        assert len(got) == len(want) and {r.node_key: r.class_key for r in got} == want
+        assert t.n <= 30  # tables that were written; one for each step
+    assert graph.components(frame.limit(0), Tables(spark), 0).isEmpty()
+
+
 def test_freshness_sees_every_leaf(spark, tmp_path):
     """Past its third leaf, nation 0 has an edit (ends in 7), nation 1 a move (ends in 1) and nation 2 nothing."""
     leaves = {0: "00 02 03 04 07 08".split(), 1: "10 12 14 15 21".split(), 2: "30 32 34 35 36".split()}
