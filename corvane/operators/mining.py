@@ -67,42 +67,57 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     """node, score: integer personalised PageRank in units of 1 / SCALE.
 
     Every division rounds down, so the result doesn't depend on the order of additions; what nodes
-    without targets hold goes to the seeds (all nodes if there are none).  A round is one join and one
-    aggregation; its scores are written, so that no plan holds more than one round, and the one number
-    that all nodes need, what nodes without targets hold, is observed by the tasks that write.  The
-    edges stay dealt by source between rounds.
+    without targets hold goes to the seeds (all nodes if there are none).  Nodes that nothing leads to
+    have one score if they are seeds and one if not, so those are two numbers, and a target has a count
+    of such sources by their kind and number of targets; rounds go over the other nodes and the edges
+    between them.  A round is one join and one aggregation; its scores are written, so that no plan
+    holds more than one round, and the one number that all nodes need, what nodes without targets hold,
+    is observed by the tasks that write, with how many scores moved: where none did, all later rounds
+    would give the same, and none is run.  The edges stay dealt by source between rounds.
     """
     scratch = scratch or Tables(nodes.sparkSession)
     out = scratch.table(edges.select("src", "dst").distinct())
-    share = out.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
-    scores = nodes.select("node").distinct().join(share, "node", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    ends = out.select(F.col("src").alias("node"), F.lit(1).alias("n"), F.lit(False).alias("fed")).unionByName(out.select(F.col("dst").alias("node"), F.lit(0).alias("n"), F.lit(True).alias("fed")))
+    ends = ends.groupBy("node").agg(F.sum("n").alias("n"), F.bool_or("fed").alias("fed"))
+    all_ = nodes.select("node").distinct().join(ends, "node", "left").select("node", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("fed", F.lit(False)).alias("fed"))
     if seeds is not None:
-        scores = scores.join(seeds.select("node").distinct().withColumn("seed", F.lit(True)), "node", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+        all_ = all_.join(seeds.select("node").distinct().withColumn("seed", F.lit(True)), "node", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
     else:
-        scores = scores.withColumn("seed", F.lit(True))
-    scores = scratch.table(scores)
-    total, seeded = scores.agg(F.count("*"), F.count_if("seed")).first()
+        all_ = all_.withColumn("seed", F.lit(True))
+    all_ = scratch.table(all_)
+    total, seeded = all_.agg(F.count("*"), F.count_if("seed")).first()
     if not seeded:
-        scores, seeded = scores.withColumn("seed", F.lit(True)), total
+        all_, seeded = all_.withColumn("seed", F.lit(True)), total
     if not total:
-        return scores.select("node", F.lit(0).cast("long").alias("score"))
+        return all_.select("node", F.lit(0).cast("long").alias("score"))
     teleport = SCALE // seeded
     base = (DAMPING[1] - DAMPING[0]) * teleport // DAMPING[1]
-    scores = scores.withColumn("score", F.lit(SCALE // total).cast("long"))
-    dealt = out.repartition("src").persist()
-    loose = scores.where("n = 0").agg(F.sum("score")).first()[0] or 0
+    ending, bare_seeds, bare = all_.where("n = 0").agg(F.count("*"), F.count_if(~F.col("fed") & F.col("seed")), F.count_if(~F.col("fed") & ~F.col("seed"))).first()
+    of = out.join(all_.withColumnRenamed("node", "src"), "src")
+    feeds = of.where("not fed").groupBy("dst", "seed", "n").agg(F.count("*").alias("c"))
+    feeds = feeds.groupBy(F.col("dst").alias("node")).agg(F.collect_list(F.struct("seed", "n", "c")).alias("feeds"))
+    first = SCALE // total
+    scores = scratch.table(all_.where("fed").select("node", "seed", "n", F.lit(first).cast("long").alias("score")).join(feeds, "node", "left"))
+    dealt = of.where("fed").select("src", "dst").repartition("src").persist()
+    seed, plain, loose = first, first, ending * first  # the scores of a seed and of another node that nothing leads to
     for _ in range(rounds):
         seen = Observation()
-        inflow = scores.where("n > 0").join(dealt, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.expr("score div n")).alias("inflow"))
-        walk = F.coalesce("inflow", F.lit(0).cast("long")) + F.when(F.col("seed"), loose // seeded).otherwise(0)
-        moved = scores.drop("score").join(inflow, "node", "left").withColumn("walk", walk)
-        moved = moved.select("node", "seed", "n", (F.when(F.col("seed"), base).otherwise(0) + F.expr(f"({DAMPING[0]} * walk) div {DAMPING[1]}")).cast("long").alias("score"))
-        made = scratch.table(moved.observe(seen, F.sum(F.when(F.col("n") == 0, F.col("score"))).alias("loose")))
-        loose = seen.get["loose"] or 0
+        inflow = scores.where("n > 0").select("node", F.expr("score div n").alias("part")).join(dealt, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("inflow"))
+        fed = F.expr(f"aggregate(feeds, 0L, (s, f) -> s + f.c * (if(f.seed, {seed}L, {plain}L) div f.n))")
+        walk = F.coalesce("inflow", F.lit(0).cast("long")) + F.coalesce(fed, F.lit(0).cast("long")) + F.when(F.col("seed"), loose // seeded).otherwise(0)
+        made = scores.join(inflow, "node", "left").withColumn("walk", walk).withColumn("was", F.col("score"))
+        made = made.withColumn("score", (F.when(F.col("seed"), base).otherwise(0) + F.expr(f"({DAMPING[0]} * walk) div {DAMPING[1]}")).cast("long"))
+        made = made.observe(seen, F.sum(F.when(F.col("n") == 0, F.col("score"))).alias("loose"), F.count_if(F.col("score") != F.col("was")).alias("moved"))
+        made = scratch.table(made.select("node", "seed", "n", "score", "feeds"))
+        was, seed, plain = (seed, plain), base + DAMPING[0] * (loose // seeded) // DAMPING[1], 0
+        loose = (seen.get["loose"] or 0) + bare_seeds * seed + bare * plain
         scratch.drop(scores)
         scores = made
+        if not seen.get["moved"] and was == (seed, plain):
+            break
     dealt.unpersist()
-    return scores.select("node", "score")
+    unfed = all_.where("not fed").select("node", F.when(F.col("seed"), seed).otherwise(plain).cast("long").alias("score"))
+    return scores.select("node", "score").unionByName(unfed)
 
 
 def marginal_stop(visits: DataFrame, run: str, ceiling: int = CEILING, back: int = LOOK_BACK, least: int = LEAST_ADMITS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 from collections import Counter
 
 import pandas as pd
@@ -34,6 +35,29 @@ def test_pagerank_follows_paths_of_any_length(spark, tmp_path):
     assert got == score
 
 
+def test_pagerank_ends_when_no_score_moves(spark):
+    """Random graphs with nodes that nothing leads to, or that lead nowhere, or neither; no seed is all seeds."""
+    rng = random.Random(7)
+    for acyclic, seeds in ((True, {"3", "7", "40"}), (False, {"1", "49"}), (True, set())):
+        nodes = [str(k) for k in range(50)]
+        edges = {(str(a), str(b)) for a, b in ((rng.randrange(12, 46), rng.randrange(30)) for _ in range(120)) if a > b or (not acyclic and a != b)}
+        start, out = seeds or set(nodes), {n: [t for s, t in edges if s == n] for n in nodes}
+        score, moves = dict.fromkeys(nodes, mining.SCALE // 50), []
+        for _ in range(64):
+            inflow = dict.fromkeys(nodes, 0)
+            for n in nodes:
+                for t in out[n]:
+                    inflow[t] += score[n] // len(out[n])
+            loose = sum(score[n] for n in nodes if not out[n]) // len(start)
+            new = {n: (15 * (mining.SCALE // len(start)) // 100 if n in start else 0) + 85 * (inflow[n] + (loose if n in start else 0)) // 100 for n in nodes}
+            moves, score = [*moves, new != score], new
+        t = Tables(spark)
+        given = spark.createDataFrame([(n,) for n in start], "node string") if seeds else None
+        got = mining.pagerank(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(sorted(edges), "src string, dst string"), given, scratch=t)
+        assert {r.node: r.score for r in got.collect()} == score
+        assert t.n == 3 + sum(moves) + (not all(moves))  # edges, nodes, first scores, and one table a round
+
+
 def test_co_changed_has_every_pair_in_both_directions(spark, tmp_path):
     orders = {1: (1, 2, 10), 2: (1, 2, 10), 3: (1, 3), 4: (3, 1, 10)}
     pd.DataFrame([(o, 1, "1-URGENT") for o in orders], columns=["o_orderkey", "o_custkey", "o_orderpriority"]).to_parquet(tmp_path / "orders.parquet")
