@@ -42,6 +42,13 @@ def ship(spark: SparkSession) -> None:
 kept: dict[Any, Any] = {}
 
 
+def trim() -> None:
+    """Gives free memory of this Python process back: it lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow(df: DataFrame, run: Any, schema: Any, keeps: bool = False) -> DataFrame:
     """df.mapInArrow(run, schema) with this package on the executors; for df.transform(arrow, run, schema).
 
@@ -55,8 +62,6 @@ def arrow(df: DataFrame, run: Any, schema: Any, keeps: bool = False) -> DataFram
         if not keeps:
             _ship.kept.clear()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()  # workers live on for other stages
-        with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _ship.trim()
 
     return df.mapInArrow(task, schema)

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._ship import arrow
+from ._scratch import Scratch
+from ._ship import arrow, trim
 from ._words import ALNUM, hashed_words, mix
 
 BITS = 20  # 2^20 weights
@@ -90,7 +91,8 @@ def _examples(docs: DataFrame, labels: DataFrame, sample: int, fold: tuple[int,
 
     The rows are those whose doc_id has the smallest checksums, as many as have `most` features
     together; several labels of a doc_id count as the largest.  Rows that repeat a doc_id and its text
-    count once.  Features are found by tasks: the driver holds 4 bytes for each, 128 MB in all.
+    count once.  Features are found by tasks and come in parts of a table: the driver holds 4 bytes for
+    each, 128 MB in all, and its JVM one part.
     """
     ids = F.col("doc_id").cast("string")
     usable = labels.where("doc_id is not null and toxic in (0, 1)")
@@ -100,10 +102,20 @@ def _examples(docs: DataFrame, labels: DataFrame, sample: int, fold: tuple[int,
     rows = rows.orderBy(F.md5(ids.cast("binary")), "doc_id").limit(sample)  # 12 bytes a row: a proven bound for the broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text")
     made = texts.transform(arrow, _extract, "doc_id long, y int, f binary").distinct()
-    upto = Window.orderBy(F.md5(ids.cast("binary")), "doc_id", "f").rowsBetween(Window.unboundedPreceding, 0)  # `sample` rows and what repeats them
-    made = made.withColumn("upto", F.sum(F.octet_length("f") / 4).over(upto)).where(F.col("upto") <= most)
-    # row by row: the driver never holds the sets twice
+    scratch = Scratch(docs.sparkSession, "examples")
+    made = table = scratch.table(made)
+    # where the sum goes over `most` is found without the features: a window over all rows is one task's
+    place = lambda: F.struct(F.md5(ids.cast("binary")).alias("m"), "doc_id", F.sha2("f", 256).alias("d"))
+    sizes = made.select(place().alias("at"), (F.octet_length("f") / 4).alias("n"))
+    upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    last = upto.where(F.col("upto") <= most).agg(F.max("at").alias("at")).select("at.*").first()
+    if last["m"] is None:
+        made = made.limit(0)
+    else:
+        made = made.where(place() <= F.struct(F.lit(last["m"]).alias("m"), F.lit(last["doc_id"]).cast("long").alias("doc_id"), F.lit(last["d"]).alias("d")))
+    # a part at a time, and row by row: the driver never holds the sets twice
     found = {(zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["f"])): r["y"] for r in made.select("doc_id", "y", "f").toLocalIterator()}
+    scratch.drop(table)
     return [(k[1], (np.frombuffer(k[2], np.int32), found[k])) for k in sorted(found)]
 
 
@@ -121,7 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[
 
     Without labelled rows all scores are 0.5.
     """
-    return learn([e for _, e in _examples(docs, labels, sample, fold)], Ftrl(), updates).compact()
+    out = learn([e for _, e in _examples(docs, labels, sample, fold)], Ftrl(), updates).compact()
+    trim()  # the features are gone: the driver has other stages to run
+    return out
 
 
 def losses(docs: DataFrame, labels: DataFrame, settings: list[dict], sample: int = SAMPLE, fold: tuple[int, int] | None = (4, 2), updates: int = UPDATES, parts: int = 3) -> list[tuple[float, float, dict]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import time
@@ -196,3 +197,23 @@ def test_whole_licence_texts_give_their_label(spark):
         assert label in got[i].labels.split(",") and got[i].score == 1.0
         assert any(s.label == label and s.first_word == 4 and s.end_word == got[i].n_words for s in got[i].spans)
     assert "mit-text" in got[99].labels.split(",")
+
+
+def test_examples_come_in_parts(spark, monkeypatch):
+    """The sum of features is cut at the same place for rows in any order, and no task holds all rows' features for it."""
+    texts = {k: " ".join(f"w{k}x{j}" for j in range(3 + k % 7)) for k in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(k, k % 2) for k in texts], "doc_id long, toxic int")
+    plans, take = [], type(docs).toLocalIterator
+    monkeypatch.setattr(type(docs), "toLocalIterator", lambda self, *a: plans.append(self._jdf.queryExecution().toString()) or take(self, *a))
+    all_ = {i: len(f) for i, (f, _) in toxicity._examples(docs, labels, 1000, None)}
+    order = sorted(texts, key=lambda k: hashlib.md5(str(k).encode()).hexdigest())
+    most, want, total = sum(all_.values()) // 2, set(), 0
+    for k in order:
+        total += all_[k]
+        if total > most:
+            break
+        want.add(k)
+    assert set(all_) == set(texts) and {i for i, _ in toxicity._examples(docs, labels, 1000, None, most)} == want
+    assert toxicity._examples(docs, labels, 1000, None, 1) == []
+    assert plans and not any("Window" in p for p in plans)
